@@ -1,26 +1,38 @@
 """BM25 as joins and aggregations over a postings table.
 
-Layout: postings are counted once per (document, term). A search keeps only postings of
-terms some query asks for, weights them, moves them once to their document's partition and
-sums there, so (query, document) scores are built and cut to the best k inside each task;
-only k rows per query and task are shuffled.
+Postings are counted once per (document, term). A search keeps only postings of terms some
+query asks for, weights them and moves them once to their document's partition. Scores are
+summed there in numpy blocks of documents x queries and cut to the best k inside the task:
+no (query, document) pair becomes a row, only k rows per query and task are shuffled, and a
+term found in most documents costs one posting per document, however many queries ask for it.
+
+That needs the query terms in every task, so it is done only when their number is within a
+measured bound; otherwise postings and query terms meet in a join whose frequent terms are
+sliced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaquarry.functions.text import token_count, tokens
-from metaquarry.operators.topk import SMALL_ROWS, fits, maybe_broadcast, top_k
+from metaquarry.operators.blocks import RunningTopK
+from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
 
 SPARSE_DIGITS = 4
 TERM_PARTS = 256
 # Join a term's postings in slices of about this many rows when queries are not broadcast.
 SLICE_ROWS = 1_000_000
+# One numpy block: postings gathered per step, and documents x queries scored at once.
+STEP_POSTINGS, BLOCK_CELLS = 100_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -101,7 +113,7 @@ def query_terms(queries: DataFrame, query_id: str, query_text: str, han_pairs=Fa
     return queries.select(query_id, F.explode(words).alias("term"))
 
 
-def _weighted(index: Bm25Index, terms: DataFrame, small: bool, where: Column | None, k1, b):
+def _weighted(index: Bm25Index, terms: DataFrame, small: bool, where: Column | None, k1=BM25_K1, b=BM25_B):
     """Postings of the asked terms with their score contribution ``w``."""
     stats = index.stats.select(F.struct("n_docs", "avg_len")).scalar()
     asked = index.terms.join(maybe_broadcast(terms, small), "term", "left_semi")
@@ -115,44 +127,110 @@ def _weighted(index: Bm25Index, terms: DataFrame, small: bool, where: Column | N
     )
 
 
-def bm25_scores(
-    qterms: DataFrame,
-    query_id: str,
-    index: Bm25Index,
-    small: bool,
-    where: Column | None = None,
-    allowed: DataFrame | None = None,
-    parent: str | None = None,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-) -> DataFrame:
-    """Score of every (query, document) that shares a term: query_id, id, sparse.
+def _joined_scores(weighted, index, qterms, query_id, allowed, parent) -> DataFrame:
+    """All (query, document) scores by a shuffled join; no side is known to be small.
 
-    ``allowed`` (query_id, parent) restricts each query to documents of its own parents.
+    A frequent term is sliced by document, so its postings meet its queries in many tasks.
     """
-    weighted = _weighted(index, qterms.select("term").distinct(), small, where, k1, b)
-    if allowed is not None:
-        parents = allowed.select(parent).distinct()
-        weighted = weighted.join(maybe_broadcast(parents, small), parent, "left_semi")
-    if small:
-        pairs = weighted.repartition(index.id_col).join(F.broadcast(qterms), "term")
-    else:
-        # No side is known to be small: slice frequent terms, so that one term's postings
-        # meet its queries in many tasks.
-        slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS)).cast("int")
-        sliced = index.terms.select("term", slices.alias("_n"))
-        asked = qterms.join(sliced, "term").select(
-            query_id, "term", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s")
-        )
-        own = F.pmod(F.xxhash64(index.id_col), slices).cast("int")
-        pairs = weighted.withColumn("_s", own).join(asked, ["term", "_s"])
+    slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS)).cast("int")
+    asked = qterms.join(index.terms.select("term", slices.alias("_n")), "term").select(
+        query_id, "term", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s")
+    )
+    own = F.pmod(F.xxhash64(index.id_col), slices).cast("int")
+    pairs = weighted.withColumn("_s", own).join(asked, ["term", "_s"])
     if allowed is not None:
-        pairs = pairs.join(maybe_broadcast(allowed, small), [query_id, parent], "left_semi")
+        pairs = pairs.join(allowed.select(query_id, parent), [query_id, parent], "left_semi")
     return pairs.groupBy(query_id, index.id_col).agg(
         F.round(F.sum("w"), SPARSE_DIGITS).alias("sparse")
     )
 
 
+def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allowed, parent, k):
+    """Best k per query and task, with the query terms shipped to every task."""
+    spark = weighted.sparkSession
+    q_ids = np.asarray(sorted(set(qterms.iloc[:, 0].tolist())))
+    names = sorted(set(qterms["term"]))
+    term_no = {term: i for i, term in enumerate(names)}
+    # queries of term i are asks[starts[i]:starts[i + 1]]
+    codes = qterms["term"].map(term_no).to_numpy()
+    order = np.argsort(codes, kind="stable")
+    asks = np.searchsorted(q_ids, np.asarray(qterms.iloc[:, 0].tolist()))[order]
+    starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    numbered = spark.createDataFrame(
+        pd.DataFrame({"term": names, "_t": range(len(names))}), "term string, _t int"
+    )
+    rows = weighted.join(F.broadcast(numbered), "term")
+    mask = None
+    if allowed is None:
+        rows = rows.select(index.id_col, F.lit(0).alias("_p"), "_t", "w")
+    else:
+        parents = sorted(set(allowed[parent]))
+        kind = index.postings.schema[parent].dataType.simpleString()
+        numbered = spark.createDataFrame(
+            pd.DataFrame({parent: parents, "_p": range(len(parents))}), f"`{parent}` {kind}, _p int"
+        )
+        rows = rows.join(F.broadcast(numbered), parent).select(index.id_col, "_p", "_t", "w")
+        mask = np.zeros((len(parents), len(q_ids)), dtype=bool)
+        at = {p: i for i, p in enumerate(parents)}
+        known = allowed[allowed[query_id].isin(q_ids.tolist())]
+        mask[
+            [at[p] for p in known[parent]],
+            np.searchsorted(q_ids, np.asarray(known[query_id].tolist())),
+        ] = True
+    shipped = spark.sparkContext.broadcast((q_ids, asks, starts, mask))
+    id_col = index.id_col
+
+    def score(rows: pd.DataFrame, best: RunningTopK) -> None:
+        q_ids, asks, starts, mask = shipped.value
+        ids, first, doc = np.unique(
+            np.asarray(rows[id_col].tolist()), return_index=True, return_inverse=True
+        )
+        t, w = rows["_t"].to_numpy(), rows["w"].to_numpy()
+        parent_no = rows["_p"].to_numpy()[first]
+        width = max(1, BLOCK_CELLS // len(q_ids))
+        for low in range(0, len(ids), width):
+            n = min(width, len(ids) - low)
+            mine = np.flatnonzero((doc >= low) & (doc < low + n))
+            fan = starts[t[mine] + 1] - starts[t[mine]]
+            rep = np.repeat(mine, fan)
+            # position of every (posting, asking query) in ``asks``
+            offset = np.arange(len(rep)) - np.repeat(np.cumsum(fan) - fan, fan)
+            q = asks[starts[t[rep]] + offset]
+            cell = (doc[rep] - low) * len(q_ids) + q
+            block = np.bincount(cell, weights=w[rep], minlength=n * len(q_ids))
+            block = block.reshape(n, len(q_ids))
+            hit = block > 0
+            if mask is not None:
+                hit &= mask[parent_no[low : low + n]]
+            block = np.where(hit, np.round(block, SPARSE_DIGITS), -np.inf)
+            best.add(block.T, ids[low : low + n])
+
+    def scan(batches):
+        q_ids = shipped.value[0]
+        best = RunningTopK(len(q_ids), k)
+        held, size = [], 0
+        for pdf in chain(batches, [None]):
+            if pdf is not None and not pdf.empty:
+                held.append(pdf)
+                size += len(pdf)
+            if held and (pdf is None or size > STEP_POSTINGS):
+                rows = pd.concat(held, ignore_index=True)
+                # postings come sorted by document; the last one may go on in the next batch
+                last = rows[id_col].iloc[-1] if pdf is not None else None
+                open_rows = rows[id_col] == last if pdf is not None else None
+                held, size = [], 0
+                if open_rows is not None:
+                    held, size = [rows[open_rows]], int(open_rows.sum())
+                    rows = rows[~open_rows]
+                if not rows.empty:
+                    score(rows, best)
+        out = best.frame(q_ids, query_id, id_col, "sparse")
+        if out is not None:
+            yield out
+
+    return rows.repartition(id_col).sortWithinPartitions(id_col).mapInPandas(scan, schema)
+
+
 def bm25_search(
     queries: DataFrame,
     source: DataFrame | Bm25Index,
@@ -172,21 +250,44 @@ def bm25_search(
 
     ``source`` is a prebuilt index, or documents that are counted for the query
     vocabulary alone. Document frequencies and lengths always cover the whole collection;
-    ``where`` (over ``carried`` columns) and ``allowed`` only limit which documents score.
+    ``where`` (over ``carried`` columns) and ``allowed`` (query_id, parent) only limit
+    which documents score.
     """
     qterms = query_terms(queries, query_id, query_text)
-    small = fits(qterms, small_rows)
+    asked = _bounded(qterms, small_rows)
+    limits = None if allowed is None else allowed.select(query_id, parent).distinct()
+    limited = None if limits is None else _bounded(limits, small_rows)
+    small = asked is not None and (limits is None or limited is not None)
+    vocabulary = qterms.select("term").distinct()
     if isinstance(source, Bm25Index):
         index = source
     else:
         if parent is not None and parent not in carried:
             carried = (*carried, parent)
-        vocabulary = qterms.select("term").distinct()
         index = bm25_index(source, id_col, text_col, carried, vocabulary, small)
-    scores = bm25_scores(qterms, query_id, index, small, where, allowed, parent)
+    schema = T.StructType(
+        [
+            T.StructField(query_id, queries.schema[query_id].dataType),
+            T.StructField(index.id_col, index.postings.schema[index.id_col].dataType),
+            T.StructField("sparse", T.DoubleType()),
+        ]
+    )
+    if small and (asked.empty or (limited is not None and limited.empty)):
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rk", F.lit(1))
+    weighted = _weighted(index, vocabulary, small, where)
+    if small:
+        scores = _block_scores(weighted, index, asked, query_id, schema, limited, parent, k)
+    else:
+        scores = _joined_scores(weighted, index, qterms, query_id, limits, parent)
     return top_k(scores, query_id, "sparse", k, index.id_col)
 
 
+def _bounded(df: DataFrame, rows: int) -> pd.DataFrame | None:
+    """The rows of ``df`` if there are at most ``rows``; reads no more than one further."""
+    head = df.limit(rows + 1).toPandas()
+    return head if len(head) <= rows else None
+
+
 def group_index(
     docs: DataFrame,
     group_col: str,

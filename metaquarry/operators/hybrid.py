@@ -15,7 +15,8 @@ from metaquarry.operators.knn import knn_exact, knn_within
 from metaquarry.operators.topk import top_k
 from metaquarry.schemas import CANDIDATE_MULT, DENSE_WEIGHT, SPARSE_WEIGHT
 
-SCORE_DIGITS = 6
+# one digit more than 0.3 x a six-digit cosine has, so no score lies on a rounding border
+SCORE_DIGITS = 8
 
 
 @dataclass(frozen=True)

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import top_k
 
 DENSE_DIGITS = 6
 # What may be shipped to every task: rows, and values (rows x dimension; 8 bytes each).
 SHIP_ROWS, SHIP_VALUES = 20_000, 8_000_000
 BLOCK_ROWS = 20_000
+STEP_ROWS = 1_000
 
 
 def _unit(column) -> np.ndarray:
@@ -34,34 +36,11 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.tolist())
 
 
-def _best(q_ids, q_unit, v_ids, v_unit, k: int, exclude_same: bool):
-    """Row numbers of the queries, vector ids and scores of each query's k best, ties by id."""
+def _scores(q_ids, q_unit, v_ids, v_unit, exclude_same: bool) -> np.ndarray:
     scores = np.round(q_unit @ v_unit.T, DENSE_DIGITS)
     if exclude_same:
         scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
-    if scores.shape[1] > k:
-        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    else:
-        cut = np.full(len(q_ids), -np.inf)
-    rows, picked, values = [], [], []
-    for i in range(len(q_ids)):
-        near = np.flatnonzero((scores[i] >= cut[i]) & (scores[i] > -np.inf))
-        near = near[np.lexsort((v_ids[near], -scores[i, near]))][:k]
-        rows.append(np.full(len(near), i))
-        picked.append(v_ids[near])
-        values.append(scores[i, near])
-    return np.concatenate(rows), np.concatenate(picked), np.concatenate(values)
-
-
-def _frame(q_name, v_name, q_ids, found) -> pd.DataFrame:
-    rows, picked, values = found
-    return pd.DataFrame({q_name: q_ids[rows], v_name: picked, "cosine": values})
-
-
-def _prune(parts: list[pd.DataFrame], q_name: str, v_name: str, k: int) -> pd.DataFrame:
-    both = pd.concat(parts, ignore_index=True)
-    both = both.sort_values([q_name, "cosine", v_name], ascending=[True, False, True])
-    return both.groupby(q_name, sort=False).head(k)
+    return scores
 
 
 def _shippable(df: DataFrame) -> pd.DataFrame | None:
@@ -131,15 +110,14 @@ def _scan_vectors(vs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
 
     def scan(batches):
         ids, unit = shipped.value
-        best = None
+        best = RunningTopK(len(ids), k)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            found = _best(ids, unit, _ids(pdf.iloc[:, 0]), _unit(pdf.iloc[:, 1]), k, exclude_same)
-            part = _frame(query_id, id_col, ids, found)
-            best = part if best is None else _prune([best, part], query_id, id_col, k)
-        if best is not None:
-            yield best
+            if not pdf.empty:
+                found = _ids(pdf.iloc[:, 0])
+                best.add(_scores(ids, unit, found, _unit(pdf.iloc[:, 1]), exclude_same), found)
+        out = best.frame(ids, query_id, id_col, "cosine")
+        if out is not None:
+            yield out
 
     return vs.mapInPandas(scan, schema)
 
@@ -154,9 +132,9 @@ def _scan_queries(qs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
             if pdf.empty:
                 continue
             q_ids = _ids(pdf.iloc[:, 0])
-            out = _frame(
-                query_id, id_col, q_ids, _best(q_ids, _unit(pdf.iloc[:, 1]), ids, unit, k, exclude_same)
-            )
+            best = RunningTopK(len(q_ids), k)
+            best.add(_scores(q_ids, _unit(pdf.iloc[:, 1]), ids, unit, exclude_same), ids)
+            out = best.frame(q_ids, query_id, id_col, "cosine")
             out["rk"] = out.groupby(query_id, sort=False).cumcount().astype("int32") + 1
             yield out
 
@@ -213,18 +191,18 @@ def knn_within(
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         blocks = dict(tuple(right.groupby(parts, sort=False)))
-        out = []
+        out = [pd.DataFrame({query_id: [], id_col: [], "cosine": []})]
         for name, q in left.groupby(parts, sort=False):
             v = blocks.get(name)
             if v is not None:
-                ids = _ids(q[query_id])
-                found = _best(
-                    ids, _unit(q[query_vector]), _ids(v[id_col]), _unit(v[vector_col]), k, exclude_same
-                )
-                out.append(_frame(query_id, id_col, ids, found))
-        if not out:
-            return pd.DataFrame({query_id: [], id_col: [], "cosine": []})
-        return _prune(out, query_id, id_col, k) if len(out) > 1 else out[0]
+                q_ids, v_ids = _ids(q[query_id]), _ids(v[id_col])
+                q_unit, v_unit = _unit(q[query_vector]), _unit(v[vector_col])
+                best = RunningTopK(len(q_ids), k)
+                for at in range(0, len(v_ids), STEP_ROWS):
+                    ids = v_ids[at : at + STEP_ROWS]
+                    best.add(_scores(q_ids, q_unit, ids, v_unit[at : at + STEP_ROWS], exclude_same), ids)
+                out.append(best.frame(q_ids, query_id, id_col, "cosine"))
+        return pd.concat(out[1:] or out, ignore_index=True)
 
     schema = _result_schema(queries, query_id, vectors, id_col)
     return q_side.groupBy("_pack").cogroup(v_side.groupBy("_pack")).applyInPandas(meet, schema)

@@ -309,7 +309,7 @@ def c10(t):
     sp.with_(
         *HYBRID,
         select="""SELECT query_id, rk, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"'
-          || coalesce(',"sparse":' || sparse, '') || ',"score":' || score || '}' AS summary
+          || coalesce(',"sparse":' || sparse, '') || ',"score":' || round(score::DECIMAL(18, 8), 6)::DOUBLE || '}' AS summary
         FROM hits JOIN documents USING (doc_id)""",
     ),
 )

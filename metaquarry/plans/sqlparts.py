@@ -92,7 +92,7 @@ def fused(p: str, k: int, mult: int = 5) -> str:
 {ranked(p + "d5", p + "cos", "cosine", w)},
 {p}joined AS (
   SELECT query_id, doc_id, cosine, sparse,
-    round(0.6 * coalesce((1 + cosine) / 2, 0) + 0.4 * coalesce(2 / pi() * atan(sparse), 0), 6) AS score
+    round(0.6 * coalesce((1 + cosine) / 2, 0) + 0.4 * coalesce(2 / pi() * atan(sparse), 0), 8) AS score
   FROM (SELECT query_id, doc_id, cosine FROM {p}d5) FULL JOIN (SELECT query_id, doc_id, sparse FROM {p}s5)
     USING (query_id, doc_id)),
 {ranked(p + "hits", p + "joined", "score", k)}"""
