@@ -118,12 +118,19 @@ def describe_column() -> Column:
     return describe(COLUMN_LABELS)
 
 
-def normalize_json(c: Column) -> Column:
-    """VARIANT of the parsed value when the string is JSON, else of the string itself."""
-    parsed = F.try_parse_json(c)
-    return F.coalesce(parsed, _as_variant(c))
+def parse_json(c: Column) -> Column:
+    """VARIANT of a text that is JSON as a whole, else null.
+
+    Spark's parser stops after the first value and ignores what follows. Inside an array
+    and inside an object, text after the value is an error in at least one of the two.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
 
 
-def _as_variant(c: Column) -> Column:
-    quoted = F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    return F.try_parse_json(quoted)
+def normalize_json(c: Column) -> Column:
+    """VARIANT of the parsed value when the string is JSON, else of the string itself."""
+    as_text = F.to_json(F.array(c))
+    quoted = F.substring(as_text, F.lit(2), F.length(as_text) - 2)
+    return F.coalesce(parse_json(c), F.try_parse_json(quoted))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["search"]
+FAMILIES = ["search", "catalogs", "statements", "tasks", "conversations", "streams"]
 
 
 def load_all() -> None:
