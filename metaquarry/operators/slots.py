@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaquarry.functions.text import parse_json
 
@@ -214,12 +215,16 @@ def task_message(missing: Column, task_json: Column, explanation: Column) -> Col
     return F.when(F.size(missing) > 0, ask).otherwise(done)
 
 
-@F.pandas_udf("string")
-def pretty_json(texts: pd.Series) -> pd.Series:
+def pretty_json(json_text: Column) -> Column:
     """JSON text indented by two blanks, other scripts kept as they are."""
-    return texts.map(
-        lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False, indent=2)
-    )
+
+    @F.pandas_udf(T.StringType())
+    def indent(texts: pd.Series) -> pd.Series:
+        return texts.map(
+            lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False, indent=2)
+        )
+
+    return indent(json_text)
 
 
 def advance_tasks(state: DataFrame, extracted: DataFrame, templates: DataFrame) -> DataFrame:
