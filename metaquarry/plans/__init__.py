@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["search", "catalogs", "statements", "tasks", "conversations", "streams"]
+FAMILIES = ["search", "catalogs", "statements", "tasks", "conversations", "streams", "models"]
 
 
 def load_all() -> None:
