@@ -56,13 +56,10 @@ def has_denied_keyword(statement: Column) -> Column:
 
 
 def denied_keywords(statement: Column) -> Column:
-    """The denied keywords found, in list order; the per-word tests run on hits only."""
-    found = F.array_compact(
-        F.array(*[F.when(_has_word(statement, w), F.lit(w)) for w in DENIED])
-    )
-    return F.when(has_denied_keyword(statement), found).otherwise(
-        F.array().cast("array<string>")
-    )
+    """The denied keywords found, in list order."""
+    pattern = f"{WORD_EDGE_LEFT}({'|'.join(DENIED)})(?={WORD_EDGE_RIGHT})"
+    found = F.regexp_extract_all(F.upper(statement), F.lit(pattern), F.lit(2))
+    return F.array_intersect(F.array(*[F.lit(w) for w in DENIED]), found)
 
 
 def is_safe_sql(sql: Column) -> Column:
@@ -74,18 +71,18 @@ def is_safe_sql(sql: Column) -> Column:
     )
 
 
-def block_reasons(model_flag: Column, sql: Column) -> Column:
-    """Why a statement is blocked, as an array of reason names; empty when it may pass."""
-    cleaned = strip_comments(F.coalesce(sql, F.lit("")))
-    first = first_statement(cleaned)
-    count = F.size(statements(cleaned))
+def block_reasons(model_flag: Column, count: Column, statement: Column, keywords: Column) -> Column:
+    """Why a statement is blocked, as an array of reason names; empty when it may pass.
+
+    ``count`` is the number of statements found, ``statement`` the first of them.
+    """
     return F.array_compact(
         F.array(
             F.when(~F.coalesce(model_flag, F.lit(False)), "model_flag"),
             F.when(count == 0, "empty"),
             F.when(count > 1, "multiple_statements"),
-            F.when((count == 1) & ~is_read_only_prefix(first), "not_read_only"),
-            F.when((count == 1) & has_denied_keyword(first), "denied_keyword"),
+            F.when((count == 1) & ~is_read_only_prefix(statement), "not_read_only"),
+            F.when((count == 1) & (F.size(keywords) > 0), "denied_keyword"),
         )
     )
 
@@ -95,9 +92,8 @@ BLOCKED_PREFIX = "检测到生成的 SQL 包含非安全操作，已被拦截。
 PASSED_OPEN, PASSED_CLOSE = "```sql\n", "\n```\n\n**解释**: "
 
 
-def gate_message(model_flag: Column, sql: Column, explanation: Column) -> Column:
+def gate_message(passes: Column, sql: Column, explanation: Column) -> Column:
     why = F.coalesce(explanation, F.lit(""))
-    passes = F.coalesce(model_flag, F.lit(False)) & is_safe_sql(sql)
     return F.when(
         passes, F.concat(F.lit(PASSED_OPEN), sql, F.lit(PASSED_CLOSE), why)
     ).otherwise(F.concat(F.lit(BLOCKED_PREFIX), why))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from metaquarry.functions.text import tokens
 from metaquarry.schemas import EMBEDDING_DIM
+from metaquarry.session import spread
 
 
 def xxhash_bucket(term: Column, dim: int) -> Column:
@@ -109,7 +110,8 @@ def group_hash_embedding(
     buckets = F.transform(words, lambda t: bucket(t, dim))
     # every group keeps a row even when its texts have no token
     counts = (
-        docs.select(group_col, F.explode_outer(buckets).alias("_b"))
+        spread(docs.select(group_col, text_col))
+        .select(group_col, F.explode_outer(buckets).alias("_b"))
         .groupBy(group_col, "_b")
         .agg(F.count("_b").alias("_c"))
         .groupBy(group_col)

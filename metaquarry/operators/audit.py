@@ -11,24 +11,31 @@ from metaquarry.functions import guard as g
 def gate(
     log: DataFrame, sql: str = "sql", flag: str = "is_safe", explanation: str = "explanation"
 ) -> DataFrame:
-    """Add verdict, block_reasons and final_output to every statement."""
-    reasons = g.block_reasons(F.col(flag), F.col(sql))
+    """Add verdict, block_reasons, denied keywords and final_output to every statement.
+
+    Each text is cleaned, split and searched once; the later columns use the results.
+    """
+    n, head = F.col("_n"), F.col("_head")
     return (
-        log.withColumn("safe_sql", g.is_safe_sql(F.col(sql)))
-        .withColumn("block_reasons", reasons)
+        log.withColumn("_parts", g.statements(g.strip_comments(F.coalesce(F.col(sql), F.lit("")))))
+        .withColumn("_n", F.size("_parts"))
+        .withColumn("_head", F.upper(F.coalesce(F.get("_parts", F.lit(0)), F.lit(""))))
+        .withColumn("denied", g.denied_keywords(head))
+        .withColumn("block_reasons", g.block_reasons(F.col(flag), n, head, F.col("denied")))
+        .withColumn("safe_sql", F.size(F.array_except("block_reasons", F.array(F.lit("model_flag")))) == 0)
         .withColumn("blocked", F.size("block_reasons") > 0)
-        .withColumn("final_output", g.gate_message(F.col(flag), F.col(sql), F.col(explanation)))
+        .withColumn("final_output", g.gate_message(~F.col("blocked"), F.col(sql), F.col(explanation)))
+        .drop("_parts", "_n", "_head")
     )
 
 
 def audit_report(gated: DataFrame, sql: str = "sql") -> DataFrame:
     """Blocked statements per reason and denied keyword: how many, and how many different."""
-    found = g.denied_keywords(g.first_statement(g.strip_comments(F.coalesce(F.col(sql), F.lit("")))))
     rows = gated.where("blocked").select(
-        sql, F.explode("block_reasons").alias("reason"), found.alias("_found")
+        F.md5(sql).alias("_id"), F.explode("block_reasons").alias("reason"), "denied"
     )
-    keywords = F.when(F.col("reason") == "denied_keyword", F.col("_found"))
-    rows = rows.select(sql, "reason", F.explode_outer(keywords).alias("keyword"))
+    keywords = F.when(F.col("reason") == "denied_keyword", F.col("denied"))
+    rows = rows.select("_id", "reason", F.explode_outer(keywords).alias("keyword"))
     return rows.groupBy("reason", "keyword").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(sql).alias("n_distinct")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("n_distinct")
     )

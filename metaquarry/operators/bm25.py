@@ -26,6 +26,7 @@ from metaquarry.functions.text import token_count, tokens
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
+from metaquarry.session import spread
 
 SPARSE_DIGITS = 4
 TERM_PARTS = 256
@@ -42,6 +43,7 @@ class Bm25Index:
     stats: DataFrame  # one row: n_docs, avg_len
     id_col: str
     carried: tuple[str, ...] = ()
+    grouped: bool = False  # without LENGTH_TERM postings
 
     def save(self, path: str) -> None:
         """Postings in directories by term hash, sorted by term, so a search reads only
@@ -60,7 +62,8 @@ class Bm25Index:
         )
         saved = self.postings.sparkSession.read.parquet(f"{path}/postings")
         _document_frequencies(saved).write.parquet(f"{path}/terms")
-        self.stats.write.parquet(f"{path}/stats")
+        stats = self.stats if self.grouped else _statistics(saved)
+        stats.write.parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark, path: str, id_col: str, carried: tuple[str, ...] = ()) -> "Bm25Index":
@@ -73,11 +76,22 @@ class Bm25Index:
         )
 
 
+# A term no text has; one posting of it per document carries the document's length.
+LENGTH_TERM = ""
+
+
 def _document_frequencies(postings: DataFrame) -> DataFrame:
     # count(tf) keeps the postings subplan the same as the scoring one: its exchange is reused
     return postings.groupBy("term").agg(F.count("tf").alias("df"))
 
 
+def _statistics(postings: DataFrame) -> DataFrame:
+    # no filter here: it would be pushed down and make this another subplan
+    own = F.col("term") == LENGTH_TERM
+    n_docs, total = F.sum(F.when(own, F.col("tf"))), F.sum(F.when(own, F.col("doc_len")))
+    return postings.agg(n_docs.alias("n_docs"), (total / n_docs).alias("avg_len"))
+
+
 def tokenize(df: DataFrame, id_col: str, text_col: str, han_pairs: bool = False) -> DataFrame:
     """One row per token."""
     return df.select(id_col, F.explode(tokens(F.col(text_col), han_pairs)).alias("term"))
@@ -92,20 +106,29 @@ def bm25_index(
     small_vocabulary: bool = False,
     han_pairs: bool = False,
 ) -> Bm25Index:
-    """Count postings. With a ``vocabulary`` only its terms are kept, before any shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = tokens(text, han_pairs)
-    count = F.size(words) if han_pairs else token_count(text)
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(count).alias("avg_len"))
-    rows = docs.select(id_col, *carried, words.alias("_words")).select(
-        id_col, *carried, F.size("_words").alias("doc_len"), F.explode("_words").alias("term")
+    """Count postings. With a ``vocabulary`` only its terms are kept, before any shuffle.
+
+    Every document adds one posting of LENGTH_TERM, so that postings, document frequencies
+    and length statistics all come from one pass over the texts and one shuffle.
+    """
+    words = tokens(F.coalesce(F.col(text_col), F.lit("")), han_pairs)
+    rows = spread(docs.select(id_col, *carried, text_col)).select(
+        id_col, *carried, words.alias("_words")
+    )
+    rows = rows.select(
+        id_col,
+        *carried,
+        F.size("_words").alias("doc_len"),
+        F.explode(F.array_append("_words", F.lit(LENGTH_TERM))).alias("term"),
     )
     if vocabulary is not None:
-        rows = rows.join(maybe_broadcast(vocabulary, small_vocabulary), "term", "left_semi")
+        length_term = docs.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))
+        wanted = vocabulary.unionByName(length_term)
+        rows = rows.join(maybe_broadcast(wanted, small_vocabulary), "term", "left_semi")
     postings = rows.groupBy(id_col, *carried, "doc_len", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    return Bm25Index(postings, _document_frequencies(postings), stats, id_col, carried)
+    return Bm25Index(postings, _document_frequencies(postings), _statistics(postings), id_col, carried)
 
 
 def query_terms(queries: DataFrame, query_id: str, query_text: str, han_pairs=False) -> DataFrame:
@@ -301,6 +324,7 @@ def group_index(
     before the shuffle, so a group may be of any size.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = spread(docs.select(group_col, text_col))
     lengths = docs.groupBy(group_col).agg(F.sum(token_count(text)).alias("doc_len"))
     rows = docs.select(group_col, F.explode(tokens(text)).alias("term"))
     if vocabulary is not None:
@@ -308,4 +332,4 @@ def group_index(
     counts = rows.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = counts.join(lengths, group_col)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return Bm25Index(postings, _document_frequencies(counts), stats, group_col)
+    return Bm25Index(postings, _document_frequencies(counts), stats, group_col, grouped=True)

@@ -9,6 +9,7 @@ from metaquarry.operators.catalogs import (
     build_table_catalog,
     build_template_catalog,
 )
+from metaquarry.session import spread
 from metaquarry.sources.metadata import generate_columns, generate_tables
 
 UPDATED_AT = 1_700_000_000
@@ -17,7 +18,7 @@ UPDATED_AT = 1_700_000_000
 def raw_tables(t):
     """One table per part, its subject the part's name and type."""
     subject = F.concat_ws(" ", "p_name", "p_type").alias("subject")
-    return generate_tables(t.part.select(F.col("p_partkey").alias("table_no"), subject))
+    return generate_tables(spread(t.part.select(F.col("p_partkey").alias("table_no"), subject)))
 
 
 def raw_columns(t):
@@ -28,7 +29,7 @@ def raw_templates(t):
     """One template per part; some fields are missing, for defaults to fill."""
     size = F.col("p_size")
     slots = F.array(F.lit("source_table"), F.lit("target_table"))
-    return t.part.select(
+    return spread(t.part).select(
         F.concat(F.lit("template::"), "p_partkey").alias("doc_id"),
         F.concat(F.lit("t"), "p_partkey").alias("template_code"),
         F.concat("p_name", F.lit(" load "), "p_brand").alias("template_name"),

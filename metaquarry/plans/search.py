@@ -10,6 +10,7 @@ from metaquarry.functions.text import tokens
 from metaquarry.models import group_hash_embedding, hash_embedding, md5_bucket
 from metaquarry.operators import context as cx
 from metaquarry.operators.bm25 import (
+    LENGTH_TERM,
     bm25_index,
     bm25_search,
     group_index,
@@ -31,6 +32,7 @@ from metaquarry.operators.topk import fits, top_k
 from metaquarry.plans import sqlparts as sp
 from metaquarry.plans.catalog_data import column_catalog, table_catalog, template_catalog
 from metaquarry.plans.registry import query
+from metaquarry.session import spread
 
 DIM = 64
 embed = partial(hash_embedding, dim=DIM, bucket=md5_bucket)
@@ -64,7 +66,7 @@ def document_space(t):
 
 
 def child_space(t):
-    docs = t.documents.select("doc_id", F.col("text").alias("search_text"), "lang", "source")
+    docs = spread(t.documents).select("doc_id", F.col("text").alias("search_text"), "lang", "source")
     return Space(
         docs.withColumn("dense_vector", embed(F.col("search_text"))), parent_col="source"
     )
@@ -108,7 +110,7 @@ D_BOTH = """SELECT doc_id, text AS txt, lang, source FROM documents
     (SELECT doc_id, unnest({sp.tokens("text")}) AS term FROM documents) GROUP BY 1, 2""",
 )
 def e01(t):
-    rows = tokenize(t.documents, "doc_id", "text")
+    rows = tokenize(spread(t.documents), "doc_id", "text")
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -124,7 +126,7 @@ def e01(t):
 def e02(t):
     ix = bm25_index(t.documents, "doc_id", "text")
     s = ix.stats.select(F.struct("n_docs", "avg_len")).scalar()
-    per_term = ix.postings.groupBy("term").agg(
+    per_term = ix.postings.where(F.col("term") != LENGTH_TERM).groupBy("term").agg(
         F.count("tf").alias("df"), F.sum("tf").alias("sum_tf")
     )
     return per_term.select(
@@ -215,7 +217,7 @@ def e06(t):
     ),
 )
 def c12(t):
-    vecs = t.documents.select("doc_id", embed(F.col("text")).alias("v"))
+    vecs = spread(t.documents).select("doc_id", embed(F.col("text")).alias("v"))
     cells = vecs.select("doc_id", F.posexplode("v").alias("pos", "w"))
     return cells.where("w <> 0").select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("w").cast("double"), 6).alias("weight")

@@ -51,3 +51,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+# Inputs below this size per core (and in all) may sit in fewer file splits than cores.
+SPREAD_BYTES_PER_CORE, SPREAD_BYTES = 32 << 20, 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input as many partitions as there are cores before costly work per row.
+
+    A small file is one split, so one task would do all the work. Large inputs come in
+    enough splits and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < min(cores * SPREAD_BYTES_PER_CORE, SPREAD_BYTES) else df
