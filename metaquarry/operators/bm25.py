@@ -34,6 +34,7 @@ TERM_PARTS = 256
 SLICE_ROWS = 1_000_000
 # One numpy block: postings gathered per step, and documents x queries scored at once.
 STEP_POSTINGS, BLOCK_CELLS = 100_000, 2_000_000
+SHARED_TERMS = 64
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,15 @@ def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allow
     order = np.argsort(codes, kind="stable")
     asks = np.searchsorted(q_ids, np.asarray(qterms.iloc[:, 0].tolist()))[order]
     starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    # terms many queries ask for are scored by a matrix product, the others pair by pair
+    fans = np.diff(starts)
+    shared = np.argsort(-fans, kind="stable")[:SHARED_TERMS]
+    shared = shared[fans[shared] >= max(4, len(q_ids) // 16)]
+    shared_no = np.full(len(names), -1)
+    shared_no[shared] = np.arange(len(shared))
+    wants = np.zeros((len(shared), len(q_ids)))
+    for i, term in enumerate(shared):
+        wants[i, asks[starts[term] : starts[term + 1]]] = 1.0
     numbered = spark.createDataFrame(
         pd.DataFrame({"term": names, "_t": range(len(names))}), "term string, _t int"
     )
@@ -200,20 +210,25 @@ def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allow
             [at[p] for p in known[parent]],
             np.searchsorted(q_ids, np.asarray(known[query_id].tolist())),
         ] = True
-    shipped = spark.sparkContext.broadcast((q_ids, asks, starts, mask))
+    shipped = spark.sparkContext.broadcast((q_ids, asks, starts, mask, shared_no, wants))
     id_col = index.id_col
 
     def score(rows: pd.DataFrame, best: RunningTopK) -> None:
-        q_ids, asks, starts, mask = shipped.value
-        ids, first, doc = np.unique(
-            np.asarray(rows[id_col].tolist()), return_index=True, return_inverse=True
-        )
+        q_ids, asks, starts, mask, shared_no, wants = shipped.value
+        # rows of a document are together: a new id starts a new document
+        names = rows[id_col].to_numpy()
+        starts_doc = np.ones(len(names), dtype=bool)
+        starts_doc[1:] = names[1:] != names[:-1]
+        first, doc = np.flatnonzero(starts_doc), np.cumsum(starts_doc) - 1
+        ids = np.asarray(names[first].tolist())
         t, w = rows["_t"].to_numpy(), rows["w"].to_numpy()
         parent_no = rows["_p"].to_numpy()[first]
         width = max(1, BLOCK_CELLS // len(q_ids))
         for low in range(0, len(ids), width):
             n = min(width, len(ids) - low)
-            mine = np.flatnonzero((doc >= low) & (doc < low + n))
+            inside = (doc >= low) & (doc < low + n)
+            many = np.flatnonzero(inside & (shared_no[t] >= 0))
+            mine = np.flatnonzero(inside & (shared_no[t] < 0))
             fan = starts[t[mine] + 1] - starts[t[mine]]
             rep = np.repeat(mine, fan)
             # position of every (posting, asking query) in ``asks``
@@ -221,7 +236,11 @@ def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allow
             q = asks[starts[t[rep]] + offset]
             cell = (doc[rep] - low) * len(q_ids) + q
             block = np.bincount(cell, weights=w[rep], minlength=n * len(q_ids))
-            block = block.reshape(n, len(q_ids))
+            block = block.astype(np.float64, copy=False).reshape(n, len(q_ids))
+            if len(many):
+                weights = np.zeros((n, len(wants)))
+                weights[doc[many] - low, shared_no[t[many]]] = w[many]
+                block += weights @ wants
             hit = block > 0
             if mask is not None:
                 hit &= mask[parent_no[low : low + n]]

@@ -60,9 +60,8 @@ def _dense(queries, space: Space, k, filters, allowed) -> DataFrame:
     keyed = queries.select("query_id", "query_vector").join(
         allowed.select("query_id", space.parent_col), "query_id"
     )
-    rows = rows.where(F.col(space.vector_col).isNotNull())
     partial = knn_within(
-        keyed.where(F.col("query_vector").isNotNull()),
+        keyed,
         rows.join(allowed.select(space.parent_col).distinct(), space.parent_col, "left_semi"),
         k,
         space.parent_col,

@@ -43,9 +43,14 @@ def _scores(q_ids, q_unit, v_ids, v_unit, exclude_same: bool) -> np.ndarray:
     return scores
 
 
+def _known(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose vector (second column) is there."""
+    return pdf[pdf.iloc[:, 1].notna()]
+
+
 def _shippable(df: DataFrame) -> pd.DataFrame | None:
     """The rows of ``df`` if their number and size are within bounds; reads no more."""
-    head = df.limit(SHIP_ROWS + 1).toPandas()
+    head = _known(df.limit(SHIP_ROWS + 1).toPandas())
     if len(head) > SHIP_ROWS or sum(len(v) for v in head.iloc[:, 1]) > SHIP_VALUES:
         return None
     return head
@@ -76,8 +81,10 @@ def knn_exact(
 ) -> DataFrame:
     """The k vectors with the highest cosine per query: query_id, id, cosine, rk."""
     schema = _result_schema(queries, query_id, vectors, id_col)
-    qs = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    vs = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
+    # null vectors are dropped where batches are read: a filter here would make Spark
+    # compute an encoder's output twice
+    qs = queries.select(query_id, query_vector)
+    vs = vectors.select(id_col, vector_col)
     head = _shippable(qs) if ship else None
     if head is not None:
         if head.empty:
@@ -111,7 +118,7 @@ def _scan_vectors(vs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
     def scan(batches):
         ids, unit = shipped.value
         best = RunningTopK(len(ids), k)
-        for pdf in batches:
+        for pdf in map(_known, batches):
             if not pdf.empty:
                 found = _ids(pdf.iloc[:, 0])
                 best.add(_scores(ids, unit, found, _unit(pdf.iloc[:, 1]), exclude_same), found)
@@ -128,7 +135,7 @@ def _scan_queries(qs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
 
     def scan(batches):
         ids, unit = shipped.value
-        for pdf in batches:
+        for pdf in map(_known, batches):
             if pdf.empty:
                 continue
             q_ids = _ids(pdf.iloc[:, 0])
@@ -190,6 +197,7 @@ def knn_within(
     parts = [key, "_vb", "_qb"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = _known(left), _known(right)
         blocks = dict(tuple(right.groupby(parts, sort=False)))
         out = [pd.DataFrame({query_id: [], id_col: [], "cosine": []})]
         for name, q in left.groupby(parts, sort=False):
@@ -215,9 +223,13 @@ def hyperplane_keys(vector_col, dim: int, tables: int, bits: int, seed: int = 7)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(vectors: pd.Series) -> pd.Series:
-        sides = (np.stack(vectors.to_numpy()).astype(np.float64) @ planes) > 0
-        codes = sides.reshape(len(vectors), tables, bits) @ powers
-        return pd.Series(list(codes + (np.arange(tables) << bits)))
+        known = vectors[vectors.notna()]
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        if len(known):
+            sides = (np.stack(known.to_numpy()).astype(np.float64) @ planes) > 0
+            codes = sides.reshape(len(known), tables, bits) @ powers
+            out[known.index] = pd.Series(list(codes + (np.arange(tables) << bits)), index=known.index)
+        return out
 
     return keys(vector_col)
 
@@ -243,7 +255,7 @@ def knn_approx(
     """
 
     def keyed(df, ident, vector):
-        rows = df.select(ident, vector).where(F.col(vector).isNotNull())
+        rows = df.select(ident, vector)
         return rows.withColumn("_key", F.explode(hyperplane_keys(vector, dim, tables, bits)))
 
     partial = knn_within(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metaquarry.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -16,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -24,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _run(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return fn(Tables(spark, sf_dir))
+
+
 class Tables:
     """``t.documents`` is the documents table of the data folder."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -66,3 +68,21 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < min(cores * SPREAD_BYTES_PER_CORE, SPREAD_BYTES) else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Not needed where the package is installed on all nodes or passed with --py-files.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    base = os.path.join(tempfile.mkdtemp(prefix="metaquarry-"), name)
+    sc.addPyFile(shutil.make_archive(base, "zip", root, name))
+    _SHIPPED.add(sc.applicationId)
