@@ -13,7 +13,7 @@ sliced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -37,6 +37,10 @@ STEP_POSTINGS, BLOCK_CELLS = 100_000, 2_000_000
 SHARED_TERMS = 64
 
 
+def _term_part() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     postings: DataFrame  # id, doc_len, carried attributes, term, tf
@@ -46,14 +50,14 @@ class Bm25Index:
     carried: tuple[str, ...] = ()
     grouped: bool = False  # without LENGTH_TERM postings
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, slices: int = 16) -> None:
         """Postings in directories by term hash, sorted by term, so a search reads only
-        the directories (partition pruning) and row groups (min/max) of its own terms."""
-        part = F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")
+        the directories (partition pruning) and row groups (min/max) of its own terms.
+        A term's postings are written by up to ``slices`` tasks."""
         (
-            self.postings.withColumn("term_part", part)
+            self.postings.withColumn("term_part", _term_part())
             # a frequent term's postings are spread over many files
-            .withColumn("slice", F.pmod(F.xxhash64(self.id_col), F.lit(16)))
+            .withColumn("slice", F.pmod(F.xxhash64(self.id_col), F.lit(slices)))
             .repartition("term_part", "slice")
             .sortWithinPartitions("term_part", "term")
             .drop("slice")
@@ -66,6 +70,14 @@ class Bm25Index:
         stats = self.stats if self.grouped else _statistics(saved)
         stats.write.parquet(f"{path}/stats")
 
+    def pruned(self, vocabulary: DataFrame) -> "Bm25Index":
+        """A saved index reduced to the directories that can hold these terms."""
+        if "term_part" not in self.postings.columns:
+            return self
+        # at most TERM_PARTS values
+        parts = [r[0] for r in vocabulary.select(_term_part().alias("p")).distinct().collect()]
+        return replace(self, postings=self.postings.where(F.col("term_part").isin(parts)))
+
     @staticmethod
     def load(spark, path: str, id_col: str, carried: tuple[str, ...] = ()) -> "Bm25Index":
         return Bm25Index(
@@ -316,6 +328,8 @@ def bm25_search(
     )
     if small and (asked.empty or (limited is not None and limited.empty)):
         return queries.sparkSession.createDataFrame([], schema).withColumn("rk", F.lit(1))
+    if small:
+        index = index.pruned(vocabulary)
     weighted = _weighted(index, vocabulary, small, where)
     if small:
         scores = _block_scores(weighted, index, asked, query_id, schema, limited, parent, k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metaquarry.operators.filters import column_filter, table_filter, template_filter
 from metaquarry.operators.hybrid import Space, hybrid_search, with_fields
-from metaquarry.operators.topk import top_k
+from metaquarry.operators.topk import fits, maybe_broadcast
 from metaquarry.session import cut_lineage
 
 # How many hits each search returns and how many columns are rendered.
@@ -32,6 +32,12 @@ def search_templates(queries: DataFrame, space: Space, k: int = TEMPLATE_HITS, *
     return hybrid_search(queries, space, k, filters=template_filter(**filters))
 
 
+def _stored(hits: DataFrame) -> DataFrame:
+    """Compute and store hits once; mark them for broadcast if they are few."""
+    hits = cut_lineage(hits)
+    return maybe_broadcast(hits, fits(hits))
+
+
 def search_sql_context(
     queries: DataFrame,
     parents: Space,
@@ -48,16 +54,16 @@ def search_sql_context(
     their parent in ``children.parent_col``.
     """
     # both stages are read several times below, so each is computed once and stored
-    first = cut_lineage(hybrid_search(queries, parents, parent_k, filters=parent_filters))
+    first = _stored(hybrid_search(queries, parents, parent_k, filters=parent_filters))
     key = children.parent_col
     allowed = first.select("query_id", F.col(parents.id_col).alias(key))
-    within = cut_lineage(
+    within = _stored(
         hybrid_search(queries, children, child_k, filters=child_filters, allowed=allowed)
     )
     unmet = queries.join(within.select("query_id").distinct(), "query_id", "left_anti")
     everywhere = hybrid_search(unmet, children, child_k, filters=child_filters)
-    hits = within.unionByName(everywhere)
-    return first, with_fields(hits, children, [key])
+    hits = with_fields(within, children, [key])
+    return first, hits.unionByName(with_fields(everywhere, children, [key]))
 
 
 def search_schemas(queries, parents: Space, children: Space, k: int = 5, **filters) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metaquarry.operators.bm25 import Bm25Index, bm25_search
 from metaquarry.operators.filters import build_filter
 from metaquarry.operators.knn import knn_exact, knn_within
-from metaquarry.operators.topk import top_k
+from metaquarry.operators.topk import SMALL_ROWS, fits, maybe_broadcast, top_k
 from metaquarry.schemas import CANDIDATE_MULT, DENSE_WEIGHT, SPARSE_WEIGHT
 
 # one digit more than 0.3 x a six-digit cosine has, so no score lies on a rounding border
@@ -116,13 +116,16 @@ def hybrid_search(
     w_dense, w_sparse = weights
     fused = F.round(w_dense * F.col("dense_norm") + w_sparse * F.col("sparse_norm"), SCORE_DIGITS)
     ranked = top_k(both.withColumn("score", fused), "query_id", "score", k, space.id_col)
-    return ranked.select("query_id", space.id_col, "cosine", "sparse", "score", "rk")
+    hits = ranked.select("query_id", space.id_col, "cosine", "sparse", "score", "rk")
+    # at most k hits per query: with few queries, joins to the wide rows need not shuffle them
+    few = fits(queries.select("query_id"), SMALL_ROWS // k)
+    return maybe_broadcast(hits, few)
 
 
 def with_fields(hits: DataFrame, space: Space, fields: list[str]) -> DataFrame:
     """Join the wide columns back, after ranking: those of ``fields`` the rows really have.
 
-    The hits are k per query, so the join can be planned from their size.
+    ``hybrid_search`` marks hits of few queries for broadcast, so the rows are not shuffled.
     """
     have = [f for f in fields if f in space.rows.columns and f != space.id_col]
     rows = space.rows.select(space.id_col, *have)

@@ -22,6 +22,8 @@ from metaquarry.operators.topk import top_k
 DENSE_DIGITS = 6
 # What may be shipped to every task: rows, and values (rows x dimension; 8 bytes each).
 SHIP_ROWS, SHIP_VALUES = 20_000, 8_000_000
+# Results one task of the vector scan may hand on: queries x k.
+SHIP_RESULTS = 1_000_000
 BLOCK_ROWS = 20_000
 STEP_ROWS = 1_000
 
@@ -86,7 +88,7 @@ def knn_exact(
     qs = queries.select(query_id, query_vector)
     vs = vectors.select(id_col, vector_col)
     head = _shippable(qs) if ship else None
-    if head is not None:
+    if head is not None and len(head) * k <= SHIP_RESULTS:
         if head.empty:
             spark = queries.sparkSession
             return spark.createDataFrame([], schema).withColumn("rk", F.lit(1))

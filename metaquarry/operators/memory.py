@@ -21,6 +21,7 @@ from metaquarry.schemas import (
 )
 
 CHUNK_ROWS = 4096
+BUCKET_ROWS = 2_000_000
 
 
 def append_messages(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,11 +37,26 @@ def latest_fields(updates: DataFrame, thread: str, order: list[str], fields: lis
     return updates.groupBy(thread).agg(*aggs)
 
 
+def even_buckets(log: DataFrame, order: Column, rows_per_bucket: int = BUCKET_ROWS) -> Column:
+    """A bucket number that does not decrease along ``order`` (a whole number, such as
+    seconds): equal ranges, as many as make ``rows_per_bucket`` rows each on average.
+
+    The rows of all threads together fill a bucket, so a thread holding most of them is cut
+    into nearly as many parts as there are buckets.
+    """
+    n, low, high = log.agg(F.count(order), F.min(order), F.max(order)).first()
+    if not n:
+        return F.lit(0)
+    buckets = -(-n // rows_per_bucket)
+    width = max(1, -(-(high - low + 1) // buckets))
+    return F.floor((order - F.lit(low)) / F.lit(width))
+
+
 def positions(log: DataFrame, thread: str, order: list[str], bucket: Column) -> DataFrame:
     """Add ``pos``, 0 for a thread's first message.
 
-    ``bucket`` must not decrease along the order (a day, say): rows are numbered within
-    (thread, bucket) and only the bucket sizes are summed along the thread.
+    ``bucket`` (see ``even_buckets``) must not decrease along the order: rows are numbered
+    within (thread, bucket) and only the bucket sizes are summed along the thread.
     """
     rows = log.withColumn("_bucket", bucket)
     sizes = rows.groupBy(thread, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,6 +11,7 @@ from metaquarry.operators.audit import gate
 from metaquarry.operators.filters import column_filter, table_filter
 from metaquarry.operators.hybrid import Space, with_fields
 from metaquarry.operators.parsing import NO_TEMPLATES, no_hit_replies, parse_sql_output
+from metaquarry.operators.topk import fits, maybe_broadcast
 from metaquarry.session import cut_lineage
 
 SUMMARY_LABEL = "Conversation so far: "
@@ -83,6 +84,7 @@ def task_prompts(queries: DataFrame, templates: Space) -> tuple[DataFrame, DataF
     """(prompts with the candidate templates, reply rows of questions without any)."""
     # the hits feed both results, so they are computed once
     hits = cut_lineage(cx.search_templates(queries, templates))
+    hits = maybe_broadcast(hits, fits(hits))
     context = cx.render_templates(with_fields(hits, templates, templates.rows.columns))
     turns = _optional(queries.drop("query_vector")).join(context, "query_id")
     system = F.concat(F.lit(TASK_RULES), F.col("context"))

@@ -15,8 +15,13 @@ from metaquarry.operators.parsing import parse_route
 
 
 
-def day():
-    return F.date_trunc("DAY", F.col("ts"))
+BUCKET_ROWS = 2_000
+
+
+def buckets(rows):
+    """Time buckets of the events, small enough to have several of them."""
+    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), F.col("ts"))
+    return mm.even_buckets(rows, seconds, BUCKET_ROWS)
 
 
 AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -60,7 +65,8 @@ def j2_default(t):
 
 
 def _event_log(t):
-    return mm.positions(t.events.select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], day())
+    rows = t.events.select("user_id", "event_id", "ts", "event_type")
+    return mm.positions(rows, "user_id", ["ts", "event_id"], buckets(rows))
 
 
 @query(
@@ -118,7 +124,7 @@ def checkpoints(t):
         F.col("ts"),
         F.col("event_type").alias("state"),
     )
-    return mm.previous_value(rows, "thread_id", "checkpoint_id", "checkpoint_id", day(), "parent_id")
+    return mm.previous_value(rows, "thread_id", "checkpoint_id", "checkpoint_id", buckets(rows), "parent_id")
 
 
 CHECKPOINTS = """

@@ -6,15 +6,21 @@ that can matter are kept, so memory stays bounded whatever a thread receives.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from metaquarry.schemas import STATE_TTL_SECONDS, SUMMARY_WINDOW
 
+# The process that starts a stateful stream does not see files added to the session, so the
+# handlers travel whole instead of by module name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RING_SCHEMA = "turn bigint, role string, content string"
 THREAD_OUTPUT = "thread_id bigint, n_messages bigint, turns array<bigint>, roles array<string>, contents array<string>"
 SLOT_OUTPUT = "thread_id bigint, slots array<string>, vals array<string>"

@@ -141,3 +141,12 @@ def test_guard_stream(spark):
     stream, path = as_stream(spark, df, 2)
     jobs.run_to_batches(jobs.stream_guard(stream), path + "/out", path + "/cp")
     assert sorted(r.blocked for r in jobs.read_batches(spark, path + "/out").collect()) == [False, True]
+
+
+def test_even_buckets_split_a_hot_thread(log):
+    bucket = mm.even_buckets(log, F.col("turn"), rows_per_bucket=20)
+    rows = mm.positions(log, "thread_id", ["turn"], bucket).collect()
+    assert all(r.pos == r.turn for r in rows)
+    sizes = log.where("thread_id = 1").groupBy(bucket.alias("b")).count().collect()
+    assert len(sizes) == 5 and max(r["count"] for r in sizes) <= 20
+    assert log.where("false").select(mm.even_buckets(log.where("false"), F.col("turn"))).count() == 0
