@@ -257,8 +257,9 @@ def knn_approx(
     """
 
     def keyed(df, ident, vector):
+        # explode_outer: for explode Spark would first filter on the keys, computing them twice
         rows = df.select(ident, vector)
-        return rows.withColumn("_key", F.explode(hyperplane_keys(vector, dim, tables, bits)))
+        return rows.withColumn("_key", F.explode_outer(hyperplane_keys(vector, dim, tables, bits)))
 
     partial = knn_within(
         keyed(queries, query_id, query_vector),

@@ -218,7 +218,7 @@ def e06(t):
 )
 def c12(t):
     vecs = spread(t.documents).select("doc_id", embed(F.col("text")).alias("v"))
-    cells = vecs.select("doc_id", F.posexplode("v").alias("pos", "w"))
+    cells = vecs.select("doc_id", F.posexplode_outer("v").alias("pos", "w"))
     return cells.where("w <> 0").select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("w").cast("double"), 6).alias("weight")
     )
