@@ -541,14 +541,16 @@ CATALOG_STAGES = (
     sp.dense("p", "SELECT query_id, v AS qv FROM qemb", "SELECT doc_id, v FROM eemb"),
     sp.fused("p", 4),
     sp.counted("c", "SELECT doc_id, search_text AS txt, table_id FROM column_catalog", "table_id"),
-    sp.bm25("c", Q_KINDS, "(query_id, table_id) IN (SELECT (query_id, doc_id) FROM phits)"),
+    # only columns of the query's own tables, joined from the table hits
+    "cqt AS (SELECT DISTINCT query_id, unnest(" + sp.tokens("txt") + f") AS term FROM ({Q_KINDS}))",
+    """own AS (SELECT p.query_id, l.doc_id, l.doc_len FROM phits p JOIN clen l ON l.table_id = p.doc_id)""",
+    """csparse AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+        / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / a))), 4) AS sparse
+      FROM own JOIN cqt USING (query_id) JOIN ctf USING (doc_id, term) JOIN cdf USING (term), cstat GROUP BY 1, 2)""",
     sp.hashed("h", "SELECT doc_id, search_text AS txt FROM column_catalog", DIM),
-    sp.dense(
-        "c",
-        "SELECT query_id, v AS qv FROM qemb",
-        "SELECT doc_id, table_id, v FROM hemb JOIN column_catalog USING (doc_id)",
-        "(query_id, table_id) IN (SELECT (query_id, doc_id) FROM phits)",
-    ),
+    """ccos AS (SELECT o.query_id, o.doc_id, round(coalesce(list_dot_product(q.v, h.v)
+        / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(h.v, h.v)), 0), 0), 6) AS cosine
+      FROM own o JOIN hemb h ON h.doc_id = o.doc_id JOIN qemb q ON q.query_id = o.query_id)""",
     sp.fused("c", 12),
 )
 
