@@ -1,6 +1,6 @@
 """Operators for training-data corpora, and the queries that run them."""
 
-from metaquarry.llm import licenses, mixing, ngram_join, packing, quality_rules, secrets, url_cascade  # noqa: F401
+from metaquarry.llm import html_text, licenses, mixing, ngram_join, packing, quality_rules, secrets, url_cascade  # noqa: F401
 from metaquarry.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
