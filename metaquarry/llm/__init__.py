@@ -1,6 +1,17 @@
 """Operators for training-data corpora, and the queries that run them."""
 
-from metaquarry.llm import html_text, lang_crf, licenses, mixing, ngram_join, packing, quality_rules, secrets, url_cascade  # noqa: F401
+from metaquarry.llm import (  # noqa: F401
+    html_text,
+    lang_crf,
+    licenses,
+    mixing,
+    ngram_join,
+    packing,
+    permutation_index,
+    quality_rules,
+    secrets,
+    url_cascade,
+)
 from metaquarry.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
