@@ -11,11 +11,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaquarry.llm.common import query, stored, table
 from metaquarry.llm.url_cascade import url_parts
@@ -262,19 +262,20 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return ""
 
 
-def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [subtree_hashes(p) if isinstance(p, str) else [] for p in pdf["html"]]
-        yield pd.DataFrame({"page": pdf["page"], "host": pdf["host"], "hashes": found})
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def hashes_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: subtree_hashes(p) if isinstance(p, str) else [])
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = [
-            main_text(page, frozenset(t) if t is not None else frozenset()) if isinstance(page, str) else ""
-            for page, t in zip(pdf["html"], pdf["template"], strict=True)
-        ]
-        yield pd.DataFrame({"page_id": pdf["page_id"].array, "url": pdf["url"].array, "text": texts})
+@F.pandas_udf(T.StringType())
+def text_of(pages: pd.Series, templates: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            main_text(p, frozenset(t) if t is not None else frozenset()) if isinstance(p, str) else ""
+            for p, t in zip(pages, templates, strict=True)
+        ],
+        dtype=object,
+    )
 
 
 def extract_text(
@@ -293,17 +294,14 @@ def extract_text(
     """
     ship_package(pages.sparkSession)
     own = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
     ).withColumns(
         {
             "host": url_parts(F.col("url"))[0],
             "page": F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))),
         }
     )
-    seen = stored(
-        own.select("page", "host", "html").mapInPandas(_hashes, "page long, host string, hashes array<long>"),
-        "subtrees",
-    )
+    seen = stored(own.select("page", "host", hashes_of("html").alias("hashes")), "subtrees")
     seen = seen.dropDuplicates(["page"])
     each = seen.select("page", "host", F.explode("hashes").alias("hash"))
     n_pages = seen.groupBy("host").agg(F.count("*").alias("pages"))
@@ -316,15 +314,11 @@ def extract_text(
         each.join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template")),
         "on-page",
     )
-    return (
-        own.join(on_page, "page", "left")
-        .select("page_id", "url", "html", "template")
-        .mapInPandas(_texts, "page_id long, url string, text string")
-    )
+    return own.join(on_page, "page", "left").select("page_id", "url", text_of("html", "template").alias("text"))
 
 
 @query("op10_site_template")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = extract_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))  # code points

@@ -280,31 +280,31 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     return train([r["text"] for r in sample], [r["label"] for r in sample])
 
 
-def _label(shared):
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def language(text: Column, model: Model) -> Column:
+    """struct(lang_pred, score) of a text: ``und`` and 0 for null texts and texts without a letter."""
+    spark = SparkSession.getActiveSession()
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+        for column in batches:
+            texts = [t if isinstance(t, str) else None for t in column]
             found = [x for i in range(0, len(texts), TEXTS) for x in labeller.texts(texts[i : i + TEXTS])]
-            out = pdf.drop(columns="text")
-            out["lang_pred"] = [x[0] for x in found]
-            out["score"] = [x[1] for x in found]
-            yield out
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return label
+    return label.asNondeterministic()(text)
 
 
-def identify(docs: DataFrame, text_col: str, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
+    """All columns of every row, and ``found``: struct(lang_pred, score), score from 0 to 1.
 
     Null texts and texts without a letter are ``und`` with score 0. Only the text decides.
-    Repeated rows are labelled alike; an empty table gives no rows.
+    Repeated rows are labelled alike; other columns are passed on, one named ``found`` is
+    replaced; an empty table gives no rows.
     """
-    ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return rows.mapInPandas(_label(shared), ", ".join([*kinds, "lang_pred string", "score double"]))
+    return docs.withColumn("found", language(F.col(text_col), model))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -316,4 +316,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, and whether it was held out of training."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(docs.filter("doc_id is not null and not held_out"), "doc_id", "text", "lang")
-    return identify(docs, "text", model, ["doc_id", "held_out"])
+    found = identify(docs.select("doc_id", "held_out", "text"), "text", model)
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")

@@ -119,21 +119,26 @@ def schedule(targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3)
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    weights: tuple[int, ...] = (1, 2, 3),
+    order_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken, row) of every row: the words the mix takes.
 
     ``row`` is the position on the source's line. A source's ``taken`` adds up to its target,
     rounded; a document's never exceeds MAX_EPOCHS times its size. Null and blank texts have
     size 0 and are not taken; null sources form one source; null ids are kept. Repeated rows
-    are documents of their own. Other columns are ignored. An empty table gives no rows.
+    are documents of their own. ``order_col`` (the id) decides the shuffle. Other columns are ignored. An empty table gives no rows.
     """
     sized = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            digest(F.col(id_col)).alias("digest"),
+            digest(F.col(order_col or id_col)).alias("digest"),
         ),
         "sizes",
     )

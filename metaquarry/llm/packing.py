@@ -136,10 +136,10 @@ def _windows(window: int, chunk_windows: int):
         count = -(-whole // window)
         dealt = round_robin(totals, window, count, whole - (count - 1) * window)
         first = pdf["before"].to_numpy() + np.cumsum(dealt, 0) - dealt
-        place = int(pdf["chunk"].iat[0]) * chunk_windows * window + (np.cumsum(dealt.ravel()) - dealt.ravel())
-        out = pd.DataFrame(
-            {"queue": np.tile(pdf["queue"].to_numpy(), count), "first": first.ravel(), "length": dealt.ravel(), "place": place}
-        )
+        flat = dealt.ravel()
+        place = int(pdf["chunk"].iat[0]) * chunk_windows * window + np.cumsum(flat) - flat
+        queue = np.tile(pdf["queue"].to_numpy(), count)
+        out = pd.DataFrame({"queue": queue, "first": first.ravel(), "length": flat, "place": place})
         return out[out["length"] > 0]
 
     return deal
@@ -177,13 +177,11 @@ def _digest_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
             for p in sorted(pieces, key=lambda p: p["start"]):
                 part = ids[p["start"] : p["start"] + p["length"]]
-                rows.append(
-                    (doc_id, p["start"], p["length"], zlib.crc32(part.tobytes()), n, p["sequence_id"], p["offset"], source, part.tobytes())
-                )
+                crc = zlib.crc32(part.tobytes())
+                place = (p["sequence_id"], p["offset"])
+                rows.append((doc_id, p["start"], p["length"], crc, n, *place, source, part.tobytes()))
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=names)
 
 
 def pack(
@@ -205,12 +203,12 @@ def pack(
     ship_package(spark)
     encoded = stored(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
+            F.col(id_col).cast("string").alias("doc_id"),  # exact in pandas, null or large
             F.col(text_col).alias("text"),
             F.col(source_col).cast("string").alias("source"),
         ).mapInPandas(
             _encode(tokenizer),
-            "row long, doc_id long, source string, digest string, n long, width int, ids binary",
+            "row long, doc_id string, source string, digest string, n long, width int, ids binary",
         ),
         "ids",
     )
@@ -235,13 +233,14 @@ def pack(
         .join(queues.select("line", "queue"), "line")
         .select("row", "doc_id", "digest", "n", F.col("queue").cast("string").alias("source"), "queue")
     )
-    placed = lay_out(placed, "n", encoded.count()).select("row", "queue", "start", (F.col("start") + F.col("n")).alias("stop"))
+    placed = lay_out(placed, "n", encoded.count()).select(
+        "row", "queue", "start", (F.col("start") + F.col("n")).alias("stop")
+    )
     # intervals of one line meet in cells of about a run's length
     whole = max(1, sum(totals))
-    cell_of = F.element_at(
-        F.from_json(F.lit(str([max(256, -(-window * t // whole)) for t in totals])), "array<bigint>"),
-        F.col("queue") + 1,
-    ) if totals else F.lit(1)
+    widths = str([max(256, -(-window * t // whole)) for t in totals])
+    cell_of = F.element_at(F.from_json(F.lit(widths), "array<bigint>"), F.col("queue") + 1) if totals else F.lit(1)
+
     def in_cells(df: DataFrame, low: str, high: str) -> DataFrame:
         first, last = F.floor(F.col(low) / cell_of), F.floor((F.col(high) - 1) / cell_of)
         return df.withColumn("cell", F.explode(F.sequence(first, last)))
@@ -300,11 +299,12 @@ def pack(
         .groupBy("row")
         .agg(F.collect_list("piece").alias("pieces"))
     )
-    return encoded.join(pieces, "row").mapInPandas(
+    found = encoded.join(pieces, "row").mapInPandas(
         _digest_pieces,
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+        "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
         "offset long, source string, ids binary",
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

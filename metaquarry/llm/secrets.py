@@ -207,7 +207,10 @@ def find_secrets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with the values of all spans replaced; overlapping values give one mark."""
+    return let(spans, lambda s: _redacted(text, s, mark))
 
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
     def add(a: Column, s: Column) -> Column:
         gap = F.substring(text, a["pos"] + 1, s["secret"] - a["pos"])
         out = F.when(s["secret"] >= a["pos"], F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"])
@@ -229,6 +232,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact_secrets(docs: DataFrame, text_col: str, mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns, with the secrets of the text replaced; null texts stay null."""
+    found = F.transform(F.array(F.coalesce(F.col(text_col), F.lit(""))), lambda t: redact(t, secret_spans(t), mark))
+    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.element_at(found, 1)))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
