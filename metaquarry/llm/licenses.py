@@ -55,7 +55,7 @@ SENTENCES = (
     ("MIT_NAMED", r"(licensed|released|distributed|available) under (the )?(terms of the )?(mit|expat) license"),
     ("MIT_GRANT", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("MIT_NOTICE", r"the above copyright notice and this permission notice shall be included"),
-    ("MIT_ASIS", r"the software is provided as is,? without warranty"),
+    ("MIT_ASIS", r"the software is provided as is ?,? without warranty"),
     ("MIT_LIABLE", r"in no event shall the authors or copyright holders be liable"),
     ("ISC_GRANT", r"permission to use,? copy,? modify,? and(/or| or)? distribute this software"),
     ("BSD_NAMED", r"under (the )?(terms of the )?(new |simplified |modified )?bsd license"),
