@@ -24,9 +24,15 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(TOKEN_PATTERN))
 
 
+# All Unicode white space, for patterns of Spark and of other engines alike.
+BLANKS = (
+    r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{BLANKS}+|{BLANKS}+$", "")
 
 
 def filled(c: Column) -> Column:

@@ -89,41 +89,110 @@ def payload_values(render_rules: Column, default_payload: Column, collected: Col
     return merge_params(default_payload, filled)
 
 
-def _json_value(value: Column) -> Column:
+def payload_types(render_rules: Column, slot_schema: Column, payload_schema: Column) -> Column:
+    """Path to JSON type: that of the slot that fills it, else that of the payload schema."""
+    of_slot = F.transform_values(
+        render_rules, lambda _, ref: F.element_at(slot_schema, F.ltrim(ref, F.lit("$")))["type"]
+    )
+    of_slot = F.map_filter(of_slot, lambda _, v: v.isNotNull())
+    return merge_params(F.transform_values(payload_schema["properties"], lambda _, v: v["type"]), of_slot)
+
+
+# JSON texts of the types that are not written in quotes.
+_LITERALS = {
+    "integer": r"^-?(0|[1-9][0-9]*)$",
+    "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$",
+    "boolean": r"^(true|false)$",
+    "null": r"^null$",
+}
+
+
+def json_value(value: Column, kind: Column) -> Column:
+    """JSON text of a value of a type. A value that is not of its type is written as a string."""
     quoted = F.to_json(F.array(value))
-    number = value.rlike(r"^-?(0|[1-9][0-9]{0,17})$")
-    return F.when(number, value).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    plain = (kind.isin("object", "array")) & F.try_parse_json(value).isNotNull()
+    for name, pattern in _LITERALS.items():
+        plain = plain | ((kind == name) & value.rlike(pattern))
+    return F.when(F.coalesce(plain, F.lit(False)), value).otherwise(
+        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    )
+
+
+def nested_json(flat: Column, indent: int | None = None) -> Column:
+    """JSON text of a map of path to JSON text; ``a.b.c`` paths become objects of any depth.
+
+    Keys are sorted. A path below another path that has a value is left out. With ``indent``
+    every member has a line of its own.
+    """
+    entries = F.map_entries(flat)
+    kept = F.filter(
+        entries, lambda e: ~F.exists(entries, lambda o: F.startswith(e["key"], F.concat(o["key"], F.lit("."))))
+    )
+    rows = F.array_sort(
+        F.transform(kept, lambda e: F.struct(F.split(e["key"], r"\.").alias("names"), e["value"].alias("value")))
+    )
 
+    def line(depth: Column) -> Column:
+        return F.lit("") if indent is None else F.concat(F.lit("\n"), F.repeat(F.lit(" " * indent), depth))
 
-def nested_json(flat: Column) -> Column:
-    """JSON text of a flat payload; ``a.b`` paths become objects. Keys are sorted."""
-    keys = F.array_sort(F.map_keys(flat))
-    tops = F.array_distinct(F.transform(keys, lambda k: F.substring_index(k, ".", 1)))
+    def closed(upto: Column, depth: Column) -> Column:
+        """Closes the objects from ``depth`` down to ``upto``."""
+        steps = F.when(depth > upto, F.reverse(F.sequence(upto + 1, depth))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(steps, lambda d: F.concat(line(d), F.lit("}"))), "")
 
-    def member(name, value):
-        return F.concat(F.lit('"'), name, F.lit('":'), value)
+    colon = F.lit('":' if indent is None else '": ')
 
-    def part(top):
-        prefix = F.concat(top, F.lit("."))
-        inner = F.transform(
-            F.filter(keys, lambda k: F.startswith(k, prefix)),
-            lambda k: member(
-                F.substring(k, F.length(prefix) + 1, F.length(k)), _json_value(F.element_at(flat, k))
-            ),
+    def add(state: Column, row: Column) -> Column:
+        before, names = state["names"], row["names"]
+        shared = F.size(
+            F.filter(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(before), F.size(names)) - 1)),
+                lambda i: (F.least(F.size(before), F.size(names)) > 1)
+                & (F.slice(before, F.lit(1), i) == F.slice(names, F.lit(1), i)),
+            )
         )
-        plain = F.element_at(flat, top)
-        return member(
-            top,
-            F.when(plain.isNotNull(), _json_value(plain)).otherwise(
-                F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}"))
+        depth = F.size(names) - 1
+        opened = F.array_join(
+            F.transform(
+                F.slice(names, shared + 1, depth - shared),
+                lambda n, i: F.concat(line(shared + i + 1), F.lit('"'), n, colon, F.lit("{")),
             ),
+            "",
         )
-
-    return F.concat(F.lit("{"), F.array_join(F.transform(tops, part), ","), F.lit("}"))
+        member = F.concat(line(depth + 1), F.lit('"'), F.element_at(names, -1), colon, row["value"])
+        comma = F.when(F.size(before) > 0, F.lit(",")).otherwise(F.lit(""))
+        text = F.concat(state["text"], closed(shared, F.size(before) - 1), comma, opened, member)
+        return F.struct(names.alias("names"), text.alias("text"))
+
+    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit("{").alias("text"))
+    return F.aggregate(
+        rows,
+        start,
+        add,
+        lambda s: F.concat(
+            s["text"],
+            closed(F.lit(0), F.size(s["names"]) - 1),
+            F.when(F.size(s["names"]) > 0, line(F.lit(0))).otherwise(F.lit("")),
+            F.lit("}"),
+        ),
+    )
 
 
-def render_payload(render_rules: Column, default_payload: Column, collected: Column) -> Column:
-    return nested_json(payload_values(render_rules, default_payload, collected))
+def render_payload(
+    render_rules: Column,
+    default_payload: Column,
+    collected: Column,
+    slot_schema: Column | None = None,
+    payload_schema: Column | None = None,
+    indent: int | None = None,
+) -> Column:
+    """The payload's JSON text. Types come from the schemas; what they do not name is a string."""
+    types = F.create_map().cast(_NO_PARAMS)
+    if slot_schema is not None and payload_schema is not None:
+        types = payload_types(render_rules, slot_schema, payload_schema)
+    flat = payload_values(render_rules, default_payload, collected)
+    typed = F.transform_values(flat, lambda path, v: json_value(v, F.element_at(types, path)))
+    return nested_json(typed, indent)
 
 
 def payload_kinds(payload_json: Column) -> Column:
@@ -216,13 +285,18 @@ def task_message(missing: Column, task_json: Column, explanation: Column) -> Col
 
 
 def pretty_json(json_text: Column) -> Column:
-    """JSON text indented by two blanks, other scripts kept as they are."""
+    """Foreign JSON text indented by two blanks, other scripts kept as they are; null where
+    it is no JSON. A payload of our own is written indented by ``render_payload``."""
+
+    def written(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+        except ValueError:
+            return None
 
     @F.pandas_udf(T.StringType())
     def indent(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False, indent=2)
-        )
+        return texts.map(written)
 
     return indent(json_text)
 

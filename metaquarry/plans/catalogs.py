@@ -387,12 +387,12 @@ def c9(t):
         sp.RAW_TABLES,
         sp.TABLE_CATALOG,
         select="""SELECT doc_id, business_domain FROM table_catalog
-          WHERE data_source = 'crm' AND business_domain = 'orders'""",
+          WHERE data_source = 'card_index' AND business_domain = 'archives'""",
     ),
 )
 def d3(t):
     rows = active_tables(
-        table_catalog(t), datasource_id="crm", business_domain="orders", dialect="ANSI", env="dev"
+        table_catalog(t), datasource_id="card_index", business_domain="archives", dialect="ANSI", env="dev"
     )
     return rows.select("doc_id", "business_domain")
 

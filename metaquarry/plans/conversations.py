@@ -246,8 +246,8 @@ def j9(t):
         MISSING,
         f"""said AS (SELECT conv_id, arg_max(text, turn) AS response, arg_max({INTENT}, turn) AS intent
           FROM conversations GROUP BY 1)""",
-        select="""SELECT conv_id, response, intent, CASE thread_id % 3 WHEN 0 THEN 'copy_full' WHEN 1 THEN 'copy_changes'
-          WHEN 2 THEN 'report' END AS active_task, nullif(missing, '') AS missing_params
+        select="""SELECT conv_id, response, intent, CASE thread_id % 3 WHEN 0 THEN 'site_survey' WHEN 1 THEN 'exhibit_loan'
+          WHEN 2 THEN 'digest' END AS active_task, nullif(missing, '') AS missing_params
           FROM said LEFT JOIN missing_list ON conv_id = thread_id""",
     ),
 )

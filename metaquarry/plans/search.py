@@ -347,7 +347,7 @@ def _catalog_sql(docs: str, ctes: tuple[str, ...], where: str, carried: str, k:
     _catalog_sql(
         "SELECT doc_id, search_text AS txt, business_domain FROM table_catalog",
         (sp.RAW_TABLES, sp.TABLE_CATALOG),
-        "business_domain = 'sales'",
+        "business_domain = 'rivers'",
         "business_domain",
         5,
         """SELECT query_id, doc_id, full_table_name, score, rk FROM hits JOIN table_catalog USING (doc_id)""",
@@ -355,7 +355,7 @@ def _catalog_sql(docs: str, ctes: tuple[str, ...], where: str, carried: str, k:
 )
 def e10(t):
     space = Space(table_catalog(t, embed))
-    hits = cx.search_tables(questions(t), space, env="dev", business_domain="sales")
+    hits = cx.search_tables(questions(t), space, env="dev", business_domain="rivers")
     hits = with_fields(hits, space, ["full_table_name"])
     return hits.select("query_id", "doc_id", "full_table_name", "score", "rk")
 
@@ -403,7 +403,7 @@ def e12(t):
     _catalog_sql(
         "SELECT doc_id, search_text AS txt, business_domain FROM table_catalog",
         (sp.RAW_TABLES, sp.TABLE_CATALOG),
-        "business_domain IN ('users', 'stock')",
+        "business_domain IN ('museums', 'ferries')",
         "business_domain",
         2,
         """SELECT query_id, doc_id, table_name, table_comment AS table_desc, rk
@@ -417,7 +417,7 @@ def d6(t):
         questions(t),
         Space(table_catalog(t, embed)),
         2,
-        {"status": "ACTIVE", "business_domain": ["users", "stock"], "tenant_id": None},
+        {"status": "ACTIVE", "business_domain": ["museums", "ferries"], "tenant_id": None},
         fields=["table_name", "table_desc"],
     )
     return hits.select("query_id", "doc_id", "table_name", "table_desc", "rk")

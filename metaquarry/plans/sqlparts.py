@@ -6,7 +6,6 @@ from metaquarry.functions import text as tx
 from metaquarry.sources import metadata as md
 
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
 def tokens(expr: str) -> str:
@@ -14,7 +13,7 @@ def tokens(expr: str) -> str:
 
 
 def strip(expr: str) -> str:
-    return STRIP.format(expr)
+    return f"regexp_replace({expr}, '^{tx.BLANKS}+|{tx.BLANKS}+$', '', 'g')"
 
 
 def quote(value) -> str:

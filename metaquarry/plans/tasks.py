@@ -10,78 +10,63 @@ from metaquarry.plans.registry import query
 from metaquarry.schemas import TEMPLATES
 
 # Three task templates: what they need, how slots are typed, where they go in the payload.
-COPY_SLOTS = ["source_connection", "source_table", "target_connection", "target_table"]
 RULES = [
     {
-        "template_code": "copy_full",
-        "required": COPY_SLOTS,
-        "types": {"batch_size": "integer", "source_connection": "string"},
+        "template_code": "site_survey",
+        "required": ["site", "surveyor"],
+        "types": {"depth": "integer", "site": "string"},
         "enums": {},
         "render": {
-            "source.connection": "$source_connection",
-            "source.table": "$source_table",
-            "target.connection": "$target_connection",
-            "target.table": "$target_table",
-            "batch_size": "$batch_size",
+            "visit.place.site": "$site",
+            "visit.place.mark": "$mark",
+            "visit.by": "$surveyor",
+            "depth": "$depth",
         },
-        "defaults": {"task_type": "COPY", "mode": "FULL", "batch_size": "500"},
-        "keys": {
-            "task_type": "string",
-            "mode": "string",
-            "source": "object",
-            "target": "object",
-            "batch_size": "integer",
-        },
-        "keys_required": ["task_type", "mode", "source", "target"],
-        "sources": ["MYSQL"],
-        "targets": ["DORIS", "HIVE"],
+        "defaults": {"kind": "SURVEY", "depth": "5", "visit.place.grid": "0042"},
+        "keys": {"kind": "string", "visit": "object", "depth": "integer", "season": "string"},
+        "keys_required": ["kind", "visit", "season"],
+        "sources": ["RIVER", "LAKE"],
+        "targets": ["MAP"],
         "incremental": False,
         "needs": {},
     },
     {
-        "template_code": "copy_changes",
-        "required": [*COPY_SLOTS, "change_column"],
-        "types": {"batch_size": "integer"},
+        "template_code": "exhibit_loan",
+        "required": ["site", "crate", "insurer"],
+        "types": {"depth": "integer", "mark": "number"},
         "enums": {},
         "render": {
-            "source.connection": "$source_connection",
-            "source.table": "$source_table",
-            "target.connection": "$target_connection",
-            "target.table": "$target_table",
-            "changes.column": "$change_column",
-        },
-        "defaults": {"task_type": "COPY", "mode": "CHANGES"},
-        "keys": {
-            "task_type": "string",
-            "mode": "string",
-            "source": "object",
-            "target": "object",
-            "changes": "object",
+            "loan.item": "$site",
+            "loan.terms.crate": "$crate",
+            "loan.terms.cover.depth": "$depth",
+            "loan.terms.cover.mark": "$mark",
         },
-        "keys_required": ["task_type", "mode", "source", "target", "changes"],
-        "sources": ["MYSQL", "ORACLE"],
-        "targets": ["HIVE"],
+        "defaults": {"kind": "LOAN", "days": "30"},
+        "keys": {"kind": "string", "loan": "object", "days": "integer", "cover": "object"},
+        "keys_required": ["kind", "loan", "cover"],
+        "sources": ["MUSEUM", "LAKE", "ARCHIVE"],
+        "targets": ["LEDGER", "MAP"],
         "incremental": True,
         "needs": {},
     },
     {
-        "template_code": "report",
-        "required": ["source_connection", "target_type"],
-        "types": {"batch_size": "string"},
-        "enums": {"target_type": ["TABLE", "FILE"]},
+        "template_code": "digest",
+        "required": ["surveyor", "target_type"],
+        "types": {"depth": "string"},
+        "enums": {"target_type": ["PRINT", "MAIL"]},
         "render": {
-            "connection": "$source_connection",
-            "target_type": "$target_type",
-            "target_table": "$target_table",
-            "output_path": "$output_path",
+            "to": "$surveyor",
+            "medium": "$target_type",
+            "sheet": "$mark",
+            "notes.depth": "$depth",
         },
-        "defaults": {"task_type": "REPORT", "target_type": "TABLE"},
-        "keys": {"task_type": "string", "connection": "string", "target_type": "string", "target_table": "integer"},
-        "keys_required": ["task_type", "connection", "target_type"],
-        "sources": ["MYSQL", "DORIS"],
-        "targets": ["TABLE", "FILE"],
+        "defaults": {"kind": "DIGEST", "medium": "PRINT"},
+        "keys": {"kind": "string", "to": "string", "medium": "string", "sheet": "integer", "notes": "array"},
+        "keys_required": ["kind", "to", "medium"],
+        "sources": ["ARCHIVE"],
+        "targets": ["PRINT", "MAIL"],
         "incremental": False,
-        "needs": {"TABLE": ["target_table"], "FILE": ["output_path"]},
+        "needs": {"PRINT": ["mark"], "MAIL": ["depth"]},
     },
 ]
 
@@ -119,24 +104,24 @@ def templates(spark):
 
 
 SLOT_OF = {
-    "signup": "source_connection",
-    "view": "source_table",
-    "click": "target_connection",
-    "purchase": "target_table",
-    "error": "batch_size",
+    "signup": "site",
+    "view": "surveyor",
+    "click": "crate",
+    "purchase": "mark",
+    "error": "depth",
 }
 
 
 def slot_log(t):
-    """thread_id, template_no, slot, value, ts, event_id. Report threads set a target type
-    where others set a target connection."""
+    """thread_id, template_no, slot, value, ts, event_id. Digest threads set a target type
+    where others set a crate."""
     no = F.pmod("user_id", F.lit(3))
     slot = F.col("event_type")
     for event, name in SLOT_OF.items():
         slot = F.when(F.col("event_type") == event, name).otherwise(slot)
     whole = F.col("value").cast("long")
     target = (
-        F.when(whole % 3 == 0, "TABLE").when(whole % 3 == 1, "FILE").otherwise("SHEET")
+        F.when(whole % 3 == 0, "PRINT").when(whole % 3 == 1, "MAIL").otherwise("SHEET")
     )
     is_target = (no == 2) & (F.col("event_type") == "click")
     value = (
@@ -174,10 +159,10 @@ LOG = """
 slot_log AS (
   SELECT user_id AS thread_id, user_id % 3 AS template_no,
     CASE WHEN user_id % 3 = 2 AND event_type = 'click' THEN 'target_type' ELSE CASE event_type
-      WHEN 'signup' THEN 'source_connection' WHEN 'view' THEN 'source_table' WHEN 'click' THEN 'target_connection'
-      WHEN 'purchase' THEN 'target_table' ELSE 'batch_size' END END AS slot,
+      WHEN 'signup' THEN 'site' WHEN 'view' THEN 'surveyor' WHEN 'click' THEN 'crate'
+      WHEN 'purchase' THEN 'mark' ELSE 'depth' END END AS slot,
     CASE WHEN user_id % 3 = 2 AND event_type = 'click'
-        THEN CASE trunc(value)::BIGINT % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'FILE' ELSE 'SHEET' END
+        THEN CASE trunc(value)::BIGINT % 3 WHEN 0 THEN 'PRINT' WHEN 1 THEN 'MAIL' ELSE 'SHEET' END
       WHEN event_type = 'purchase' OR (event_type = 'error' AND trunc(value)::BIGINT % 2 = 0)
         THEN (trunc(value)::BIGINT)::VARCHAR
       ELSE 'v' || trunc(value)::BIGINT END AS value, ts, event_id FROM events),
@@ -211,6 +196,10 @@ KEYS = _rows(
     "keys", "template_no, top, kind, needed",
     [(n, k, v, k in r["keys_required"]) for n, r in enumerate(RULES) for k, v in r["keys"].items()],
 )
+TYPES = _rows(
+    "types", "template_no, path, kind",
+    [(n, p, r["types"][s[1:]]) for n, r in enumerate(RULES) for p, s in r["render"].items() if s[1:] in r["types"]],
+)
 MISSING = """
 missing AS (
   SELECT thread_id, ord, slot FROM threads JOIN required USING (template_no)
@@ -224,8 +213,13 @@ FLAT = """
 filled AS (SELECT thread_id, path, value FROM latest JOIN render USING (template_no, slot)),
 flat AS (SELECT * FROM filled UNION ALL SELECT thread_id, path, value FROM threads JOIN defaults USING (template_no)
   WHERE (thread_id, path) NOT IN (SELECT (thread_id, path) FROM filled)),
+typed AS (SELECT f.thread_id, f.path, f.value, coalesce(types.kind, keys.kind, 'string') AS kind
+  FROM flat AS f JOIN threads USING (thread_id) LEFT JOIN types USING (template_no, path)
+  LEFT JOIN keys ON keys.template_no = threads.template_no AND keys.top = path),
+cells AS (SELECT thread_id, path, CASE WHEN kind IN ('integer', 'number') AND regexp_matches(value, '^(0|[1-9][0-9]*)$')
+    THEN value ELSE '"' || value || '"' END AS v FROM typed),
 tops AS (SELECT thread_id, split_part(path, '.', 1) AS top, max(CASE WHEN path LIKE '%.%' THEN 'object'
-  WHEN regexp_matches(value, '^[0-9]+$') THEN 'integer' ELSE 'string' END) AS kind FROM flat GROUP BY 1, 2)"""
+  WHEN v LIKE '"%' THEN 'string' ELSE 'integer' END) AS kind FROM cells GROUP BY 1, 2)"""
 
 
 @query(
@@ -296,7 +290,7 @@ def i4(t):
 
 @query(
     "i5_render_payload",
-    sp.with_(LOG, RENDER, DEFAULTS, FLAT, select="SELECT thread_id, path, value FROM flat"),
+    sp.with_(LOG, RENDER, DEFAULTS, KEYS, TYPES, FLAT, select="SELECT thread_id, path, value FROM flat"),
 )
 def i5(t):
     flat = sl.payload_values(F.col("render_rules"), F.col("default_payload"), F.col("collected"))
@@ -309,18 +303,31 @@ def i5(t):
         LOG,
         RENDER,
         DEFAULTS,
+        KEYS,
+        TYPES,
         FLAT,
-        """cells AS (SELECT thread_id, split_part(path, '.', 1) AS top, split_part(path, '.', 2) AS leaf,
-          CASE WHEN regexp_matches(value, '^[0-9]+$') THEN value ELSE '"' || value || '"' END AS v FROM flat),
-        members AS (SELECT thread_id, top, CASE WHEN max(leaf) = '' THEN max(v)
-          ELSE '{' || string_agg('"' || leaf || '":' || v, ',' ORDER BY leaf) || '}' END AS v FROM cells GROUP BY 1, 2)""",
-        select="""SELECT thread_id, '{' || string_agg('"' || top || '":' || v, ',' ORDER BY top) || '}' AS payload
-          FROM members GROUP BY 1""",
+        # objects of up to four levels, from the innermost
+        """l4 AS (SELECT thread_id, string_split(path, '.') AS p, v FROM cells),
+        l3 AS (SELECT thread_id, p, v FROM l4 WHERE len(p) < 4 UNION ALL
+          SELECT thread_id, p[:3], '{' || string_agg('"' || p[4] || '":' || v, ',' ORDER BY p[4]) || '}'
+          FROM l4 WHERE len(p) = 4 GROUP BY 1, 2),
+        l2 AS (SELECT thread_id, p, v FROM l3 WHERE len(p) < 3 UNION ALL
+          SELECT thread_id, p[:2], '{' || string_agg('"' || p[3] || '":' || v, ',' ORDER BY p[3]) || '}'
+          FROM l3 WHERE len(p) = 3 GROUP BY 1, 2),
+        l1 AS (SELECT thread_id, p, v FROM l2 WHERE len(p) < 2 UNION ALL
+          SELECT thread_id, p[:1], '{' || string_agg('"' || p[2] || '":' || v, ',' ORDER BY p[2]) || '}'
+          FROM l2 WHERE len(p) = 2 GROUP BY 1, 2)""",
+        select="""SELECT thread_id, '{' || string_agg('"' || p[1] || '":' || v, ',' ORDER BY p[1]) || '}' AS payload
+          FROM l1 GROUP BY 1""",
     ),
 )
 def i5_json(t):
-    payload = sl.render_payload(F.col("render_rules"), F.col("default_payload"), F.col("collected"))
-    return collected(t).select("thread_id", payload.alias("payload"))
+    return collected(t).select("thread_id", payload().alias("payload"))
+
+
+def payload(indent=None):
+    rules = ["render_rules", "default_payload", "collected", "slot_schema", "payload_schema"]
+    return sl.render_payload(*map(F.col, rules), indent)
 
 
 @query(
@@ -330,6 +337,7 @@ def i5_json(t):
         RENDER,
         DEFAULTS,
         KEYS,
+        TYPES,
         FLAT,
         select="""SELECT thread_id, 'missing:' || top AS error FROM threads JOIN keys USING (template_no)
             WHERE needed AND (thread_id, top) NOT IN (SELECT (thread_id, top) FROM tops)
@@ -338,9 +346,8 @@ def i5_json(t):
     ),
 )
 def i6(t):
-    payload = sl.render_payload(F.col("render_rules"), F.col("default_payload"), F.col("collected"))
     errors = sl.payload_errors(F.col("payload"), F.col("payload_schema"))
-    rows = collected(t).withColumn("payload", payload)
+    rows = collected(t).withColumn("payload", payload())
     return rows.select("thread_id", F.explode(errors).alias("error"))
 
 
@@ -348,10 +355,10 @@ def i6(t):
     "i7_validate_slots",
     sp.with_(
         LOG,
-        select="""SELECT thread_id, 'type:' || slot AS error FROM latest WHERE slot = 'batch_size'
+        select="""SELECT thread_id, 'type:' || slot AS error FROM latest WHERE slot = 'depth'
             AND template_no IN (0, 1) AND NOT regexp_matches(value, '^[0-9]+$')
           UNION ALL SELECT thread_id, 'enum:' || slot FROM latest WHERE slot = 'target_type' AND template_no = 2
-            AND value NOT IN ('TABLE', 'FILE')""",
+            AND value NOT IN ('PRINT', 'MAIL')""",
     ),
 )
 def i7(t):
@@ -359,7 +366,8 @@ def i7(t):
     return collected(t).select("thread_id", F.explode(errors).alias("error"))
 
 
-KINDS_FROM, KINDS_TO, MODES = ["MYSQL", "ORACLE", "DORIS"], ["HIVE", "DORIS", "TABLE", "FILE"], ["FULL", "INCREMENTAL"]
+KINDS_FROM, KINDS_TO = ["RIVER", "LAKE", "MUSEUM", "ARCHIVE"], ["MAP", "LEDGER", "PRINT", "MAIL", "FILM"]
+MODES = ["FULL", "INCREMENTAL"]
 PAIRS = _rows(
     "pairs", "template_code, source_type, target_type, incremental",
     [(r["template_code"], s, d, r["incremental"]) for r in RULES for s in r["sources"] for d in r["targets"]],
@@ -398,13 +406,27 @@ def i8(t):
         REQUIRED,
         NEEDS,
         MISSING,
+        RENDER,
+        DEFAULTS,
+        KEYS,
+        TYPES,
+        FLAT,
+        # ready threads are of the survey or the digest: objects of up to three levels
+        """p3 AS (SELECT thread_id, string_split(path, '.') AS p, v FROM cells),
+        p2 AS (SELECT thread_id, p, v FROM p3 WHERE len(p) < 3 UNION ALL
+          SELECT thread_id, p[:2], '{' || chr(10) || string_agg('      "' || p[3] || '": ' || v, ',' || chr(10) ORDER BY p[3])
+            || chr(10) || '    }' FROM p3 WHERE len(p) = 3 GROUP BY 1, 2),
+        p1 AS (SELECT thread_id, p, v FROM p2 WHERE len(p) < 2 UNION ALL
+          SELECT thread_id, p[:1], '{' || chr(10) || string_agg('    "' || p[2] || '": ' || v, ',' || chr(10) ORDER BY p[2])
+            || chr(10) || '  }' FROM p2 WHERE len(p) = 2 GROUP BY 1, 2),
+        shown AS (SELECT thread_id, '{' || chr(10) || string_agg('  "' || p[1] || '": ' || v, ',' || chr(10) ORDER BY p[1])
+            || chr(10) || '}' AS task FROM p1 GROUP BY 1)""",
         select=f"""SELECT thread_id, CASE WHEN missing <> '' THEN {sp.quote(sl.NEED_OPEN)} || replace(missing, ',', ', ')
-            || '。' || chr(10) || chr(10) || 'why'
-          ELSE '任务配置已生成：' || chr(10) || '```json' || chr(10) || '{{' || chr(10) || '  "thread": ' || thread_id
-            || chr(10) || '}}' || chr(10) || '```' || chr(10) || chr(10) || '说明: why' END AS message FROM missing_list""",
+            || {sp.quote(sl.NEED_CLOSE)} || 'why'
+          ELSE {sp.quote(sl.DONE_OPEN)} || task || {sp.quote(sl.DONE_CLOSE)} || 'why' END AS message
+          FROM missing_list JOIN shown USING (thread_id)""",
     ),
 )
 def i9(t):
-    task = sl.pretty_json(F.concat(F.lit('{"thread":'), F.col("thread_id").cast("string"), F.lit("}")))
-    message = sl.task_message(F.col("missing"), task, F.lit("why"))
+    message = sl.task_message(F.col("missing"), payload(indent=2), F.lit("why"))
     return _missing(t).select("thread_id", message.alias("message"))

@@ -31,21 +31,32 @@ def write_records(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def upsert(
-    current: DataFrame, incoming: DataFrame, key: str, version_col: str | None = None
+    current: DataFrame,
+    incoming: DataFrame,
+    key: str,
+    version_col: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
-    """Insert or replace by key.
+    """Insert or replace by key; the result has one incoming row per key at most.
 
-    Without ``version_col`` an incoming row always replaces; ``incoming`` must then be
-    unique by key. The current rows are only filtered, so a small change set is broadcast
-    and the large side is not shuffled. With ``version_col`` the highest version of a key
-    wins, incoming before current on a tie.
+    Of several incoming rows of a key the last one counts: by ``order_col``, or by position
+    in ``incoming``. Without ``version_col`` it always replaces. The current rows are only
+    filtered, so a small change set is broadcast and the large side is not shuffled. With
+    ``version_col`` the highest version of a key wins, incoming before current on a tie.
     """
+    place = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    placed = incoming.withColumn("_at", place)
     if version_col is None:
+        whole = F.struct(*[F.col(c) for c in incoming.columns])
+        last = placed.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, "_at").alias("_row")).select("_row.*")
         kept = current.join(incoming.select(key), key, "left_anti")
-        return kept.unionByName(incoming)
-    both = current.withColumn("_src", F.lit(0)).unionByName(incoming.withColumn("_src", F.lit(1)))
-    newest = Window.partitionBy(key).orderBy(F.col(version_col).desc(), F.col("_src").desc())
-    return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_src", "_n")
+        return kept.unionByName(last)
+    none = F.lit(None).cast(placed.schema["_at"].dataType)
+    both = current.withColumns({"_src": F.lit(0), "_at": none}).unionByName(placed.withColumn("_src", F.lit(1)))
+    newest = Window.partitionBy(key).orderBy(
+        F.col(version_col).desc(), F.col("_src").desc(), F.col("_at").desc()
+    )
+    return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_src", "_at", "_n")
 
 
 def lookup(

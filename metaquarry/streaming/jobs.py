@@ -68,11 +68,18 @@ def read_current(spark: SparkSession, path: str, key: str, version: str | None =
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
 
 
-def stream_upsert(updates: DataFrame, path: str, checkpoint: str, key: str, version: str):
-    """Keep the newest row per key of a stream of updates; idempotent by batch id."""
+def stream_upsert(
+    updates: DataFrame, path: str, checkpoint: str, key: str, version: str, then: str | None = None
+):
+    """Keep the newest row per key of a stream of updates; idempotent by batch id.
+
+    Rows of one version are ordered by ``then``, and last by a hash of the whole row, so a
+    retried batch writes the same row.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        w = Window.partitionBy(key).orderBy(F.col(version).desc())
+        ties = [F.col(then).desc()] if then else []
+        w = Window.partitionBy(key).orderBy(F.col(version).desc(), *ties, F.xxhash64(*rows.columns))
         newest = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

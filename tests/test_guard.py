@@ -24,6 +24,9 @@ CASES = [
     ("", False),
     ("  \n ", False),
     (";;", False),
+    ("SELECT 1;\u3000", True),
+    ("SELECT 1;\u00a0\u2003", True),
+    ("\u3000SELECT 1", True),
     (None, False),
 ]
 

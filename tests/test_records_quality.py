@@ -13,7 +13,7 @@ from metaquarry.sources.metadata import catalog_counts, generate_columns, genera
 
 
 def test_catalog_definitions():
-    assert sc.catalog("dp_table_catalog_current") is sc.TABLES
+    assert sc.catalog("metaquarry_tables") is sc.TABLES
     assert len(sc.TABLES.required) == 31 and len(sc.COLUMNS.required) == 36 and len(sc.TEMPLATES.required) == 29
     assert len(sc.TABLES.output) == 19 and len(sc.COLUMNS.output) == 24 and len(sc.TEMPLATES.output) == 21
     assert sc.TABLES.limits["doc_id"] == 64 and sc.COLUMNS.limits["full_column_name"] == 768

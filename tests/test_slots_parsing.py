@@ -47,8 +47,14 @@ def test_missing_params_of_the_chosen_target(spark):
 
 def test_payload(spark):
     rules = params(**{"source.table": "$t", "source.conn": "$c", "size": "$n", "note": "$absent"})
-    text = one(spark, sl.render_payload(rules, params(mode="FULL", size="5"), params(t='a"b', n="7")))
-    assert text == '{"mode":"FULL","size":7,"source":{"table":"a\\"b"}}'
+    slots = F.expr("map('n', named_struct('type', 'integer'), 't', named_struct('type', 'string'))")
+    types = F.expr("named_struct('properties', map('mode', named_struct('type', 'string')))")
+    filled = params(t='a"b', n="12345678901234567890")
+    text = one(spark, sl.render_payload(rules, params(mode="7", size="5"), filled, slots, types))
+    assert text == '{"mode":"7","size":12345678901234567890,"source":{"table":"a\\"b"}}'
+    bad = one(spark, sl.render_payload(rules, params(mode="FULL"), params(n="x7"), slots, types))
+    assert bad == '{"mode":"FULL","size":"x7"}'
+    text = '{"mode":"FULL","size":7,"source":{"table":"t"}}'
     schema = F.expr(
         """named_struct('required', array('mode', 'target'), 'properties',
           map('mode', named_struct('type', 'string'), 'size', named_struct('type', 'string'),
@@ -57,6 +63,25 @@ def test_payload(spark):
     assert one(spark, sl.payload_errors(F.lit(text), schema)) == ["missing:target", "type:size"]
 
 
+def test_nested_json_of_any_depth(spark):
+    import json
+
+    paths = {"a.b.c.d": 1, "a.b.c.e": 2, "a.b.f": 3, "a.g": 4, "b": 5, "a-x": 6, "c.d.e.f.g": 7, "c.d.h": 8, "b.no": 9}
+    want = {
+        "a": {"b": {"c": {"d": 1, "e": 2}, "f": 3}, "g": 4}, "b": 5, "a-x": 6,
+        "c": {"d": {"e": {"f": {"g": 7}}, "h": 8}},
+    }
+    flat = params(**{k: str(v) for k, v in paths.items()})
+    text = one(spark, sl.nested_json(flat))
+    assert json.loads(text) == want and " " not in text
+    assert one(spark, sl.nested_json(flat, 2)) == json.dumps(json.loads(text), indent=2)
+    assert one(spark, sl.nested_json(F.create_map().cast("map<string,string>"), 2)) == "{}"
+
+
+def test_malformed_json_does_not_fail(spark):
+    assert one(spark, sl.pretty_json(F.lit("{x"))) is None
+
+
 def test_slot_errors(spark):
     schema = F.expr(
         """map('n', named_struct('type', 'integer', 'description', '', 'enum', cast(null as array<string>)),
