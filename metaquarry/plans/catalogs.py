@@ -57,6 +57,21 @@ def a3_versioned(t):
     return upsert(rows.where("event_type <> 'error'"), incoming, "user_id", "event_id")
 
 
+@query(
+    "a3_upsert_repeated",
+    """SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FROM orders GROUP BY 1""",
+)
+def a3_repeated(t):
+    """A customer's balance becomes the price of the last of several orders."""
+    current = t.customer.select("c_custkey", "c_acctbal")
+    incoming = t.orders.select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey"
+    )
+    current = current.withColumn("o_orderkey", F.lit(None).cast("long"))
+    return upsert(current, incoming, "c_custkey", order_col="o_orderkey").drop("o_orderkey")
+
+
 @query(
     "a6_lookup",
     """SELECT doc_id, source, n_chars FROM documents WHERE lang IN ('en', 'de')

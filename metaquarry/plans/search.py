@@ -60,9 +60,9 @@ def vectors(t):
 
 
 def document_space(t):
-    """Document i with vector i."""
+    """Document i with vector i; documents without a vector are found by their text."""
     docs = t.documents.select("doc_id", F.col("text").alias("search_text"), "lang", "source")
-    return Space(docs.join(vectors(t), "doc_id"))
+    return Space(docs.join(vectors(t), "doc_id", "left"))
 
 
 def child_space(t):
@@ -98,8 +98,7 @@ Q_VEC = """SELECT item_id AS query_id, embedding::DOUBLE[] AS qv FROM benchmark
 Q_BOTH = "SELECT item_id AS query_id, text AS txt FROM benchmark JOIN embeddings ON item_id = vec_id"
 V_ALL = "SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings"
 D_ALL = "SELECT doc_id, text AS txt FROM documents"
-D_BOTH = """SELECT doc_id, text AS txt, lang, source FROM documents
-  JOIN embeddings ON doc_id = vec_id"""
+D_BOTH = "SELECT doc_id, text AS txt, lang, source FROM documents"
 
 # --------------------------------------------------------------------------- text
 

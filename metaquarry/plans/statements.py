@@ -58,8 +58,10 @@ log AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN '  ' ELSE CASE conv_id
   FROM (SELECT *, '''' || replace(text, '''', '''''') || '''' AS lit FROM conversations)),
 cleaned AS (SELECT *, regexp_replace(sql, '(--[^\n]*\n)|(/\*(.|\n)*?\*/)', ' ', 'g') AS clean FROM log),
 parts AS (SELECT *, list_filter(list_transform(string_split(clean, ';'),
-    lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS stmts FROM cleaned),
-first AS (SELECT *, len(stmts) AS n_stmts, upper(coalesce(stmts[1], '')) AS head FROM parts)"""
+    lambda s: @STRIP@), lambda s: s <> '') AS stmts FROM cleaned),
+first AS (SELECT *, len(stmts) AS n_stmts, upper(coalesce(stmts[1], '')) AS head FROM parts)""".replace(
+    "@STRIP@", sp.strip("s")
+)
 
 _LEFT, _RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 FOUND = "list_filter([" + ", ".join(
@@ -116,6 +118,26 @@ def g5(t):
     return statements(t).select("conv_id", "turn", g.is_safe_sql(F.col("sql")).alias("safe"))
 
 
+# Blanks that only Unicode knows, around the statement and after its semicolon.
+WIDE_BLANKS = ["\u3000", "\u00a0", "\u2003\u2028", "\u0085"]
+_WIDE_SQL = f"""CASE WHEN turn % 7 = 6 THEN '  ' ELSE {sp.pick(WIDE_BLANKS, "turn")} || CASE conv_id % 8"""
+
+
+@query(
+    "g5_is_safe_sql_blanks",
+    _guard_sql(f"{SAFE} AS safe")
+    .replace("CASE WHEN turn % 7 = 6 THEN '  ' ELSE CASE conv_id % 8", _WIDE_SQL)
+    .replace("' -- drop and create' END END AS sql", f"' -- drop and create' END || ';' || {sp.pick(WIDE_BLANKS, 'turn + 1')} END AS sql"),
+)
+def g5_blanks(t):
+    blanks = F.array(*map(F.lit, WIDE_BLANKS))
+    before, after = (F.element_at(blanks, F.pmod(F.col("turn") + k, F.lit(4)).cast("int") + 1) for k in (0, 1))
+    wide = F.when(F.pmod("turn", F.lit(7)) == 6, F.col("sql")).otherwise(
+        F.concat(before, F.col("sql"), F.lit(";"), after)
+    )
+    return statements(t).select("conv_id", "turn", g.is_safe_sql(wide).alias("safe"))
+
+
 @query(
     "g6_gate",
     _guard_sql(
