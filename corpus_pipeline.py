@@ -87,7 +87,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's tokens in sequences of at most 2048, each window of the sources' mixture."""
-    return pack(docs.select(*COLUMNS), "doc_id", "text", "source", tokenizer_path()).drop("ids")
+    return pack(docs.select(*COLUMNS), "doc_id", "text", "source", tokenizer_path(), with_ids=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

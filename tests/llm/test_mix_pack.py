@@ -128,7 +128,7 @@ def check_pieces(rows, docs, length):
 def test_pack_awkward_rows(spark):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     docs = edge.documents(spark)
     rows = packing.pack(docs, "doc_id", "text", "source", packing.tokenizer_path(), 256, 4).collect()
@@ -146,7 +146,7 @@ def test_pack_awkward_rows(spark):
 def test_ids_of_parts_are_the_ids_of_the_whole():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     texts = [
         "it's  we'll   don't", " lead", "trail  ", "a\n b", "x. y, z! 1 2 a1 b2", "<|endoftext|> a <|endoftext|>",
