@@ -1,8 +1,8 @@
 """BM25 as joins and aggregations over a postings table.
 
-Postings are counted once per (document, term). A search keeps only postings of terms some
-query asks for, weights them and moves them once to their document's partition. Scores are
-summed there in numpy blocks of documents x queries and cut to the best k inside the task:
+Terms are counted inside the document's row, so postings are never shuffled. A search keeps
+only postings of terms some query asks for, weights them and sums them where their document
+is read, in numpy blocks of documents x queries that are cut to the best k inside the task:
 no (query, document) pair becomes a row, only k rows per query and task are shuffled, and a
 term found in most documents costs one posting per document, however many queries ask for it.
 
@@ -49,6 +49,7 @@ class Bm25Index:
     id_col: str
     carried: tuple[str, ...] = ()
     grouped: bool = False  # without LENGTH_TERM postings
+    local: bool = False  # a document's postings are neighbours in one partition
 
     def save(self, path: str, slices: int = 16) -> None:
         """Postings in directories by term hash, sorted by term, so a search reads only
@@ -119,29 +120,53 @@ def bm25_index(
     small_vocabulary: bool = False,
     han_pairs: bool = False,
 ) -> Bm25Index:
-    """Count postings. With a ``vocabulary`` only its terms are kept, before any shuffle.
+    """Count postings inside each row; ``id_col`` names a row. With a ``vocabulary`` only its
+    terms are kept.
 
-    Every document adds one posting of LENGTH_TERM, so that postings, document frequencies
-    and length statistics all come from one pass over the texts and one shuffle.
+    Every document adds one posting of LENGTH_TERM, which carries its length. Frequencies
+    are counted in a second pass over the texts, which moves counts only.
     """
     words = tokens(F.coalesce(F.col(text_col), F.lit("")), han_pairs)
     rows = spread(docs.select(id_col, *carried, text_col)).select(
-        id_col, *carried, words.alias("_words")
-    )
-    rows = rows.select(
-        id_col,
-        *carried,
-        F.size("_words").alias("doc_len"),
-        F.explode(F.array_append("_words", F.lit(LENGTH_TERM))).alias("term"),
+        id_col, *carried, F.array_sort(words).alias("_words")
     )
+    sizes = rows.select(F.size("_words").cast("long").alias("doc_len"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    postings = rows.select(
+        id_col, *carried, F.size("_words").alias("doc_len"), F.explode(_counts(F.col("_words"))).alias("_p")
+    ).select(id_col, *carried, "doc_len", "_p.term", "_p.tf")
     if vocabulary is not None:
         length_term = docs.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))
         wanted = vocabulary.unionByName(length_term)
-        rows = rows.join(maybe_broadcast(wanted, small_vocabulary), "term", "left_semi")
-    postings = rows.groupBy(id_col, *carried, "doc_len", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    return Bm25Index(postings, _document_frequencies(postings), _statistics(postings), id_col, carried)
+        postings = postings.join(maybe_broadcast(wanted, small_vocabulary), "term", "left_semi")
+    # without a broadcast vocabulary its join moves the postings
+    local = vocabulary is None or small_vocabulary
+    return Bm25Index(postings, _document_frequencies(postings), stats, id_col, carried, local=local)
+
+
+def _counts(words: Column) -> Column:
+    """Sorted words as array<struct<term, tf>>, the length term first: runs of equal words."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
+        )
+        found = F.transform(
+            F.array(starts),
+            lambda s: F.transform(
+                s,
+                lambda at, k: F.struct(
+                    F.get(w, at).alias("term"),
+                    (F.coalesce(F.get(s, k + 1), F.size(w)) - at).cast("long").alias("tf"),
+                ),
+            ),
+        )
+        return F.when(F.size(w) > 0, F.element_at(found, 1)).otherwise(
+            F.array().cast("array<struct<term:string,tf:bigint>>")
+        )
+
+    length = F.struct(F.lit(LENGTH_TERM).alias("term"), F.lit(1).cast("long").alias("tf"))
+    return F.concat(F.array(length), runs(words))
 
 
 def query_terms(queries: DataFrame, query_id: str, query_text: str, han_pairs=False) -> DataFrame:
@@ -282,7 +307,9 @@ def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allow
         if out is not None:
             yield out
 
-    return rows.repartition(id_col).sortWithinPartitions(id_col).mapInPandas(scan, schema)
+    if not index.local:
+        rows = rows.repartition(id_col).sortWithinPartitions(id_col)
+    return rows.mapInPandas(scan, schema)
 
 
 def bm25_search(
