@@ -236,10 +236,13 @@ def render_templates(hits: DataFrame) -> DataFrame:
 
 
 def intent_options(intents: DataFrame) -> DataFrame:
-    """A bullet per intent, as one text; ``intents`` is a small registry (name, description)."""
+    """A bullet per intent in registry order, as one text.
+
+    ``intents`` is a registry (ord, name, description): as many rows as a prompt can list.
+    """
     line = F.concat(F.lit("- "), "name", F.lit(": "), "description")
-    return intents.select("name", line.alias("_line")).agg(
-        ordered_join("name", "_line", "\n").alias("options")
+    return intents.select("ord", line.alias("_line")).agg(
+        ordered_join("ord", "_line", "\n").alias("options")
     )
 
 

@@ -7,6 +7,8 @@ windows run over chunks of consecutive messages that overlap by the frame length
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +117,8 @@ def history_and_input(
     n: int = HISTORY_MESSAGES,
 ) -> DataFrame:
     """For every message as the current one: ``history`` (at most n messages before it, as
-    role and content) and ``input``. n <= 0 keeps all; such arrays grow with the thread."""
+    role and content) and ``input``. n <= 0 keeps all: such arrays grow with the square of the
+    thread, so it is meant for threads of known length."""
     item = F.struct(F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     if n > 0:
         out = framed(log, thread, pos, n, -1, "history", item)
@@ -151,34 +154,48 @@ def summarize(
     window: int = SUMMARY_WINDOW,
     previous: DataFrame | None = None,
     salts: int = 16,
+    model: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Extractive summary per thread: of its last ``window`` messages, the m with the
     rarest words (highest mean idf over distinct tokens), in order. A thread below the
     trigger keeps its previous summary.
 
-    ``tokens`` has one row per token: thread, pos, term. Weights are joined to tokens on
+    ``tokens`` has one row per token: thread, pos, term. Word frequencies cover the whole
+    log; only the words of the last windows are scored. Weights are joined to them on
     (term, salt), so a very frequent term is spread over ``salts`` tasks.
+
+    With ``model``, a function of the window's text, its output is the summary; where it
+    is null or empty the previous summary stays.
     """
+    size = log.groupBy(thread).agg((F.max(pos) + 1).alias("_size"))
+    recent = log.join(size, thread).where(
+        (F.col("_size") >= trigger) & (F.col(pos) >= F.col("_size") - window)
+    )
+    if model is not None:
+        made = recent.groupBy(thread).agg(ordered_join(pos, text, "\n").alias("_text"))
+        made = made.select(thread, F.nullif(model(F.col("_text")), F.lit("")).alias("_new"))
+        return _with_previous(size, made, previous, thread)
     words = tokens.select(thread, pos, "term").distinct()
     n = log.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = idf.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     idf = idf.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = words.withColumn("_s", F.pmod(F.xxhash64(thread, pos), F.lit(salts)).cast("int"))
+    near = words.join(recent.select(thread, pos), [thread, pos], "left_semi")
+    salted = near.withColumn("_s", F.pmod(F.xxhash64(thread, pos), F.lit(salts)).cast("int"))
     scores = (
         salted.join(idf, ["term", "_s"])
         .groupBy(thread, pos)
         .agg(F.round(F.avg("idf"), 4).alias("_score"))
     )
-    size = log.groupBy(thread).agg((F.max(pos) + 1).alias("_size"))
-    recent = (
-        log.join(size, thread)
-        .where((F.col("_size") >= trigger) & (F.col(pos) >= F.col("_size") - window))
-        .join(scores, [thread, pos], "left")
-        .withColumn("_score", F.coalesce("_score", F.lit(0.0)))
+    scored = recent.join(scores, [thread, pos], "left").withColumn(
+        "_score", F.coalesce("_score", F.lit(0.0))
     )
-    best = top_k(recent, thread, "_score", m, pos)
+    best = top_k(scored, thread, "_score", m, pos)
     made = best.groupBy(thread).agg(ordered_join(pos, text, "\n").alias("_new"))
+    return _with_previous(size, made, previous, thread)
+
+
+def _with_previous(size: DataFrame, made: DataFrame, previous: DataFrame | None, thread: str) -> DataFrame:
     out = size.join(made, thread, "left")
     if previous is None:
         return out.select(thread, F.coalesce("_new", F.lit("")).alias("summary"))

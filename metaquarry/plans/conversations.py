@@ -14,14 +14,10 @@ from metaquarry.plans.tasks import LOG, MISSING, NEEDS, REQUIRED, _missing
 from metaquarry.operators.parsing import parse_route
 
 
-
-BUCKET_ROWS = 2_000
-
-
 def buckets(rows):
-    """Time buckets of the events, small enough to have several of them."""
+    """Time buckets of the events."""
     seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), F.col("ts"))
-    return mm.even_buckets(rows, seconds, BUCKET_ROWS)
+    return mm.even_buckets(rows, seconds)
 
 
 AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"

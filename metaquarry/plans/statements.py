@@ -356,12 +356,15 @@ def h6_turns(t):
 
 @query(
     "f4_intent_options",
-    """WITH names AS (SELECT source AS name, count(*) || ' documents' AS description FROM documents GROUP BY 1)
-      SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY name) AS options FROM names""",
+    """WITH names AS (SELECT lang AS name, min(doc_id) AS ord, count(*) || ' documents' AS description
+        FROM documents GROUP BY 1)
+      SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY ord) AS options FROM names""",
 )
 def f4_options(t):
-    intents = t.documents.groupBy(F.col("source").alias("name")).agg(
-        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("description")
+    """The languages as intents, in the order in which the documents first have them."""
+    intents = t.documents.groupBy(F.col("lang").alias("name")).agg(
+        F.min("doc_id").alias("ord"),
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("description"),
     )
     return cx.intent_options(intents)
 

@@ -150,3 +150,24 @@ def test_even_buckets_split_a_hot_thread(log):
     sizes = log.where("thread_id = 1").groupBy(bucket.alias("b")).count().collect()
     assert len(sizes) == 5 and max(r["count"] for r in sizes) <= 20
     assert log.where("false").select(mm.even_buckets(log.where("false"), F.col("turn"))).count() == 0
+
+
+def test_model_summary_keeps_the_previous_one_on_failure(spark):
+    from metaquarry.operators.memory import summarize
+
+    log = spark.createDataFrame(
+        [(t, i, f"m{i}") for t in (1, 2, 3) for i in range(4 if t < 3 else 2)], "thread long, pos long, text string"
+    )
+    old = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "thread long, summary string")
+    made = summarize(
+        log.withColumn("text", F.when(F.col("thread") == 2, "").otherwise(F.col("text"))),
+        log.select("thread", "pos", F.lit("x").alias("term")),
+        "thread",
+        "pos",
+        "text",
+        trigger=3,
+        window=2,
+        previous=old,
+        model=lambda text: F.when(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))) != "", F.upper(text)),
+    )
+    assert {r.thread: r.summary for r in made.collect()} == {1: "M2\nM3", 2: "old", 3: "old"}
