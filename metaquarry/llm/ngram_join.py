@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from metaquarry.llm.common import query, stored, table
 from metaquarry.llm.components import connected
-from metaquarry.llm.shingles import U, fingerprint, runs, shingle_sets
+from metaquarry.llm.shingles import U, fingerprint, runs, shingle_sets, sketch, sketch_distance
 from metaquarry.session import ship_package
 
 #: Shingle frequencies are counted over all texts in this many cells by hash (4 MB in all,
@@ -36,6 +36,10 @@ MAX_SHIPPED_IDS = 2_000_000
 #: Candidate pairs are written in batches of about this many rows.
 BATCH_ROWS = 50_000
 STEP = 256
+#: In the first round, a set meets so many sets of its shard with the fewest rarer shingles.
+HUBS = 2
+#: Shards up to this size are searched side by side, longer ones one at a time.
+SHORT_SHARD = 64
 
 
 def _sets(pdf: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -45,26 +49,23 @@ def _sets(pdf: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _scan(width: int):
-    """One row per text (block -1), then the task's shingle counts by cell in blocks."""
+    """One row per text (block -1, raw is its sketch), then the task's counts by cell in blocks."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         for pdf in batches:
             rows = []
             for i, tokens in _sets(pdf, width):
-                rows.append((len(tokens), *fingerprint(tokens)))
+                rows.append((len(tokens), *fingerprint(tokens), sketch(tokens)))
                 _count(cells, tokens)
-            out = pd.DataFrame(rows, columns=["n", "hi", "lo"])
-            yield pd.DataFrame(
-                {"block": -1, "doc_id": pdf["doc_id"].array, "n": out["n"], "hi": out["hi"], "lo": out["lo"], "counts": None}
-            )
+            out = pd.DataFrame(rows, columns=["n", "hi", "lo", "raw"])
+            yield out.assign(block=-1, doc_id=pdf["doc_id"].to_numpy())
         for block, part in enumerate(np.split(cells, BLOCKS)):
             if part.any():
                 kind = np.min_scalar_type(part.max())
                 raw = part.astype(kind).tobytes()
-                yield pd.DataFrame(
-                    {"block": [block], "doc_id": [None], "n": [kind.itemsize], "hi": [0], "lo": [0], "counts": [raw]}
-                )
+                row = {"block": block, "doc_id": None, "n": kind.itemsize, "hi": 0, "lo": 0, "raw": raw}
+                yield pd.DataFrame([row])
 
     return scan
 
@@ -77,22 +78,22 @@ def _count(cells: np.ndarray, tokens: np.ndarray) -> None:
 def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[int, np.ndarray] = {}
     for pdf in batches:
-        for block, size, raw in zip(pdf["block"], pdf["n"], pdf["counts"], strict=True):
+        for block, size, raw in zip(pdf["block"], pdf["n"], pdf["raw"], strict=True):
             part = np.frombuffer(raw, f"u{size}").astype(np.uint64)
             total[block] = total[block] + part if block in total else part
     for block, part in total.items():
-        yield pd.DataFrame({"block": [block], "n": [8], "counts": [part.tobytes()]})
+        yield pd.DataFrame({"block": [block], "n": [8], "raw": [part.tobytes()]})
 
 
 def _total_counts(blocks: DataFrame) -> np.ndarray:
     """Counts of all cells: summed in each task, then by block; BLOCKS rows reach the driver."""
-    kind = "block int, n long, counts binary"
-    parts = blocks.select("block", "n", "counts").mapInPandas(_add_blocks, kind)
+    kind = "block int, n long, raw binary"
+    parts = blocks.select("block", "n", "raw").mapInPandas(_add_blocks, kind)
     rows = parts.repartition("block").mapInPandas(_add_blocks, kind).collect()
     out = np.zeros(1 << CELL_BITS, np.uint64)
     size = (1 << CELL_BITS) // BLOCKS
     for row in rows:
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], np.uint64)
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["raw"], np.uint64)
     return np.minimum(out, U(2**32 - 1)).astype(np.uint32)
 
 
@@ -164,10 +165,13 @@ def _columns(pdf: pd.DataFrame, extra: tuple[str, ...] = ()) -> dict[str, np.nda
 
 
 def _possible(c: dict, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Can the sets at rows a and b (sizes na <= nb) still reach the threshold?"""
+    """Can the sets at rows a and b (sizes na <= nb) be linked through this shared shingle?
+
+    Sets with an overlap of ``need`` share one of their first n - need + 1 shingles.
+    """
     na, nb = c["n"][a].astype(np.int64), c["n"][b].astype(np.int64)
-    most = np.minimum(np.minimum(c["place"][a], c["place"][b]) + np.minimum(na - c["place"][a], nb - c["place"][b]), na)
-    return (100 * na >= percent * nb) & ((100 + percent) * most >= percent * (na + nb))
+    need = -(-percent * (na + nb) // (100 + percent))
+    return (need <= na) & (c["place"][a] <= na - need) & (c["place"][b] <= nb - need)
 
 
 def _link_rows(c: dict, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -193,10 +197,19 @@ def _neighbours(percent: int):
             if not shared.any():
                 continue
             yield pd.DataFrame({k: v[shared] for k, v in c.items()}).assign(role=0)
-            a = np.flatnonzero(same)
-            a = a[_possible(c, a, a + 1, percent)]
-            if len(a):
-                yield _link_rows(c, a, a + 1).assign(role=1)
+            # the next one by size, and the sets that have the fewest shingles of their own
+            order = np.lexsort((c["lo"], c["place"], c["token"]))
+            edge = np.flatnonzero(np.concatenate(([True], ~same)))
+            shard = np.cumsum(np.concatenate(([True], ~same))) - 1
+            last = np.append(edge[1:], len(shared))[shard] - 1
+            rows = np.arange(len(shared))
+            mates = [np.minimum(rows + 1, last)]
+            mates += [order[np.minimum(edge[shard] + k, last)] for k in range(HUBS)]
+            a, b = np.concatenate([rows] * len(mates)), np.concatenate(mates)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            ok = (a < b) & _possible(c, a, b, percent)
+            if ok.any():
+                yield _link_rows(c, a[ok], b[ok]).assign(role=1)
 
     def run(batches):
         names = ["token", "hi", "lo", "n", "place", "ahi", "alo", "bhi", "blo", "an", "bn", "role"]
@@ -206,30 +219,54 @@ def _neighbours(percent: int):
     return run
 
 
+def _cross_pairs(c: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of one shard each, of different components, that may be linked."""
+    edge = np.flatnonzero(np.concatenate(([True], c["token"][1:] != c["token"][:-1])))
+    length = np.diff(np.append(edge, len(c["token"])))
+    mixed = np.minimum.reduceat(c["component"], edge) != np.maximum.reduceat(c["component"], edge)
+    # short shards all at once, by distance; sizes ascend, so who is too far apart stays so
+    small = np.repeat(mixed & (length <= SHORT_SHARD), length)
+    alive, step = np.flatnonzero(small), 1
+    while len(alive):
+        alive = alive[alive + step < len(small)]
+        near = (c["token"][alive] == c["token"][alive + step]) & (
+            100 * c["n"][alive].astype(np.int64) >= percent * c["n"][alive + step].astype(np.int64)
+        )
+        alive = alive[near]
+        b = alive + step
+        ok = (c["component"][alive] != c["component"][b]) & _possible(c, alive, b, percent)
+        yield alive[ok], b[ok]
+        step += 1
+    # in a long shard, every row outside of its main component against all rows
+    for lo, size in zip(edge[mixed & (length > SHORT_SHARD)], length[mixed & (length > SHORT_SHARD)], strict=True):
+        hi = lo + size
+        names, counts = np.unique(c["component"][lo:hi], return_counts=True)
+        main = names[counts.argmax()]
+        others = lo + np.flatnonzero(c["component"][lo:hi] != main)
+        rows = np.arange(lo, hi)
+        for i in others:
+            j = rows[(c["component"][lo:hi] == main) | (rows > i)]
+            j = j[c["component"][j] != c["component"][i]]
+            a, b = np.minimum(i, j), np.maximum(i, j)
+            ok = _possible(c, a, b, percent)
+            yield a[ok], b[ok]
+
+
 def _across(percent: int):
-    """Pairs of different components in each shard, in blocks."""
+    """Pairs of different components in each shard."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: list[pd.DataFrame] = []
         size = 0
         for pdf in _whole_shards(batches):
             c = _columns(pdf, ("component",))
-            edge = np.flatnonzero(np.concatenate(([True], c["token"][1:] != c["token"][:-1], [True])))
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                group = c["component"][lo:hi]
-                if (group == group[0]).all():
-                    continue
-                for i in range(lo, hi - 1):  # sorted by size: partners are a stretch after i
-                    end = lo + np.searchsorted(c["n"][lo:hi], 100 * int(c["n"][i]) // percent, "right")
-                    b = np.arange(i + 1, end)
-                    b = b[c["component"][b] != c["component"][i]]
-                    b = b[_possible(c, np.full(len(b), i), b, percent)]
-                    if len(b):
-                        ready.append(_link_rows(c, np.full(len(b), i), b))
-                        size += len(b)
-                    if size >= BATCH_ROWS:
-                        yield pd.concat(ready).drop_duplicates()
-                        ready, size = [], 0
+            for a, b in _cross_pairs(c, percent):
+                if len(a):
+                    ready.append(_link_rows(c, a, b))
+                    size += len(a)
+                if size >= BATCH_ROWS:
+                    yield pd.concat(ready).drop_duplicates()
+                    ready, size = [], 0
         if ready:
             yield pd.concat(ready).drop_duplicates()
 
@@ -307,21 +344,24 @@ class JaccardJoin:
         return df.repartition(*keys).sortWithinPartitions(*order)
 
     def scan(self) -> None:
-        seen = self.docs.mapInPandas(
-            _scan(self.width), "block int, doc_id long, n long, hi long, lo long, counts binary"
+        # ids travel as text: exact in pandas, null or large
+        seen = self.docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+            _scan(self.width), "block int, doc_id string, n long, hi long, lo long, raw binary"
         )
-        self.seen = stored(seen, "sets")
+        self.seen = stored(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
         self.rows = self.seen.filter("block = -1").select("doc_id", "n", "hi", "lo")
         counts = _total_counts(self.seen.filter("block >= 0"))
         self.counts = self.spark.sparkContext.broadcast(counts)
         # one document stands for each class of equal sets
         self.classes = stored(
-            self.rows.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first")),
+            self.seen.filter("block = -1 and n > 0 and doc_id is not null")
+            .groupBy("hi", "lo")
+            .agg(F.min("doc_id").alias("first"), F.min("raw").alias("sketch")),
             "classes",
         )
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        posted = self.docs.filter("doc_id is not null").mapInPandas(
+        posted = self.docs.filter("doc_id is not null").select("text").mapInPandas(
             _postings(self.width, self.percent, self.counts), _POSTING
         )
         met = self._by(posted, ["token"], ["token", "n", "hi", "lo"]).mapInPandas(
@@ -329,14 +369,33 @@ class JaccardJoin:
         )
         met = stored(met, "shards")
         names = [x.split()[0] for x in _LINK.split(", ")]
-        return met.filter("role = 0").select("token", "hi", "lo", "n", "place"), met.filter("role = 1").select(*names).distinct()
+        shards = met.filter("role = 0").select("token", "hi", "lo", "n", "place")
+        return shards, met.filter("role = 1").select(*names).distinct()
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches do not rule a link out."""
+        percent = self.percent
+
+        @F.pandas_udf("boolean")
+        def near(an: pd.Series, bn: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+            both = an + bn
+            most = both - 2 * -(-percent * both // (100 + percent))
+            return most >= [sketch_distance(*z) for z in zip(x, y, strict=True)]
+
+        for end in "ab":
+            of = self.classes.select(
+                F.col("hi").alias(f"{end}hi"), F.col("lo").alias(f"{end}lo"), F.col("sketch").alias(f"{end}s")
+            )
+            pairs = pairs.join(of, [f"{end}hi", f"{end}lo"])
+        return pairs.filter(near("an", "bn", "as", "bs")).select("ahi", "alo", "bhi", "blo")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets reach the threshold, as (a, b) of their first documents."""
-        ends = pairs.select(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).unionByName(
-            pairs.select(F.col("bhi").alias("hi"), F.col("blo").alias("lo"))
-        ).distinct()
-        first = stored(ends.join(self.classes, ["hi", "lo"]).select(F.col("first").alias("doc_id")).distinct(), "ends")
+        pairs = stored(self.close(pairs), "close")
+        both = [F.struct(F.col(f"{x}hi").alias("hi"), F.col(f"{x}lo").alias("lo")) for x in "ab"]
+        ends = pairs.select(F.explode(F.array(*both)).alias("end")).select("end.hi", "end.lo").distinct()
+        first = ends.join(self.classes, ["hi", "lo"]).select(F.col("first").alias("doc_id")).distinct()
+        first = stored(first, "ends")
         few = first.count() <= MAX_SHIPPED_IDS
         texts = self.docs.join(F.broadcast(first) if few else first, "doc_id", "left_semi")
         sets = texts.select("text").mapInPandas(_members(self.width, self.counts), "hi long, lo long, members binary")
@@ -376,7 +435,8 @@ class JaccardJoin:
             ["token"],
             ["token", "n", "hi", "lo"],
         ).mapInPandas(_across(self.percent), _LINK)
-        far = stored(rest.distinct().join(near.select("ahi", "alo", "bhi", "blo"), ["ahi", "alo", "bhi", "blo"], "left_anti"), "far")
+        pair = ["ahi", "alo", "bhi", "blo"]
+        far = stored(rest.distinct().join(near.select(*pair), pair, "left_anti"), "far")
         links = links.unionByName(self.linked(far)) if far.limit(1).count() else links
         # the same document id in several rows is one document
         own = (

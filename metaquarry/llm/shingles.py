@@ -9,7 +9,7 @@ import numpy as np
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 #: Texts are hashed in runs of about this many bytes, which bounds a task's memory.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -100,3 +100,23 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     a = mix(tokens, 3).sum(dtype=U) + U(len(tokens))
     b = mix(tokens, 4).sum(dtype=U) ^ mix(np.array([len(tokens)], U), 5)[0]
     return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the counts of a set's hashes in cells, about two for each member.
+
+    Two sets that differ in d members have sketches that differ in d bits at most.
+    """
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens, 6) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
