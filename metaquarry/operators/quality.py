@@ -25,6 +25,18 @@ def check_required_fields(df: DataFrame, definition: Catalog) -> None:
         raise ValueError(f"{definition.name} lacks required fields: {missing}")
 
 
+def required_fields_report(df: DataFrame, definition: Catalog) -> DataFrame:
+    """One row for a record set: its rows, the required fields it lacks and those it adds."""
+    missing, extra = missing_required_fields(df, definition), extra_fields(df, definition)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(definition.name).alias("collection"),
+        "n_rows",
+        F.lit(",".join(missing)).alias("missing"),
+        F.lit(",".join(extra)).alias("extra"),
+        F.lit(not missing).alias("complete"),
+    )
+
+
 def check_vector_dim(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
     """Row, null and wrong-size counts with the sizes met. Null vectors are not wrong."""
     size = F.size(vector_col).cast("long")

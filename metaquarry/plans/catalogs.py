@@ -20,7 +20,8 @@ from metaquarry.plans.catalog_data import (
 from metaquarry.plans.registry import query
 from metaquarry.schemas import COLUMNS, TABLES
 from metaquarry.sources.metadata import catalog_counts
-from metaquarry.sources.records import lookup, upsert
+from metaquarry.session import new_run_dir
+from metaquarry.sources.records import lookup, publish, read_records, resolve, upsert, write_records
 
 # --------------------------------------------------------------------------- sources and sinks
 
@@ -57,6 +58,53 @@ def a3_versioned(t):
     return upsert(rows.where("event_type <> 'error'"), incoming, "user_id", "event_id")
 
 
+@query(
+    "a1_read_records",
+    """SELECT c_custkey, c_name, c_acctbal FROM customer
+      UNION ALL SELECT c_custkey, 'absent', 0 FROM customer WHERE false""",
+)
+def a1(t):
+    """Customers written as JSON lines and read back, with a set that does not exist."""
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    path = new_run_dir(t.spark, "records")
+    write_records(rows, path)
+    absent = read_records(t.spark, path + "-absent", rows.schema, lines=True)
+    return read_records(t.spark, path, rows.schema, lines=True).unionByName(absent)
+
+
+@query(
+    "a2_write_records",
+    """SELECT o_orderstatus, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last
+      FROM orders GROUP BY 1""",
+)
+def a2(t):
+    """Orders written as Parquet and counted from there."""
+    path = new_run_dir(t.spark, "records")
+    write_records(t.orders, path, "parquet")
+    rows = t.spark.read.parquet(path).groupBy("o_orderstatus")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
+    )
+
+
+@query(
+    "a4_publish",
+    """SELECT o_orderstatus, count(*) AS n, 'created,unchanged,updated' AS outcomes FROM orders
+      WHERE o_orderstatus <> 'F' GROUP BY 1""",
+)
+def a4(t):
+    """Two versions of the orders under one alias; readers see the one published last."""
+    base = new_run_dir(t.spark, "published")
+    versions = [f"{base}/all", f"{base}/open"]
+    write_records(t.orders, versions[0], "parquet")
+    write_records(t.orders.where("o_orderstatus <> 'F'"), versions[1], "parquet")
+    order = [versions[0], versions[0], versions[1]]
+    outcomes = [publish(t.spark, f"{base}/pointers", "orders_current", v).split(" ")[0] for v in order]
+    current = t.spark.read.parquet(resolve(t.spark, f"{base}/pointers", "orders_current"))
+    counts = current.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("outcomes", F.lit(",".join(outcomes)))
+
+
 @query(
     "a3_upsert_repeated",
     """SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
@@ -120,6 +168,20 @@ def a8(t):
 # --------------------------------------------------------------------------- quality
 
 
+DOC_FIELDS = {"text": "search_text", "source": "business_domain"}
+
+
+@query(
+    "b2_required_fields",
+    f"""SELECT '{TABLES.name}' AS collection, count(*) AS n_rows,
+      {sp.quote(",".join(f for f in TABLES.required if f not in ("doc_id", *DOC_FIELDS.values())))} AS missing,
+      'lang,n_chars' AS extra, false AS complete FROM documents""",
+)
+def b2(t):
+    """Do the documents make a table catalog?"""
+    return q.required_fields_report(t.documents.withColumnsRenamed(DOC_FIELDS), TABLES)
+
+
 @query(
     "b3_check_vector_dim",
     """SELECT count(*) AS n_rows, count(*) FILTER (embedding IS NULL) AS n_null,

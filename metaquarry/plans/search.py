@@ -11,6 +11,7 @@ from metaquarry.models import group_hash_embedding, hash_embedding, md5_bucket
 from metaquarry.operators import context as cx
 from metaquarry.operators.bm25 import (
     LENGTH_TERM,
+    Bm25Index,
     bm25_index,
     bm25_search,
     group_index,
@@ -32,7 +33,7 @@ from metaquarry.operators.topk import fits, top_k
 from metaquarry.plans import sqlparts as sp
 from metaquarry.plans.catalog_data import column_catalog, table_catalog, template_catalog
 from metaquarry.plans.registry import query
-from metaquarry.session import spread
+from metaquarry.session import new_run_dir, spread
 
 DIM = 64
 embed = partial(hash_embedding, dim=DIM, bucket=md5_bucket)
@@ -151,6 +152,22 @@ def e03(t):
     return bm25_search(text_queries(t), t.documents, 5)
 
 
+@query(
+    "e03_bm25_saved",
+    sp.with_(
+        sp.counted("", D_ALL),
+        sp.bm25("", Q_TEXT),
+        sp.ranked("hits", "sparse", "sparse", 5),
+        select="SELECT query_id, doc_id, sparse, rk FROM hits",
+    ),
+)
+def e03_saved(t):
+    """The same search in an index saved before: only the folders of its terms are read."""
+    path = new_run_dir(t.spark, "index")
+    bm25_index(t.documents, "doc_id", "text").save(path)
+    return bm25_search(text_queries(t), Bm25Index.load(t.spark, path, "doc_id"), 5)
+
+
 @query(
     "d1_build_filter",
     sp.with_(
