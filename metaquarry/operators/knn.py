@@ -25,7 +25,8 @@ SHIP_ROWS, SHIP_VALUES = 20_000, 8_000_000
 # Results one task of the vector scan may hand on: queries x k.
 SHIP_RESULTS = 1_000_000
 BLOCK_ROWS = 20_000
-STEP_ROWS = 1_000
+# Scores held at once in a task (32 MB).
+STEP_CELLS = 4_000_000
 
 
 def _unit(column) -> np.ndarray:
@@ -113,6 +114,14 @@ def knn_exact(
     return top_k(partial, query_id, "cosine", k, id_col)
 
 
+def _add_steps(best: RunningTopK, q_ids, q_unit, v_ids, v_unit, exclude_same) -> None:
+    """Scores of all pairs, in blocks of at most STEP_CELLS."""
+    step = max(1, STEP_CELLS // max(1, len(q_ids)))
+    for at in range(0, len(v_ids), step):
+        ids = v_ids[at : at + step]
+        best.add(_scores(q_ids, q_unit, ids, v_unit[at : at + step], exclude_same), ids)
+
+
 def _scan_vectors(vs, head, k, query_id, id_col, schema, exclude_same) -> DataFrame:
     q_ids, q_unit = _ids(head.iloc[:, 0]), _unit(head.iloc[:, 1])
     shipped = vs.sparkSession.sparkContext.broadcast((q_ids, q_unit))
@@ -122,8 +131,8 @@ def _scan_vectors(vs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
         best = RunningTopK(len(ids), k)
         for pdf in map(_known, batches):
             if not pdf.empty:
-                found = _ids(pdf.iloc[:, 0])
-                best.add(_scores(ids, unit, found, _unit(pdf.iloc[:, 1]), exclude_same), found)
+                found, rows = _ids(pdf.iloc[:, 0]), _unit(pdf.iloc[:, 1])
+                _add_steps(best, ids, unit, found, rows, exclude_same)
         out = best.frame(ids, query_id, id_col, "cosine")
         if out is not None:
             yield out
@@ -142,7 +151,7 @@ def _scan_queries(qs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
                 continue
             q_ids = _ids(pdf.iloc[:, 0])
             best = RunningTopK(len(q_ids), k)
-            best.add(_scores(q_ids, _unit(pdf.iloc[:, 1]), ids, unit, exclude_same), ids)
+            _add_steps(best, q_ids, _unit(pdf.iloc[:, 1]), ids, unit, exclude_same)
             out = best.frame(q_ids, query_id, id_col, "cosine")
             out["rk"] = out.groupby(query_id, sort=False).cumcount().astype("int32") + 1
             yield out
@@ -208,9 +217,7 @@ def knn_within(
                 q_ids, v_ids = _ids(q[query_id]), _ids(v[id_col])
                 q_unit, v_unit = _unit(q[query_vector]), _unit(v[vector_col])
                 best = RunningTopK(len(q_ids), k)
-                for at in range(0, len(v_ids), STEP_ROWS):
-                    ids = v_ids[at : at + STEP_ROWS]
-                    best.add(_scores(q_ids, q_unit, ids, v_unit[at : at + STEP_ROWS], exclude_same), ids)
+                _add_steps(best, q_ids, q_unit, v_ids, v_unit, exclude_same)
                 out.append(best.frame(q_ids, query_id, id_col, "cosine"))
         return pd.concat(out[1:] or out, ignore_index=True)
 

@@ -209,3 +209,24 @@ def test_two_stage_fallback_only_for_unmet_queries(spark):
     assert hits == {(q, d, "A") for q in (1, 2) for d in ("a1", "a2")}
     nested = {r.query_id: (r.doc_id, len(r.children)) for r in search_schemas(queries, *spaces, 1).collect()}
     assert nested == {1: ("A", 2), 2: ("B", 0)}
+
+
+def test_score_blocks_are_bounded(monkeypatch):
+    import numpy as np
+
+    from metaquarry.operators import knn
+    from metaquarry.operators.blocks import RunningTopK
+
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(300, 8)), rng.normal(size=(2000, 8))
+    ids, sizes = np.arange(2000), []
+    plain = RunningTopK(300, 5)
+    plain.add(knn._scores(np.arange(300), q, ids, v, True), ids)
+    monkeypatch.setattr(knn, "STEP_CELLS", 10_000)
+    scores = knn._scores
+    monkeypatch.setattr(knn, "_scores", lambda *a: sizes.append(scores(*a)) or sizes[-1])
+    stepped = RunningTopK(300, 5)
+    knn._add_steps(stepped, np.arange(300), q, ids, v, True)
+    assert max(s.size for s in sizes) <= 10_000
+    names = (np.arange(300), "q", "v", "s")
+    assert stepped.frame(*names).equals(plain.frame(*names))
