@@ -49,7 +49,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", 0, 100),
     Rule("marks", "n_marks", "n_words", 0, 500),
     Rule("stop_words", "n_stop_words", "n_words", 10, None, min_words=100),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 0, 300, min_words=10),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 0, 500, min_words=10),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 0, 300, min_words=10),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", 0, 900, min_words=10),
 )
