@@ -9,6 +9,7 @@ training sequences also join stretches of several languages.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ UNKNOWN = "und"
 #: The model is fitted on at most this many labelled texts in all, the same number for each
 #: language, and on a stretch of at most this many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1_200, 2_000
+#: The most frequent labels are learned, if there are more than this.
+MAX_LANGUAGES = 256
 #: Weights are kept for this many hashed features.
 FEATURE_BITS = 18
 SEQUENCE, BATCH, EPOCHS, RATE, DECAY = 40, 128, 2, 0.5, 1e-5
@@ -264,16 +267,22 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     rows = docs.select(
         F.md5(F.col(id_col).cast("string")).alias("at"), F.col(text_col).alias("text"), F.col(label_col).alias("label")
     ).filter("text is not null and label is not null")
-    n_labels = rows.agg(F.approx_count_distinct("label")).first()[0]
-    each = max(1, SAMPLE_TEXTS // max(1, n_labels))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    counts = counts.orderBy(F.col("n").desc(), "label").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return train([], [])
+    each = max(1, SAMPLE_TEXTS // len(counts))
+    # rows are thinned where they are read, so that few more than the sample are moved
+    below = {r["label"]: min(1 << 32, math.ceil((1.3 * each + 30) / r["n"] * (1 << 32))) for r in counts}
+    limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    number = F.conv(F.substring("at", 1, 8), 16, 10).cast("long")
+    begin = number % F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS)
     first = Window.partitionBy("label").orderBy("at")
-    begin = F.conv(F.substring("at", 1, 8), 16, 10).cast("long") % F.greatest(
-        F.lit(1), F.char_length("text") - SAMPLE_CHARS
-    )
     sample = (
-        rows.withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= each)
+        rows.filter(number < F.element_at(limits, F.col("label")))
         .select("label", F.substring("text", begin.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"), "at")
+        .withColumn("n", F.row_number().over(first))
+        .filter(F.col("n") <= each)
         .orderBy("label", "at")
         .collect()
     )
