@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from metaquarry.llm.common import BLANKS, let, lower_ascii, query, table
 
-#: A text is looked at further only if it holds one of these (in lower case).
+#: Every pattern of SENTENCES implies one of these, whatever blanks and quotes part the words,
+#: so a text without them has no known sentence. A new sentence needs its word here.
+GATE = (
+    r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|spdx|domain|gpl|gnu|hope|cc0"
+    r"|cc[^a-z0-9]+by|creative|attribution|endorse|reserved"
+)
+#: The narrower gate of the SQL, which misses sentences (see the README).
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|spdx|public domain"
 
 #: (identifier, pattern) for normalised sentences; the first that matches names the sentence.
@@ -166,7 +172,7 @@ def scan_licenses(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(
         F.col(id_col),
-        F.when(text.rlike(TRIGGER), let(text, sentence_ids)).otherwise("").alias("ids"),
+        F.when(text.rlike(GATE), let(text, sentence_ids)).otherwise("").alias("ids"),
     )
     return ids.select(
         id_col,
