@@ -178,9 +178,9 @@ def _measure(root: Node) -> None:
         node.hash = int.from_bytes(h.digest(), "big", signed=True)
 
 
-def subtree_hashes(page: str) -> list[int]:
+def subtree_hashes(root: Node) -> list[int]:
     """Distinct hashes of the subtrees that hold text and are not left out anyway."""
-    found, todo = set(), [parse(page)]
+    found, todo = set(), [root]
     while todo:
         node = todo.pop()
         if node.bad or node.hidden:
@@ -239,7 +239,10 @@ def _gather(root: Node, template: frozenset[int]) -> list[str]:
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page: its articles, else its main element, else its body."""
-    root = parse(page)
+    return _main_text(parse(page), template)
+
+
+def _main_text(root: Node, template: frozenset[int]) -> str:
     articles, mains, wrapped, todo = [], [], [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -262,9 +265,20 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return ""
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def hashes_of(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: subtree_hashes(p) if isinstance(p, str) else [])
+def page_hashes(page: str) -> tuple[list[int], int | None]:
+    """Hashes of the subtrees, and one of the main text, which copies have in common."""
+    root = parse(page)
+    text = _main_text(root, frozenset())
+    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return subtree_hashes(root), int.from_bytes(digest, "big", signed=True) if text else None
+
+
+@F.pandas_udf(T.StructType().add("hashes", T.ArrayType(T.LongType())).add("content", T.LongType()))
+def hashes_of(pages: pd.Series) -> pd.DataFrame:
+    found = [page_hashes(p) if isinstance(p, str) else ([], None) for p in pages]
+    return pd.DataFrame(
+        {"hashes": [h for h, _ in found], "content": pd.array([c for _, c in found], dtype="Int64")}
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -288,9 +302,10 @@ def extract_text(
 ) -> DataFrame:
     """(page_id, url, text) of every row.
 
-    Null and empty pages have an empty text; pages whose url has no host are one host. Rows
-    with the same url and content are counted as one page of their host. Repeated rows come
-    back each, null ids too; other columns are ignored.
+    Null and empty pages have an empty text; pages whose url has no host are one host. Pages of
+    a host with the same main text (before any template goes) are counted as one, so an article
+    that many pages copy is not taken for a template. Repeated rows come back each, null ids
+    too; other columns are ignored.
     """
     ship_package(pages.sparkSession)
     own = pages.select(
@@ -301,17 +316,24 @@ def extract_text(
             "page": F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))),
         }
     )
-    seen = stored(own.select("page", "host", hashes_of("html").alias("hashes")), "subtrees")
-    seen = seen.dropDuplicates(["page"])
-    each = seen.select("page", "host", F.explode("hashes").alias("hash"))
-    n_pages = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    seen = stored(
+        own.select("page", "host", hashes_of("html").alias("found")).select(
+            "page", "host", "found.hashes", F.coalesce("found.content", "page").alias("content")
+        ),
+        "subtrees",
+    )
+    # of copies, the page with the least hash is counted
+    distinct = seen.groupBy("host", "content").agg(F.min_by("hashes", "page").alias("hashes"))
+    n_pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    each = distinct.select("host", F.explode("hashes").alias("hash"))
     counts = each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     template = stored(
         counts.join(n_pages, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash"),
         "template",
     )
+    on_all = seen.dropDuplicates(["page"]).select("page", "host", F.explode("hashes").alias("hash"))
     on_page = stored(
-        each.join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template")),
+        on_all.join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template")),
         "on-page",
     )
     return own.join(on_page, "page", "left").select("page_id", "url", text_of("html", "template").alias("text"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from metaquarry.llm import licenses
+from metaquarry.llm import html_text, licenses
 
 SENTENCES = [
     ("SPDX_MIT", "SPDX-License-Identifier: MIT"),
@@ -70,3 +70,18 @@ def test_a_text_with_only_one_sentence_is_found(spark, gap):
     by_name = {n: got[i]["licenses"] for i, (n, _) in enumerate(SENTENCES)}
     assert by_name["ALL_RIGHTS"] == ["All-Rights-Reserved"] and by_name["CC_BY_SA"] == ["CC-BY-SA"]
     assert by_name["GPL3"] == ["GPL-3.0"] and by_name["CC0"] == ["CC0-1.0"]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    story = "<h1>Flood</h1><p>The river rose.</p><p>Many left.</p>"
+    wrap = "<div>menu of the site</div>{}<div>seen {} times</div>"
+    rows = [(i, f"http://h.org/{i}", wrap.format(f"<article>{story}</article>", i)) for i in range(12)]
+    rows += [(20 + i, f"http://m.org/{i}", wrap.format(f"<main>{story}</main>", i)) for i in range(12)]
+    rows += [(40 + i, f"http://d.org/{i}", f"<div id=x{i}>{story}</div>") for i in range(12)]
+    other = "<article><p>text {}</p><div>Read our other news</div></article>"
+    rows += [(1000 * n + i, f"http://{h}.org/o{i}", wrap.format(other.format(i), i)) for n, h in enumerate("hmd", 1) for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, "page_id", "url", "html").collect()}
+    for i in (*range(12), *range(20, 32), *range(40, 52)):
+        assert got[i] == "Flood\n\nThe river rose.\n\nMany left."
+    assert all(got[1000 * n + i] == f"text {i}" for n in (1, 2, 3) for i in range(24))  # this still goes
