@@ -55,6 +55,17 @@ _NAMES = (
     "recommendations|share|sharing|[a-z]*sidebars?|skip|social|sponsor|sponsored|tags|teaser|widgets?|hidden|search"
 )
 _BAD_NAME = re.compile(rf"(?:^|[^a-z0-9])(?:{_NAMES})(?=$|[^a-z])")
+#: Names that tell of a page's state or parts ('has-sidebar', 'overflow-hidden', 'comments-open').
+_STATE_NAME = re.compile(
+    r"(?<![\w-])(?:has|with|without|no|not|is|overflow)-[\w-]+"
+    r"|(?<![\w-])[\w-]+-(?:open|closed|enabled|disabled|hidden|visible|results)(?![\w-])"
+)
+#: Names of what is never a wrapper of main text, however long it is.
+_PROSE_NAME = re.compile(
+    r"comment|respond|responses|repl(?:y|ies)|disqus|discussion|consent|cookie|gdpr|modal|popup|newsletter|"
+    r"subscri|notice|disclaimer|copyright|paywall|foot|related|recommend|teaser|promo|sponsor|advert"
+)
+STATE, PART, PROSE = 1, 2, 3
 _BAD_ROLE = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 )
@@ -73,19 +84,20 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element; ``parts`` are texts (str) and elements (Node) in page order."""
 
-    __slots__ = ("tag", "bad", "hidden", "main", "parts", "hash", "length")
+    __slots__ = (
+        "tag", "bad", "named", "hidden", "main", "parts", "hash", "length", "visible", "prose", "holds"
+    )
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts, self.hash, self.length = tag, [], 0, 0
         self.bad, self.hidden, self.main = tag in DROPPED, False, tag == "main"
+        self.named, self.visible, self.prose, self.holds = 0, 0, 0, False
         if not attributes.strip():
             return
         for name, *values in _ATTR.findall(attributes):
             name, value = name.lower(), html.unescape("".join(values)).lower()
             if name in ("class", "id"):
-                self.bad |= tag not in ("html", "body", "main") and bool(
-                    _BAD_NAME.search(value.replace("_", "-")) and not (tag == "article" and "comment" not in value)
-                )
+                self.named = max(self.named, _name_kind(tag, value.replace("_", "-")))
             elif name == "role":
                 self.bad |= value in _BAD_ROLE
                 self.main |= value == "main"
@@ -93,6 +105,18 @@ class Node:
                 self.hidden = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 self.hidden = True
+        if self.main:
+            self.named = 0
+
+
+def _name_kind(tag: str, value: str) -> int:
+    """0 for a class or id that says nothing, else STATE, PART or PROSE."""
+    if tag in ("html", "body", "main") or tag == "article" and "comment" not in value or not _BAD_NAME.search(value):
+        return 0
+    rest = _STATE_NAME.sub(" ", value)
+    if not _BAD_NAME.search(rest):
+        return 0 if tag == "article" else STATE
+    return PROSE if tag == "article" or _PROSE_NAME.search(rest) else PART
 
 
 def parse(page: str) -> Node:
@@ -164,18 +188,30 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _measure(root: Node) -> None:
-    """Hash of every subtree and length of its text, without recursion."""
-    for node in reversed(_walk(root)):
+    """Hash of every subtree, length of its text, and which names count, without recursion."""
+    nodes = _walk(root)
+    for node in reversed(nodes):
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         for p in node.parts:
             if isinstance(p, Node):
                 h.update(p.hash.to_bytes(8, "big", signed=True))
                 node.length += p.length
+                if not (p.bad or p.hidden):
+                    node.visible += p.visible
+                    if p.named < PROSE:
+                        node.prose += p.visible if p.tag in ("p", "pre", "blockquote") else p.prose
+                        node.holds |= p.holds or p.main or p.tag == "article"
             else:
                 words = " ".join(p.split())
                 h.update(b"\0" + words.encode("utf-8", "surrogatepass"))
                 node.length += len(words)
+                node.visible += len(words)
         node.hash = int.from_bytes(h.digest(), "big", signed=True)
+    half = root.visible / 2
+    for node in nodes:
+        # a name does not delete what wraps most of the page
+        wraps = node.named < PROSE and node.visible > half
+        node.bad |= bool(node.named) and not (wraps and (node.named == STATE or node.holds or node.prose > half))
 
 
 def subtree_hashes(root: Node) -> list[int]:
@@ -237,6 +273,22 @@ def _gather(root: Node, template: frozenset[int]) -> list[str]:
     return blocks
 
 
+def _inner(wrapped: list[Node], deep: bool) -> tuple[list[Node], list[Node]]:
+    """Outermost articles and main elements below wrappers; ``deep``: below left out elements too."""
+    articles, mains, todo = [], [], [p for w in reversed(wrapped) for p in reversed(w.parts)]
+    while todo:
+        node = todo.pop()
+        if not isinstance(node, Node) or (node.bad or node.hidden) and not deep:
+            continue
+        if node.main and not node.bad:
+            mains.append(node)
+        if node.tag == "article" and not node.bad:
+            articles.append(node)
+        else:
+            todo.extend(reversed(node.parts))
+    return articles, mains
+
+
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page: its articles, else its main element, else its body."""
     return _main_text(parse(page), template)
@@ -256,9 +308,11 @@ def _main_text(root: Node, template: frozenset[int]) -> str:
         if node.main:
             mains.append(node)
         todo.extend((p, inside) for p in reversed(node.parts) if isinstance(p, Node))
-    # an article whose wrapper merely has the name of something else
-    lost = [n for w in wrapped if w.tag not in DROPPED for n in _walk(w) if n.tag == "article" and not n.bad]
-    for chosen in (articles, mains[:1], lost[:1], [root]):
+    # articles and main elements whose wrapper merely has the name of something else
+    wrapped = [w for w in wrapped if w.tag not in DROPPED]
+    lost, lost_mains = _inner(wrapped, False)
+    deep, deep_mains = _inner(wrapped, True)
+    for chosen in (articles, mains[:1], lost, lost_mains[:1], deep, deep_mains[:1], [root]):
         blocks = [b for node in chosen for b in _gather(node, template)]
         if blocks:
             return "\n\n".join(blocks)

@@ -85,3 +85,30 @@ def test_copies_of_an_article_are_no_template(spark):
     for i in (*range(12), *range(20, 32), *range(40, 52)):
         assert got[i] == "Flood\n\nThe river rose.\n\nMany left."
     assert all(got[1000 * n + i] == f"text {i}" for n in (1, 2, 3) for i in range(24))  # this still goes
+
+
+BODY = "<p>The river rose in the night.</p><p>Many left.</p>"
+TEXT = "The river rose in the night.\n\nMany left."
+WRAPPERS = [
+    "layout has-sidebar", "page overflow-hidden", "content with-header", "site-content no-sidebar",
+    "post comments-open", "search-results", "header_wrap",
+]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_a_wrapper_with_a_bad_name_keeps_its_text(name):
+    wrap = f'<div class="{name}"><div class="sidebar">news</div>{{}}</div><p>(c) us</p>'
+    assert html_text.main_text(wrap.format(f"<main>{BODY}</main>")) == TEXT
+    assert html_text.main_text(wrap.format(f"<article>{BODY}</article><article><p>two")) == TEXT + "\n\ntwo"
+    assert html_text.main_text(wrap.format(BODY)) == TEXT + "\n\n(c) us"
+
+
+def test_bad_names_of_minor_parts_still_count():
+    long = "<li>menu entry</li>" * 9
+    assert html_text.main_text(f'<ul class="menu">{long}</ul><p>short') == "short"
+    assert html_text.main_text(f'<p>short</p><div id="comments">{BODY}</div>') == "short"
+    assert html_text.main_text(f'<div class="related"><article>{BODY}</article></div><article>own</article>') == "own"
+    # below a wrapper that is a minor part of the page, all articles and the main element are found
+    small = f'<div class="search">{{}}</div><div class="menu">{long * 3}</div>'
+    assert html_text.main_text(small.format("<article>one</article><article>two</article>")) == "one\n\ntwo"
+    assert html_text.main_text(small.format("<main><p>one</main>")) == "one"
