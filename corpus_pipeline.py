@@ -40,24 +40,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id.
 
-    Texts are sets of five-word shingles, linked at a Jaccard index of 0.8 or more. Of rows
-    with the same id the smallest in all columns stays; rows with a null id, and
+    Texts are sets of five-word shingles, linked at a Jaccard index of 0.8 or more. Every row
+    is a document: different texts with the same id are kept apart, and of rows with the
+    same id in a group the smallest in all columns stays. Rows with a null id, and
     documents without words, are in no group and stay.
     """
     docs = docs.select(*COLUMNS)
-    found = jaccard_components(docs, "doc_id", "text", 5, 80).filter("doc_id is not null")
-    first = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min("component_id").alias("first"))
-    first = stored(first.filter("first = doc_id").select("doc_id", "n_rows"), "first")
-    few = first.count() <= MAX_SHIPPED_IDS
-    kept = docs.join(F.broadcast(first) if few else first, "doc_id")
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    several = kept.filter("n_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return (
-        kept.filter("n_rows = 1")
-        .select(*COLUMNS)
-        .unionByName(several.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]))
-        .unionByName(docs.filter("doc_id is null"))
-    )
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        kept = _first_rows(named)
+    else:
+        found = jaccard_components(docs, "doc_id", "text", 5, 80)
+        first = stored(found.filter("component_id = doc_id").select("doc_id"), "first")
+        few = first.count() <= MAX_SHIPPED_IDS
+        kept = docs.join(F.broadcast(first) if few else first, "doc_id").select(*COLUMNS)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def _first_rows(docs: DataFrame) -> DataFrame:
+    """The smallest row of each group, of a table whose ids repeat."""
+    rows = stored(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows, "row_id", "text", 5, 80).select(F.col("doc_id").alias("row_id"), "component_id")
+    row = F.struct(*COLUMNS)
+    first = rows.join(found, "row_id").groupBy("component_id").agg(F.min(row).alias("row"))
+    return first.select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from metaquarry.llm import html_text, licenses
 
 SENTENCES = [
@@ -112,3 +113,15 @@ def test_bad_names_of_minor_parts_still_count():
     small = f'<div class="search">{{}}</div><div class="menu">{long * 3}</div>'
     assert html_text.main_text(small.format("<article>one</article><article>two</article>")) == "one\n\ntwo"
     assert html_text.main_text(small.format("<main><p>one</main>")) == "one"
+
+
+def test_different_texts_of_one_id_stay(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    rows = [(1, text), (1, other), (2, other), (2, text), (3, "quite another text of some seven words"), (3, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], ", ".join(
+        ["doc_id long", "text string", "lang string", "source string", "n_chars long"]
+    ))
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, None)
+    got = sorted((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert got == sorted([(1, text), (1, other), (3, rows[4][1]), (3, "")])
