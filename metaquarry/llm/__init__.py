@@ -1,6 +1,7 @@
 """Operators for training-data corpora, and the queries that run them."""
 
 from metaquarry.llm import (  # noqa: F401
+    bag_search,
     html_text,
     lang_crf,
     licenses,
