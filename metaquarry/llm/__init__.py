@@ -9,7 +9,9 @@ from metaquarry.llm import (  # noqa: F401
     ngram_join,
     packing,
     permutation_index,
+    phrases,
     quality_rules,
+    run_index,
     secrets,
     url_cascade,
 )
