@@ -76,7 +76,7 @@ def _bags(vocabulary, k: int):
                 found.setdefault((terms.tobytes(), tfs.tobytes(), len(words)), []).append(doc)
             rows = []
             for (terms, tfs, n), docs in found.items():
-                ids = sorted(int(d) for d in docs if not pd.isna(d))
+                ids = sorted(int(d) for d in docs if d is not None)
                 row = (np.frombuffer(terms, np.int32), np.frombuffer(tfs, np.int32), n, ids[:k])
                 rows.append((*row, len(docs) - len(ids), len(docs)))
             yield pd.DataFrame(rows, columns=["terms", "tfs", "n", "docs", "nulls", "copies"])
@@ -202,7 +202,9 @@ def search(
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    # as text, since pandas would turn whole numbers beside nulls into floats
+    number = F.col(id_col).cast("long").cast("string")
+    docs = docs.select(number.alias("doc"), F.col(text_col).cast("binary").alias("text"))
     out = spark.createDataFrame([], "item long, doc long, score long, rank int")
     pairs = stored(item_terms(items, item_col, item_text_col), "item-terms")
     for block in blocks(pairs, block_pairs):

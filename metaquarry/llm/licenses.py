@@ -17,23 +17,28 @@ from metaquarry.llm.common import BLANKS, let, lower_ascii, query, table
 #: so a text without them has no known sentence. A new sentence needs its word here.
 GATE = (
     r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|spdx|domain|gpl|gnu|hope|cc0"
-    r"|cc[^a-z0-9]+by|creative|attribution|endorse|reserved"
+    r"|cc[^a-z0-9]+by|creative|attribution|endorse|reserved|eupl|altered|unencumbered"
 )
-#: The narrower gate of the SQL, which misses sentences (see the README).
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|spdx|public domain"
+#: An SPDX tag; the parts of its expression are sentences of their own.
+TAG, OPERATORS = "spdx-license-identifier: ", " (or|and) "
+#: What may stand on an operator's right side; other words are text that goes on.
+OPERAND = r"^ ?([a-z0-9.+-]*[0-9][a-z0-9.+-]*|mit|isc|zlib|unlicense)( with .*)? ?$"
+#: What ends an SPDX identifier, so that none is taken for the start of another.
+_STOP = r"([^a-z0-9.+-]|$)"
 
 #: (identifier, pattern) for normalised sentences; the first that matches names the sentence.
 SENTENCES = (
-    ("SPDX_APACHE2", r"spdx-license-identifier: apache-2\.0"),
-    ("SPDX_MIT", r"spdx-license-identifier: mit"),
-    ("SPDX_BSD3", r"spdx-license-identifier: bsd-3-clause"),
-    ("SPDX_BSD2", r"spdx-license-identifier: bsd-2-clause"),
-    ("SPDX_LGPL", r"spdx-license-identifier: lgpl-[0-9.]+"),
-    ("SPDX_AGPL", r"spdx-license-identifier: agpl-[0-9.]+"),
-    ("SPDX_GPL", r"spdx-license-identifier: gpl-[0-9.]+"),
-    ("SPDX_MPL2", r"spdx-license-identifier: mpl-2\.0"),
-    ("SPDX_OTHER", r"spdx-license-identifier: [a-z0-9.+-]+"),
+    ("SPDX_APACHE2", TAG + r"apache-2\.0" + _STOP),
+    ("SPDX_MIT", TAG + "mit" + _STOP),
+    ("SPDX_BSD3", TAG + "bsd-3-clause" + _STOP),
+    ("SPDX_BSD2", TAG + "bsd-2-clause" + _STOP),
+    ("SPDX_LGPL", TAG + r"lgpl-[0-9.]+(-only|-or-later|\+)?" + _STOP),
+    ("SPDX_AGPL", TAG + r"agpl-[0-9.]+(-only|-or-later|\+)?" + _STOP),
+    ("SPDX_GPL", TAG + r"gpl-[0-9.]+(-only|-or-later|\+)?" + _STOP),
+    ("SPDX_MPL2", TAG + r"mpl-2\.0" + _STOP),
+    ("SPDX_OTHER", TAG + "[a-z0-9.+-]+"),
     ("APACHE2_GRANT", r"licensed under (the )?apache license,? (version )?2(\.0)?\b"),
+    ("APACHE1", r"apache (software )?license,? (version )?1\.[01]\b"),
     ("APACHE2_COMPLY", r"you may not use this (file|work|software) except in compliance with the license"),
     ("APACHE2_COPY", r"you may obtain a copy of the license at"),
     ("APACHE2_ASIS", r"distributed under the license is distributed on an as is basis"),
@@ -44,8 +49,8 @@ SENTENCES = (
     ("LGPL", r"gnu (lesser|library) general public license|\blgpl"),
     ("GPL3_LATER", r"gnu general public license.*version 3.*any later version"),
     ("GPL2_LATER", r"gnu general public license.*version 2.*any later version"),
-    ("GPL3", r"(gnu general public license|\bgpl),? ?(v|version )3"),
-    ("GPL2", r"(gnu general public license|\bgpl),? ?(v|version )2"),
+    ("GPL3", r"(gnu general public license|\bgpl),? ?(v|version )3|\bgpl-?3"),
+    ("GPL2", r"(gnu general public license|\bgpl),? ?(v|version )2|\bgpl-?2"),
     ("GPL_HOPE", r"distributed in the hope that it will be useful"),
     ("GPL_COPY", r"you should have received a copy of the gnu"),
     ("GPL_ANY", r"gnu general public license|\bgnu gpl\b"),
@@ -59,11 +64,19 @@ SENTENCES = (
     ("CC_BY_ND", r"cc[ -]by-nd|attribution-noderiv"),
     ("CC_BY", r"cc[ -]by\b|creative commons attribution"),
     ("MIT_NAMED", r"(licensed|released|distributed|available) under (the )?(terms of the )?(mit|expat) license"),
+    ("MIT_TITLE", r"^ ?(the )?(mit|expat) license( mit)? ?$|\blicense: (mit|expat) ?$"),
     ("MIT_GRANT", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("MIT_NOTICE", r"the above copyright notice and this permission notice shall be included"),
     ("MIT_ASIS", r"the software is provided as is ?,? without warranty"),
     ("MIT_LIABLE", r"in no event shall the authors or copyright holders be liable"),
     ("ISC_GRANT", r"permission to use,? copy,? modify,? and(/or| or)? distribute this software"),
+    ("ISC_NAMED", r"under (the )?(terms of the )?isc license|^ ?(the )?isc license ?$"),
+    ("ZLIB", r"\bzlib license\b|altered source versions must be plainly marked as such"),
+    ("UNLICENSE", r"this is free and unencumbered software released into the public domain|\bthe unlicense\b"),
+    ("BOOST", r"boost software license"),
+    ("OFL", r"sil open font license"),
+    ("ARTISTIC", r"\bartistic license\b"),
+    ("EUPL", r"european union public license|\beupl\b"),
     ("BSD_NAMED", r"under (the )?(terms of the )?(new |simplified |modified )?bsd license"),
     ("BSD_GRANT", r"redistribution and use in source and binary forms"),
     ("BSD_SOURCE", r"redistributions of source code must retain"),
@@ -78,10 +91,19 @@ SENTENCES = (
 RULES = (
     ("Apache-2.0", "APACHE2_GRANT APACHE2_COMPLY? APACHE2_COPY? APACHE2_ASIS? APACHE2_SEE?"),
     ("Apache-2.0", "SPDX_APACHE2"),
-    ("MIT", "MIT_GRANT MIT_NOTICE? MIT_ASIS? MIT_LIABLE?"),
+    ("Apache-1", "APACHE1"),
+    ("MIT", "MIT_TITLE? MIT_GRANT MIT_NOTICE? MIT_ASIS? MIT_LIABLE?"),
+    ("MIT", "MIT_TITLE"),
     ("MIT", "MIT_NAMED"),
     ("MIT", "SPDX_MIT"),
     ("ISC", "ISC_GRANT MIT_ASIS?"),
+    ("ISC", "ISC_NAMED"),
+    ("Zlib", "ZLIB"),
+    ("Unlicense", "UNLICENSE"),
+    ("BSL-1.0", "BOOST"),
+    ("OFL", "OFL"),
+    ("Artistic", "ARTISTIC"),
+    ("EUPL", "EUPL"),
     ("BSD-3-Clause", "BSD_GRANT BSD_SOURCE BSD_BINARY BSD_ENDORSE BSD_ASIS?"),
     ("BSD-2-Clause", "BSD_GRANT BSD_SOURCE BSD_BINARY BSD_ASIS?"),
     ("BSD", "BSD_GRANT"),
@@ -136,8 +158,16 @@ def sentence_ids(text: Column) -> Column:
             named = F.when(s.rlike(pattern), f"<{identifier}>").otherwise(named)
         return named
 
+    def parts(s: Column) -> Column:
+        expression = F.split(F.regexp_replace(s, f"^.*{TAG}| $", ""), OPERATORS)
+        each = F.transform(
+            expression,
+            lambda p, i: F.when((i == 0) | p.rlike(OPERAND), let(F.concat(F.lit(TAG), p), name_of)).otherwise(""),
+        )
+        return F.when(s.contains(TAG), F.array_join(each, "")).otherwise(name_of(s))
+
     def one(s: Column) -> Column:
-        return let(F.regexp_replace(F.regexp_replace(s, "licence", "license"), rf"{BLANKS}+", " "), name_of)
+        return let(F.regexp_replace(F.regexp_replace(s, "licence", "license"), rf"{BLANKS}+", " "), parts)
 
     return F.array_join(F.transform(cut, one), "")
 
@@ -166,8 +196,9 @@ def licenses_of(ids: Column, rules=RULES) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> DataFrame:
     """Identifier sequence and licences of every text.
 
-    Null, empty and unlicensed texts have an empty sequence and no licence. Repeated rows
-    are scanned alike, a null id stays null, and other columns are ignored.
+    Null, empty and unlicensed texts have an empty sequence and no licence; texts of any length
+    are read whole. Repeated rows are scanned alike, a null id stays null, and other columns
+    are ignored, whatever their names. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(
@@ -206,11 +237,18 @@ WITH d AS (
   SELECT r, doc_id, regexp_replace(regexp_replace(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '{_SQL_QUOTES}', ' ', 'g'), '{_END}', chr(1), 'g') AS clean
-  FROM d WHERE regexp_matches(text, '{TRIGGER}')
-), s AS (
+  FROM d
+), whole AS (
   SELECT r, doc_id, unnest(range(len(string_split(clean, chr(1))))) AS pos,
     regexp_replace(replace(unnest(string_split(clean, chr(1))), 'licence', 'license'), '{BLANKS}+', ' ', 'g') AS s
   FROM c
+), s AS (
+  SELECT r, doc_id, [pos, 0] AS pos, s FROM whole WHERE NOT contains(s, '{TAG}')
+  UNION ALL
+  SELECT r, doc_id, [pos, place], '{TAG}' || part
+  FROM (SELECT r, doc_id, pos, unnest(range(len(parts))) AS place, unnest(parts) AS part FROM (SELECT r, doc_id, pos, string_split_regex(regexp_replace(s, '^.*{TAG}| $', '', 'g'), '{OPERATORS}') AS parts
+        FROM whole WHERE contains(s, '{TAG}')))
+  WHERE place = 0 OR regexp_matches(part, '{OPERAND}')
 ), n AS (
   SELECT r, string_agg(CASE {_NAMED} ELSE '' END, '' ORDER BY pos) AS ids FROM s GROUP BY r
 ), start AS (

@@ -385,28 +385,20 @@ def marks(classes: DataFrame, length: int, group_bytes: int, block_bytes: int, s
     return found if deeper is None else found.unionByName(deeper)
 
 
-def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        starts, ends, kept = [], [], []
-        for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            if spans is None:
-                starts.append([])
-                ends.append([])
-                kept.append(text)
-                continue
-            data = np.frombuffer(text, np.uint8)
-            depth = np.zeros(len(data) + 1, np.int64)
-            for s in spans:
-                depth[s["start"]] += 1
-                depth[s["end"]] -= 1
-            gone = np.cumsum(depth)[:-1] > 0
-            lo, hi = _runs_of(gone)
-            starts.append(lo)
-            ends.append(hi)
-            kept.append(data[~gone].tobytes())
-        yield pd.DataFrame(
-            {"doc": pdf["doc"], "n_bytes": [len(t) for t in pdf["text"]], "starts": starts, "ends": ends, "kept": kept}
-        )
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    starts, ends, kept = [], [], []
+    for text, marked in zip(texts, spans, strict=True):
+        data = np.frombuffer(text, np.uint8)
+        depth = np.zeros(len(data) + 1, np.int64)
+        for span in marked if marked is not None else ():
+            depth[span["start"]] += 1
+            depth[span["end"]] -= 1
+        gone = np.cumsum(depth)[:-1] > 0
+        lo, hi = _runs_of(gone)
+        starts.append(lo)
+        ends.append(hi)
+        kept.append(data[~gone].tobytes())
+    return pd.DataFrame({"starts": starts, "ends": ends, "kept": kept})
 
 
 def remove_repeats(
@@ -446,9 +438,9 @@ def remove_repeats(
         (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") - 1 + length).alias("end")
     )
     spans = places.groupBy("key").agg(F.collect_list(span).alias("spans"))
-    kind = dict(docs.dtypes)["doc"]
-    schema = f"doc {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    return docs.join(spans, "key", "left").select("doc", "text", "spans").mapInPandas(_remove, schema)
+    cut = F.pandas_udf(_cut, "starts array<long>, ends array<long>, kept binary")
+    cut = docs.join(spans, "key", "left").select("doc", "text", cut("text", "spans").alias("cut"))
+    return cut.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), "cut.*")
 
 
 SQL = f"""

@@ -57,6 +57,29 @@ def test_licenses(spark):
     assert got[5]["sentence_ids"] == "<MIT_GRANT><MIT_NOTICE><MIT_ASIS>"
 
 
+def test_license_identifiers_end_where_they_end(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT-0": ["Other"],
+        "SPDX-License-Identifier: BSD-3-Clause-Clear": ["Other"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: GPL-2.0-only AND Zlib": ["GPL", "Other"],
+        "SPDX-License-Identifier: LGPL-2.1+": ["LGPL"],
+        "MIT License": ["MIT"],
+        "Licensed under GPL-3.0": ["GPL-3.0"],
+        "License: GPL-3.0-only": ["GPL-3.0"],
+        "Apache License, Version 1.1": ["Apache-1"],
+        "Apache License, Version 2.0": [],  # named, not granted
+        "All rights reserved": ["All-Rights-Reserved"],
+        "Altered source versions must be plainly marked as such": ["Zlib"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "Licensed under the EUPL": ["EUPL"],
+        "a permit": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def brute_base(text):
     spans = []
     patterns = [(re.compile(p, re.A), least) for _, p, least in secrets.BASE]
