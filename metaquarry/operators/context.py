@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metaquarry.operators.filters import column_filter, table_filter, template_filter
 from metaquarry.operators.hybrid import Space, hybrid_search, with_fields
 from metaquarry.operators.topk import fits, maybe_broadcast
+from metaquarry.schemas import QUERY_INSTRUCTION
 from metaquarry.session import cut_lineage
 
 # How many hits each search returns and how many columns are rendered.
@@ -17,6 +18,11 @@ TABLE_HITS, COLUMN_HITS, TEMPLATE_HITS = 5, 10, 3
 CONTEXT_TABLES, CONTEXT_COLUMNS, COLUMNS_PER_TABLE = 4, 12, 8
 
 
+def ask(queries: DataFrame, encode, instruction: str = QUERY_INSTRUCTION) -> DataFrame:
+    """Add ``query_vector``: the question's vector, encoded behind the instruction for questions."""
+    return queries.withColumn("query_vector", encode(F.col("query_text"), instruction=instruction))
+
+
 def search_tables(queries: DataFrame, space: Space, k: int = TABLE_HITS, **filters) -> DataFrame:
     return hybrid_search(queries, space, k, filters=table_filter(**filters))
 

@@ -9,20 +9,30 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metaquarry.functions.text import normalize_json
 from metaquarry.operators.bm25 import Bm25Index, bm25_search
-from metaquarry.operators.filters import build_filter
+from metaquarry.operators.cells import CellIndex, knn_cells
+from metaquarry.operators.filters import build_filter, conditions
 from metaquarry.operators.knn import knn_exact, knn_within
 from metaquarry.operators.topk import SMALL_ROWS, fits, maybe_broadcast, top_k
-from metaquarry.schemas import CANDIDATE_MULT, DENSE_WEIGHT, SPARSE_WEIGHT
+from metaquarry.schemas import CANDIDATE_MULT, DENSE_WEIGHT, SPARSE_WEIGHT, Catalog
 
 # one digit more than 0.3 x a six-digit cosine has, so no score lies on a rounding border
 SCORE_DIGITS = 8
+#: Cells that an approximate search reads for each query.
+PROBES = 16
 
 
 @dataclass(frozen=True)
 class Space:
     """A searchable table: its rows, which columns hold id, text, vector and parent, and
-    optionally a prebuilt text index (carrying the filter and parent columns)."""
+    optionally a prebuilt text index (carrying the filter and parent columns).
+
+    ``vectors`` holds the vectors where they are a table of their own, with the id and the
+    filter and parent columns; text passes then never read or join them. ``cells`` is a saved
+    vector index with the same columns; approximate searches read it instead. ``output`` names
+    the fields a search returns unless others are asked for.
+    """
 
     rows: DataFrame
     id_col: str = "doc_id"
@@ -30,6 +40,19 @@ class Space:
     vector_col: str = "dense_vector"
     parent_col: str | None = None
     index: Bm25Index | None = None
+    vectors: DataFrame | None = None
+    cells: CellIndex | None = None
+    output: tuple[str, ...] = ()
+
+    @staticmethod
+    def of(rows: DataFrame, catalog: Catalog, **parts) -> "Space":
+        """The space of a catalog's rows; a search returns the catalog's output fields."""
+        names = {"id_col": catalog.key, "text_col": catalog.text_col, "vector_col": catalog.vector_col}
+        return Space(rows, **{**names, "output": catalog.output, **parts})
+
+    @property
+    def vector_rows(self) -> DataFrame:
+        return self.rows if self.vectors is None else self.vectors
 
     @property
     def has_text(self) -> bool:
@@ -53,8 +76,11 @@ def normalize_scores(df: DataFrame) -> DataFrame:
     ).withColumn("sparse_norm", F.coalesce(sparse_norm(F.col("sparse")), F.lit(0.0)))
 
 
-def _dense(queries, space: Space, k, filters, allowed) -> DataFrame:
-    rows = space.rows.where(build_filter(filters))
+def _dense(queries, space: Space, k, filters, allowed, probes) -> DataFrame:
+    if probes and space.cells is not None and allowed is None:
+        where = build_filter(filters) if conditions(filters) else None
+        return knn_cells(queries, space.cells, k, probes=probes, where=where)
+    rows = space.vector_rows.where(build_filter(filters))
     if allowed is None:
         return knn_exact(queries, rows, k, id_col=space.id_col, vector_col=space.vector_col)
     keyed = queries.select("query_id", "query_vector").join(
@@ -80,16 +106,21 @@ def hybrid_search(
     allowed: DataFrame | None = None,
     weights: tuple[float, float] = (DENSE_WEIGHT, SPARSE_WEIGHT),
     multiplier: int = CANDIDATE_MULT,
+    exact_dense: bool = True,
+    probes: int = PROBES,
 ) -> DataFrame:
     """Top k per query: query_id, id, cosine, sparse, score, rk.
 
     ``queries`` has query_id, query_text and query_vector. Each branch finds
     ``multiplier * k`` candidates among the filtered rows. ``allowed`` (query_id, parent)
     restricts every query to its own parents. A space without text is searched by vector
-    alone, and its score is the plain cosine.
+    alone, and its score is the plain cosine. With ``exact_dense=False`` the vector branch of
+    a space with ``cells`` looks in the ``probes`` cells nearest to each query only; searches
+    restricted by ``allowed`` stay exact, as they look at few rows anyway.
     """
+    probes = 0 if exact_dense else probes
     if not space.has_text:
-        found = _dense(queries, space, k, filters, allowed)
+        found = _dense(queries, space, k, filters, allowed, probes)
         return found.select(
             "query_id",
             space.id_col,
@@ -99,8 +130,8 @@ def hybrid_search(
             "rk",
         )
     width = max(k * multiplier, k)
-    dense = _dense(queries, space, width, filters, allowed).drop("rk")
-    filter_cols = tuple(n for n, v in (filters or {}).items() if v not in (None, [], ()))
+    dense = _dense(queries, space, width, filters, allowed, probes).drop("rk")
+    filter_cols = tuple(conditions(filters))
     sparse = bm25_search(
         queries,
         space.index or space.rows,
@@ -146,10 +177,29 @@ def summarize_hits(hits: DataFrame, fields: list[str]) -> Column:
     return F.to_json(F.struct(*have, score))
 
 
-def search(queries, space: Space, k: int, filters=None, fields=None, default_fields=()):
-    """Filter, search and project, in rank order per query."""
-    hits = hybrid_search(queries, space, k, filters=filters)
-    return with_fields(hits, space, list(fields or default_fields))
+def with_json(hits: DataFrame, fields: list[str]) -> DataFrame:
+    """Text fields as VARIANT: the value of those that are JSON as a whole, else the text; nulls stay."""
+    texts = [f for f in fields if f in hits.columns and hits.schema[f].dataType.simpleString() == "string"]
+    return hits.withColumns({f: F.when(F.col(f).isNotNull(), normalize_json(F.col(f))) for f in texts})
+
+
+def search(
+    queries: DataFrame,
+    space: Space,
+    k: int,
+    filters: dict[str, Any] | None = None,
+    fields: list[str] | None = None,
+    *,
+    json: bool = False,
+    **options,
+) -> DataFrame:
+    """Filter, search and project: query_id, the fields, cosine, sparse, score, rk.
+
+    ``fields`` defaults to the space's output fields. With ``json`` text fields are VARIANTs.
+    """
+    names = list(fields or space.output)
+    hits = with_fields(hybrid_search(queries, space, k, filters=filters, **options), space, names)
+    return with_json(hits, [f for f in names if f != space.id_col]) if json else hits
 
 
 def without_text(space: Space) -> Space:

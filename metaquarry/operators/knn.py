@@ -10,6 +10,8 @@ per query, never all pairs. Which side travels is decided by measured size:
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -225,22 +227,70 @@ def knn_within(
     return q_side.groupBy("_pack").cogroup(v_side.groupBy("_pack")).applyInPandas(meet, schema)
 
 
-def hyperplane_keys(vector_col, dim: int, tables: int, bits: int, seed: int = 7):
-    """LSH keys of a vector, one per table: which side of ``bits`` random hyperplanes it is on."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    powers = 1 << np.arange(bits)
+#: Vectors are multiplied by this and rounded to whole numbers before they are hashed.
+GRID = 1 << 20
+
+
+def hyperplanes(dim: int, n: int) -> np.ndarray:
+    """``n`` hyperplanes with whole coefficients, made of md5 digits so any engine can make them."""
+    digits = [[hashlib.md5(f"{p}:{d}".encode()).hexdigest()[:4] for d in range(dim)] for p in range(n)]
+    return np.array([[int(x, 16) - 32_768 for x in row] for row in digits], np.float64)
+
+
+def _sides(column, planes: np.ndarray) -> np.ndarray:
+    """Products with all planes; whole numbers, so exact in any order."""
+    rows = np.stack([np.asarray(v, np.float64) for v in column])
+    return np.floor(rows * GRID + 0.5) @ planes.T
+
+
+def bucket_keys(column, planes: np.ndarray, tables: int) -> np.ndarray:
+    """(rows, tables): which side of its table's planes a vector is on, as a number."""
+    bits = len(planes) // tables
+    sides = _sides(column, planes).reshape(-1, tables, bits) > 0
+    return sides @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(vectors: pd.Series) -> pd.Series:
-        known = vectors[vectors.notna()]
-        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
-        if len(known):
-            sides = (np.stack(known.to_numpy()).astype(np.float64) @ planes) > 0
-            codes = sides.reshape(len(known), tables, bits) @ powers
-            out[known.index] = pd.Series(list(codes + (np.arange(tables) << bits)), index=known.index)
-        return out
 
-    return keys(vector_col)
+def probe_keys(column, planes: np.ndarray, tables: int, probes: int) -> np.ndarray:
+    """(rows, tables, 1 + probes): the own bucket, then those across the nearest planes."""
+    bits = len(planes) // tables
+    products = _sides(column, planes)
+    far = (np.abs(products) / np.sqrt((planes * planes).sum(axis=1))).reshape(-1, tables, bits)
+    own = (products.reshape(-1, tables, bits) > 0) @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+    near = np.argsort(far, axis=2, kind="stable")[:, :, :probes]
+    return np.concatenate((own[:, :, None], own[:, :, None] ^ (1 << near)), axis=2)
+
+
+def _scan_buckets(vs, head, k, query_id, id_col, schema, exclude_same, planes, tables, probes) -> DataFrame:
+    """Vectors meet the queries of their buckets where they are read."""
+    q_ids, q_unit = _ids(head.iloc[:, 0]), _unit(head.iloc[:, 1])
+    bits = len(planes) // tables
+    asked = np.zeros((tables << bits, len(q_ids)), bool)
+    for q, keys in enumerate(probe_keys(head.iloc[:, 1], planes, tables, probes)):
+        asked[keys.ravel(), q] = True
+    shipped = vs.sparkSession.sparkContext.broadcast((q_ids, q_unit, planes, np.packbits(asked, axis=1)))
+
+    def scan(batches):
+        q_ids, q_unit, planes, asked = shipped.value
+        best = RunningTopK(len(q_ids), k)
+        step = max(1, STEP_CELLS // len(q_ids))
+        for pdf in map(_known, batches):
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                keys = bucket_keys(part.iloc[:, 1], planes, tables)
+                met = np.bitwise_or.reduce(asked[keys], axis=1)  # of all tables
+                met = np.unpackbits(met, axis=1, count=len(q_ids)).astype(bool).T
+                found, unit = _ids(part.iloc[:, 0]), _unit(part.iloc[:, 1])
+                if exclude_same:
+                    met &= q_ids[:, None] != found[None, :]
+                q, v = np.nonzero(met)
+                scores = np.full(met.shape, -np.inf)
+                scores[q, v] = np.round(np.einsum("ij,ij->i", q_unit[q], unit[v]), DENSE_DIGITS)
+                best.add(scores, found)
+        out = best.frame(q_ids, query_id, id_col, "cosine")
+        if out is not None:
+            yield out
+
+    return vs.mapInPandas(scan, schema)
 
 
 def knn_approx(
@@ -249,28 +299,52 @@ def knn_approx(
     k: int,
     *,
     dim: int,
-    tables: int = 12,
-    bits: int = 6,
+    tables: int = 6,
+    bits: int = 7,
+    probes: int = 3,
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     id_col: str = "doc_id",
     vector_col: str = "dense_vector",
     exclude_same: bool = False,
     block_rows: int = BLOCK_ROWS,
+    ship: bool = True,
 ) -> DataFrame:
-    """Neighbours among vectors that share an LSH bucket with the query, ranked exactly.
+    """Neighbours among vectors that share a bucket with the query, ranked exactly.
+
+    Every vector has one bucket per table: the sides of ``bits`` hyperplanes it is on. A query
+    looks in its own bucket and, in the order of their distance, in those across the
+    ``probes`` nearest planes. More tables and probes find more of the true neighbours; more
+    bits make buckets smaller.
 
-    More ``tables`` find more of the true neighbours; more ``bits`` make buckets smaller.
+    Few queries are shipped, and nothing but the best rows is shuffled. Otherwise ids and
+    vectors are dealt to buckets, in blocks of bounded size.
     """
+    planes = hyperplanes(dim, tables * bits)
+    schema = _result_schema(queries, query_id, vectors, id_col)
+    qs, vs = queries.select(query_id, query_vector), vectors.select(id_col, vector_col)
+    head = _shippable(qs) if ship else None
+    if head is not None and len(head) * k <= SHIP_RESULTS:
+        if head.empty:
+            return queries.sparkSession.createDataFrame([], schema).withColumn("rk", F.lit(1))
+        partial = _scan_buckets(vs, head, k, query_id, id_col, schema, exclude_same, planes, tables, probes)
+        return top_k(partial, query_id, "cosine", k, id_col)
+
+    def keyed(df, vector, keys_of):
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def keys(column: pd.Series) -> pd.Series:
+            known = column[column.notna()]
+            out = pd.Series([None] * len(column), index=column.index, dtype=object)
+            if len(known):
+                out[known.index] = pd.Series(list(keys_of(known).reshape(len(known), -1)), index=known.index)
+            return out
 
-    def keyed(df, ident, vector):
         # explode_outer: for explode Spark would first filter on the keys, computing them twice
-        rows = df.select(ident, vector)
-        return rows.withColumn("_key", F.explode_outer(hyperplane_keys(vector, dim, tables, bits)))
+        return df.withColumn("_key", F.explode_outer(keys(F.col(vector))))
 
     partial = knn_within(
-        keyed(queries, query_id, query_vector),
-        keyed(vectors, id_col, vector_col),
+        keyed(qs, query_vector, lambda c: probe_keys(c, planes, tables, probes)),
+        keyed(vs, vector_col, lambda c: bucket_keys(c, planes, tables)),
         k,
         "_key",
         query_id=query_id,

@@ -1,7 +1,7 @@
 """Conversation memory: history windows, summaries, checkpoints, turn responses.
 
 A thread may hold a large share of all messages, so no window runs over a whole thread:
-messages are numbered within time buckets plus the sizes of earlier buckets, and framed
+messages are numbered within sampled ranges plus the sizes of earlier ranges, and framed
 windows run over chunks of consecutive messages that overlap by the frame length.
 """
 
@@ -21,6 +21,7 @@ from metaquarry.schemas import (
     SUMMARY_TRIGGER,
     SUMMARY_WINDOW,
 )
+from metaquarry.session import cut_lineage
 
 CHUNK_ROWS = 4096
 BUCKET_ROWS = 2_000_000
@@ -54,37 +55,61 @@ def even_buckets(log: DataFrame, order: Column, rows_per_bucket: int = BUCKET_RO
     return F.floor((order - F.lit(low)) / F.lit(width))
 
 
-def positions(log: DataFrame, thread: str, order: list[str], bucket: Column) -> DataFrame:
-    """Add ``pos``, 0 for a thread's first message.
+def in_ranges(log: DataFrame, thread: str, order: list[str]) -> DataFrame:
+    """The log in sampled ranges of (thread, order), stored; adds ``_part`` and ``_row``.
 
-    ``bucket`` (see ``even_buckets``) must not decrease along the order: rows are numbered
-    within (thread, bucket) and only the bucket sizes are summed along the thread.
+    Ranges hold about the same number of rows whatever the threads' sizes and however close
+    their messages lie in time, so a thread with most of the rows spans most of the ranges.
+    ``_part`` does not decrease along a thread, and ``_row`` numbers the rows of a range. The
+    order must tell a thread's rows apart: rows equal in it stay in one range.
     """
-    rows = log.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(thread, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(thread).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(thread, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(thread, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_i", F.row_number().over(within)).join(offsets, [thread, "_bucket"])
-    return numbered.withColumn("pos", F.col("_off") + F.col("_i") - 1).drop("_off", "_i", "_bucket")
-
-
-def previous_value(log: DataFrame, thread: str, order: str, value: str, bucket: Column, name: str):
-    """Add the value of the thread's preceding row, as ``lag`` would, bucket by bucket."""
-    rows = log.withColumn("_bucket", bucket)
-    last = rows.groupBy(thread, "_bucket").agg(F.max_by(value, order).alias("_last"))
-    by_bucket = Window.partitionBy(thread).orderBy("_bucket")
-    carried = last.select(thread, "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
-    within = Window.partitionBy(thread, "_bucket").orderBy(order)
-    inside = F.lag(value).over(within)
-    first = F.row_number().over(within) == 1
-    return (
-        rows.withColumn("_inside", inside)
-        .withColumn("_first", first)
-        .join(carried, [thread, "_bucket"])
-        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside")))
-        .drop("_inside", "_first", "_carried", "_bucket")
+    ranged = log.repartitionByRange(thread, *order).sortWithinPartitions(thread, *order)
+    number = F.monotonically_increasing_id()  # the range above 33 bits, the row in it below
+    return cut_lineage(ranged.withColumn("_id", number)).select(
+        "*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")
+    ).drop("_id")
+
+
+def _in_parts(log: DataFrame, thread: str, order: list[str], bucket: Column | None) -> DataFrame:
+    if bucket is None:
+        return in_ranges(log, thread, order)
+    within = Window.partitionBy(thread, "_part").orderBy(*order)
+    return log.withColumn("_part", bucket).withColumn("_row", F.row_number().over(within))
+
+
+def positions(log: DataFrame, thread: str, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Add ``pos``, 0 for a thread's first message; a null thread is a thread.
+
+    Rows are numbered within ranges (``in_ranges``), or within buckets that must not decrease
+    along the order, such as stored days; only the sizes of (thread, range) are summed along
+    the thread.
+    """
+    rows = _in_parts(log, thread, order, bucket)
+    sizes = rows.groupBy(thread, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(thread).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    offsets = sizes.select(F.col(thread).alias("_thread"), F.col("_part").alias("_own"), offset.alias("_off"))
+    same = rows[thread].eqNullSafe(F.col("_thread")) & (rows["_part"] == F.col("_own"))
+    numbered = rows.join(offsets, same).withColumn("pos", F.col("_row") + F.col("_off"))
+    return numbered.drop("_part", "_row", "_thread", "_own", "_off")
+
+
+def previous_value(
+    log: DataFrame, thread: str, order: str, value: str, bucket: Column | None = None, name: str = "previous"
+) -> DataFrame:
+    """Add the value of the thread's preceding row, as ``lag`` would, range by range."""
+    rows = _in_parts(log, thread, [order], bucket)
+    last = rows.groupBy(thread, "_part").agg(F.max_by(value, "_row").alias("_last"))
+    by_part = Window.partitionBy(thread).orderBy("_part")
+    carried = last.select(
+        F.col(thread).alias("_thread"), F.col("_part").alias("_own"), F.lag("_last").over(by_part).alias("_carried")
     )
+    within = Window.partitionBy(thread, "_part").orderBy("_row")
+    inside = rows.withColumns({"_inside": F.lag(value).over(within), "_at": F.row_number().over(within)})
+    same = inside[thread].eqNullSafe(F.col("_thread")) & (inside["_part"] == F.col("_own"))
+    joined = inside.join(carried, same)
+    found = joined.withColumn(name, F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_inside")))
+    return found.drop("_part", "_row", "_thread", "_own", "_carried", "_inside", "_at")
 
 
 def framed(
@@ -259,6 +284,45 @@ def checkpoint_parent(history: DataFrame) -> DataFrame:
     return history.join(parent, ["thread_id", "parent_id"], "left")
 
 
+def checkpoint_path(history: DataFrame, starts: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The checkpoints from each start back to its root: thread_id, start_id, depth,
+    checkpoint_id, parent_id, ts, state.
+
+    ``starts`` is (thread_id, checkpoint_id). Branches share their trunk, and each start lists
+    it. Parent links are followed by pointer doubling: after r rounds every pointer is 2^r
+    links long, so rounds grow with the logarithm of the longest path. A parent that is not
+    stored ends the path. Links that form a cycle are followed once round. A rewritten id
+    counts once, with its latest row. ``as_of`` leaves out what has expired by then.
+    """
+    rows = history if as_of is None else _living(history, as_of)
+    newest = F.max(F.struct("ts", "parent_id", "state")).alias("_c")
+    last = rows.groupBy("thread_id", "checkpoint_id").agg(newest)
+    last = cut_lineage(last.select("thread_id", "checkpoint_id", "_c.parent_id", "_c.ts", "_c.state"))
+    known = last.select("thread_id", F.col("checkpoint_id").alias("parent_id"))
+    hop = last.join(known, ["thread_id", "parent_id"], "left_semi")
+    hop = hop.select("thread_id", F.col("checkpoint_id").alias("at"), F.col("parent_id").alias("to"))
+    walked = starts.join(last, ["thread_id", "checkpoint_id"], "left_semi").distinct()
+    walked = walked.select("thread_id", F.col("checkpoint_id").alias("start_id"), "checkpoint_id")
+    walked = cut_lineage(walked.withColumn("depth", F.lit(0).cast("long")))
+    span = 1
+    while True:
+        hop = cut_lineage(hop)
+        step = hop.select("thread_id", F.col("at").alias("checkpoint_id"), "to")
+        ahead = walked.join(step, ["thread_id", "checkpoint_id"]).select(
+            "thread_id", "start_id", F.col("to").alias("checkpoint_id"), (F.col("depth") + span).alias("depth")
+        )
+        # of a cycle's repetitions the first one counts
+        both = walked.unionByName(ahead).groupBy("thread_id", "start_id", "checkpoint_id").agg(F.min("depth").alias("depth"))
+        both, before = cut_lineage(both), walked.count()
+        walked = both
+        if both.count() == before:
+            break
+        far = hop.select("thread_id", F.col("at").alias("to"), F.col("to").alias("_to"))
+        hop = hop.join(far, ["thread_id", "to"]).select("thread_id", "at", F.col("_to").alias("to"))
+        span *= 2
+    return walked.join(last, ["thread_id", "checkpoint_id"])
+
+
 def assign_thread(requests: DataFrame, thread: str = "thread_id") -> DataFrame:
     """Give requests without a thread a new one. The ids are random: store the result
     (``cut_lineage``) before using it more than once."""

@@ -18,7 +18,7 @@ from metaquarry.plans.catalog_data import (
     template_catalog,
 )
 from metaquarry.plans.registry import query
-from metaquarry.schemas import COLUMNS, TABLES
+from metaquarry.schemas import COLUMNS, TABLES, conformance
 from metaquarry.sources.metadata import catalog_counts
 from metaquarry.session import new_run_dir
 from metaquarry.sources.records import lookup, publish, read_records, resolve, upsert, write_records
@@ -171,6 +171,28 @@ def a8(t):
 DOC_FIELDS = {"text": "search_text", "source": "business_domain"}
 
 
+def _conformance_sql() -> str:
+    kinds = {"doc_id": "doc_id", "search_text": "text", "business_domain": "source"}
+    rows = []
+    for at, f in enumerate(TABLES.fields):
+        own = kinds.get(f.name)
+        limit = "NULL" if f.limit is None else f.limit
+        text = own is not None and f.name != "doc_id"
+        rows.append(
+            f"SELECT '{f.name}' AS field, {at + 1}::BIGINT AS position, {own is not None} AS is_there, {text} AS kind_fits, "
+            f"{f'count(*) FILTER ({own} IS NULL)' if own else 'NULL'}::BIGINT AS n_null, {limit}::BIGINT AS limit_chars, "
+            f"{f'max(length({own}))' if text else 'NULL'}::BIGINT AS longest, "
+            f"{f'count(*) FILTER (length({own}) > {limit})' if text else 'NULL'}::BIGINT AS n_over{' FROM documents' if own else ''}"
+        )
+    return " UNION ALL ".join(rows)
+
+
+@query("b1_catalog_schema", _conformance_sql())
+def b1(t):
+    """Each field of the table catalog: do the documents have it, of its type and within its limit?"""
+    return conformance(t.documents.withColumnsRenamed(DOC_FIELDS), TABLES)
+
+
 @query(
     "b2_required_fields",
     f"""SELECT '{TABLES.name}' AS collection, count(*) AS n_rows,

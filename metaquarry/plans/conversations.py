@@ -14,12 +14,6 @@ from metaquarry.plans.tasks import LOG, MISSING, NEEDS, REQUIRED, _missing
 from metaquarry.operators.parsing import parse_route
 
 
-def buckets(rows):
-    """Time buckets of the events."""
-    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), F.col("ts"))
-    return mm.even_buckets(rows, seconds)
-
-
 AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"
 
 
@@ -62,7 +56,7 @@ def j2_default(t):
 
 def _event_log(t):
     rows = t.events.select("user_id", "event_id", "ts", "event_type")
-    return mm.positions(rows, "user_id", ["ts", "event_id"], buckets(rows))
+    return mm.positions(rows, "user_id", ["ts", "event_id"])
 
 
 @query(
@@ -120,7 +114,7 @@ def checkpoints(t):
         F.col("ts"),
         F.col("event_type").alias("state"),
     )
-    return mm.previous_value(rows, "thread_id", "checkpoint_id", "checkpoint_id", buckets(rows), "parent_id")
+    return mm.previous_value(rows, "thread_id", "checkpoint_id", "checkpoint_id", name="parent_id")
 
 
 CHECKPOINTS = """
@@ -220,6 +214,32 @@ def j8(t):
     return rows.select("thread_id", "checkpoint_id", "parent_id", "parent_state")
 
 
+@query(
+    "j8_checkpoint_path",
+    """WITH RECURSIVE numbered AS (SELECT user_id AS thread_id, event_id AS checkpoint_id, event_type AS state,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+      linked AS (SELECT a.*, b.checkpoint_id AS parent_id FROM numbered a LEFT JOIN numbered b
+        ON a.thread_id = b.thread_id AND b.pos = CASE WHEN a.pos % 7 = 3 THEN a.pos - 3 ELSE a.pos - 1 END),
+      path AS (SELECT thread_id, checkpoint_id AS start_id, 0::BIGINT AS depth, checkpoint_id, parent_id, state FROM linked
+        WHERE pos % 50 >= 48
+        UNION ALL SELECT p.thread_id, p.start_id, p.depth + 1, l.checkpoint_id, l.parent_id, l.state
+        FROM path p JOIN linked l ON p.thread_id = l.thread_id AND p.parent_id = l.checkpoint_id)
+      SELECT * FROM path""",
+)
+def j8_path(t):
+    """From some checkpoints of every thread back to its root; a seventh of them branch off."""
+    rows = _event_log(t)
+    made = rows.select(
+        F.col("user_id").alias("thread_id"), F.col("event_id").alias("checkpoint_id"), "pos", "ts", F.col("event_type").alias("state")
+    )
+    before = F.when(F.col("pos") % 7 == 3, F.col("pos") - 3).otherwise(F.col("pos") - 1)
+    parents = made.select("thread_id", F.col("pos").alias("_before"), F.col("checkpoint_id").alias("parent_id"))
+    made = made.withColumn("_before", before).join(parents, ["thread_id", "_before"], "left").drop("_before")
+    starts = made.where("pos % 50 >= 48").select("thread_id", "checkpoint_id")
+    path = mm.checkpoint_path(mm.put_checkpoint(None, made.drop("pos")), starts)
+    return path.select("thread_id", "start_id", "depth", "checkpoint_id", "parent_id", "state")
+
+
 @query(
     "j9_assign_thread",
     """SELECT conv_id, turn, role = 'system' AS is_new, CASE WHEN role = 'system' THEN 36 ELSE length('c' || conv_id) END AS id_length

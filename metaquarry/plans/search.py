@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ from metaquarry.operators.bm25 import (
     query_terms,
     tokenize,
 )
+from metaquarry.operators.cells import CellIndex, knn_cells
 from metaquarry.operators.filters import column_filter, table_filter, template_filter
 from metaquarry.operators.hybrid import (
     Space,
     hybrid_search,
     normalize_hit,
     normalize_scores,
+    search,
     summarize_hits,
     with_fields,
     without_text,
@@ -33,6 +36,7 @@ from metaquarry.operators.topk import fits, top_k
 from metaquarry.plans import sqlparts as sp
 from metaquarry.plans.catalog_data import column_catalog, table_catalog, template_catalog
 from metaquarry.plans.registry import query
+from metaquarry.schemas import QUERY_INSTRUCTION, TABLES
 from metaquarry.session import new_run_dir, spread
 
 DIM = 64
@@ -63,7 +67,19 @@ def vectors(t):
 def document_space(t):
     """Document i with vector i; documents without a vector are found by their text."""
     docs = t.documents.select("doc_id", F.col("text").alias("search_text"), "lang", "source")
-    return Space(docs.join(vectors(t), "doc_id", "left"))
+    own = t.documents.select("doc_id", "lang", "source")
+    return Space(docs, vectors=own.join(vectors(t), "doc_id"))
+
+
+CELLS, CELL_PROBES = 64, 40
+
+
+def cell_space(t):
+    """The same with its vectors saved by cell."""
+    space = document_space(t)
+    path = new_run_dir(t.spark, "cells")
+    CellIndex.save(space.vectors, path, cells=CELLS)
+    return replace(space, cells=CellIndex.load(space.vectors, path))
 
 
 def child_space(t):
@@ -86,10 +102,8 @@ def questions(t):
     """One question per kind of part, worded with its name and type."""
     kinds = t.part.select("p_name", "p_type").distinct()
     text = F.concat(F.lit("facts about "), "p_name", F.lit(" "), "p_type")
-    return kinds.select(
-        F.concat_ws("/", "p_name", "p_type").alias("query_id"),
-        text.alias("query_text"),
-        embed(text).alias("query_vector"),
+    return cx.ask(
+        kinds.select(F.concat_ws("/", "p_name", "p_type").alias("query_id"), text.alias("query_text")), embed
     )
 
 
@@ -200,16 +214,51 @@ def e04(t):
     return knn_exact(vector_queries(t), vectors(t), 5, exclude_same=True)
 
 
-@query("e05_knn_approx")
+LSH = {"tables": 16, "bits": 6, "probes": 2}
+# every vector's bucket in every table, and the buckets each query looks in
+BUCKETS = f"""
+planes AS (SELECT p, list((('0x' || substr(md5(p || ':' || d), 1, 4))::BIGINT - 32768)::DOUBLE ORDER BY d) AS a
+  FROM (SELECT unnest(range({LSH["tables"] * LSH["bits"]})) AS p), (SELECT unnest(range({DIM})) AS d) GROUP BY p),
+grid AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 1048576 + 0.5)) AS g FROM embeddings),
+sides AS (SELECT vec_id, p // {LSH["bits"]} AS tab, p % {LSH["bits"]} AS bit, list_dot_product(g, a) AS side,
+    abs(list_dot_product(g, a)) / sqrt(list_dot_product(a, a)) AS far FROM grid, planes),
+own AS (SELECT vec_id, tab, sum(CASE WHEN side > 0 THEN 1 << bit ELSE 0 END)::BIGINT AS bucket FROM sides GROUP BY 1, 2),
+probe AS (SELECT * FROM own UNION ALL
+  SELECT vec_id, tab, xor(bucket, (1 << bit)::BIGINT) FROM
+    (SELECT *, row_number() OVER (PARTITION BY vec_id, tab ORDER BY far, bit) AS n FROM sides)
+    JOIN own USING (vec_id, tab) WHERE n <= {LSH["probes"]}),
+met AS (SELECT DISTINCT p.vec_id AS query_id, o.vec_id AS doc_id FROM probe p JOIN own o USING (tab, bucket)
+  WHERE p.vec_id IN (SELECT item_id FROM benchmark))"""
+
+
+@query(
+    "e05_knn_approx",
+    sp.with_(
+        BUCKETS,
+        sp.dense("", Q_VEC, V_ALL, "query_id <> doc_id AND (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM met)"),
+        sp.ranked("hits", "cos", "cosine", 5),
+        select="SELECT query_id, doc_id, cosine, rk FROM hits",
+    ),
+)
 def e05(t):
-    return knn_approx(vector_queries(t), vectors(t), 5, dim=DIM, exclude_same=True)
+    return knn_approx(vector_queries(t), vectors(t), 5, dim=DIM, exclude_same=True, **LSH)
 
 
-@query("e05_knn_recall")
+@query(
+    "e05_knn_recall",
+    sp.with_(
+        BUCKETS,
+        sp.dense("", Q_VEC, V_ALL, "query_id <> doc_id"),
+        sp.ranked("hits", "cos", "cosine", 5),
+        select="""SELECT query_id, round(count(*) FILTER ((query_id, doc_id) IN (SELECT (query_id, doc_id) FROM met))
+          / count(*), 4) AS recall FROM hits GROUP BY 1""",
+    ),
+)
 def e05_recall(t):
     qs, vs = vector_queries(t), vectors(t)
     truth = knn_exact(qs, vs, 5, exclude_same=True)
-    return recall(knn_approx(qs, vs, 5, dim=DIM, exclude_same=True), truth, "query_id", "doc_id")
+    found = knn_approx(qs, vs, 5, dim=DIM, exclude_same=True, **LSH)
+    return recall(found, truth, "query_id", "doc_id")
 
 
 @query(
@@ -258,6 +307,78 @@ def e07(t):
     return hybrid_search(vector_queries(t), document_space(t), 5)
 
 
+CENTRES = f"""
+cgrid AS (SELECT vec_id AS doc_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 1048576 + 0.5)) AS g
+  FROM embeddings JOIN documents ON doc_id = vec_id),
+csample AS (SELECT g, n FROM (SELECT g, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM cgrid)
+  WHERE n < 20000),
+centre0 AS (SELECT n AS cell, g AS c FROM csample WHERE n < {CELLS})"""
+NEAR = "list_dot_product(g, c) / coalesce(nullif(sqrt(list_dot_product(c, c)), 0), 'inf'::DOUBLE)"
+
+
+def _moved(i: int) -> str:
+    """Centres after one more round."""
+    return f"""
+own{i} AS (SELECT n, g, cell FROM csample, centre{i - 1}
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY {NEAR} DESC, cell) = 1),
+centre{i} AS (
+  SELECT cell, list(floor(total / m) ORDER BY i) AS c FROM (
+    SELECT cell, i, sum(x) AS total, count(*) AS m FROM
+      (SELECT cell, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM own{i}) GROUP BY 1, 2) GROUP BY 1
+  UNION ALL SELECT cell, c FROM centre{i - 1} WHERE cell NOT IN (SELECT cell FROM own{i}))"""
+
+
+CELL_HITS = f"""
+cells AS (SELECT doc_id, cell FROM cgrid, centre2
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {NEAR} DESC, cell) = 1),
+asked AS (SELECT item_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 1048576 + 0.5)) AS g
+  FROM benchmark JOIN embeddings ON item_id = vec_id),
+looked AS (SELECT query_id, cell FROM asked, centre2
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {NEAR} DESC, cell) <= {CELL_PROBES}),
+met AS (SELECT query_id, doc_id FROM looked JOIN cells USING (cell))"""
+D_VEC = "SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id"
+
+
+@query(
+    "e07_hybrid_approx",
+    sp.with_(
+        CENTRES,
+        _moved(1),
+        _moved(2),
+        CELL_HITS,
+        sp.counted("", D_BOTH, "lang, source"),
+        sp.bm25("", Q_BOTH),
+        sp.dense("", Q_VEC, D_VEC, "(query_id, doc_id) IN (SELECT (query_id, doc_id) FROM met)"),
+        sp.fused("", 5),
+        select="SELECT query_id, doc_id, cosine, sparse, score, rk FROM hits",
+    ),
+)
+def e07_approx(t):
+    """Hybrid search whose vector branch reads the nearest cells only."""
+    return hybrid_search(vector_queries(t), cell_space(t), 5, exact_dense=False, probes=CELL_PROBES)
+
+
+@query(
+    "e07_cell_recall",
+    sp.with_(
+        CENTRES,
+        _moved(1),
+        _moved(2),
+        CELL_HITS,
+        sp.dense("", Q_VEC, D_VEC),
+        sp.ranked("hits", "cos", "cosine", 25),
+        select="""SELECT query_id, round(count(*) FILTER ((query_id, doc_id) IN (SELECT (query_id, doc_id) FROM met))
+          / count(*), 4) AS recall FROM hits GROUP BY 1""",
+    ),
+)
+def e07_recall(t):
+    """Share of the 25 nearest documents, the candidates of a hybrid search, that the cells give."""
+    qs, space = vector_queries(t), cell_space(t)
+    truth = knn_exact(qs, space.vectors, 25)
+    found = knn_cells(qs, space.cells, 25, probes=CELL_PROBES)
+    return recall(found, truth, "query_id", "doc_id")
+
+
 @query(
     "e07_hybrid_filtered",
     sp.with_(
@@ -345,12 +466,22 @@ Q_KINDS = """SELECT DISTINCT p_name || '/' || p_type AS query_id,
   'facts about ' || p_name || ' ' || p_type AS txt FROM part"""
 
 
+TEMPLATE_DOCS = """SELECT 'template::' || p_partkey AS doc_id,
+  p_name || ' load ' || p_brand || chr(10) || p_type || chr(10) || 'moves ' || p_name || ' ' || p_type
+  || ' rows' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '["source_table", "target_table"]'
+     ELSE '["source_table", "target_table", "schedule"]' END
+  || chr(10) || '["MYSQL"]' || chr(10) || CASE WHEN p_size % 3 = 0 THEN '["HIVE"]' ELSE '["DORIS"]' END AS txt,
+  p_size % 7 <> 0 AS live FROM part"""
+#: The texts that questions are encoded as.
+Q_ENCODED = f"SELECT query_id, '{QUERY_INSTRUCTION}' || txt AS txt FROM ({Q_KINDS})"
+
+
 def _catalog_sql(docs: str, ctes: tuple[str, ...], where: str, carried: str, k: int, only: str) -> str:
     return sp.with_(
         *ctes,
         sp.counted("", docs, carried),
         sp.bm25("", Q_KINDS, where),
-        sp.hashed("q", Q_KINDS, DIM, "query_id"),
+        sp.hashed("q", Q_ENCODED, DIM, "query_id"),
         sp.hashed("d", f"SELECT doc_id, txt FROM docs WHERE {where}", DIM),
         sp.dense("", "SELECT query_id, v AS qv FROM qemb", "SELECT doc_id, v FROM demb"),
         sp.fused("", k),
@@ -396,12 +527,7 @@ def e11(t):
 @query(
     "e12_search_templates",
     _catalog_sql(
-        """SELECT 'template::' || p_partkey AS doc_id,
-          p_name || ' load ' || p_brand || chr(10) || p_type || chr(10) || 'moves ' || p_name || ' ' || p_type
-          || ' rows' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '["source_table", "target_table"]'
-             ELSE '["source_table", "target_table", "schedule"]' END
-          || chr(10) || '["MYSQL"]' || chr(10) || CASE WHEN p_size % 3 = 0 THEN '["HIVE"]' ELSE '["DORIS"]' END AS txt,
-          p_size % 7 <> 0 AS live FROM part""",
+        TEMPLATE_DOCS,
         (),
         "live",
         "live",
@@ -427,8 +553,6 @@ def e12(t):
     ),
 )
 def d6(t):
-    from metaquarry.operators.hybrid import search
-
     hits = search(
         questions(t),
         Space(table_catalog(t, embed)),
@@ -439,6 +563,34 @@ def d6(t):
     return hits.select("query_id", "doc_id", "table_name", "table_desc", "rk")
 
 
+@query(
+    "d6_search_default",
+    _catalog_sql(
+        "SELECT doc_id, search_text AS txt, business_domain FROM table_catalog",
+        (sp.RAW_TABLES, sp.TABLE_CATALOG),
+        "business_domain IN ('museums', 'ferries')",
+        "business_domain",
+        2,
+        """SELECT query_id, rk, doc_id, '"' || data_source || '"' AS datasource_id,
+            '"' || schema_of || '"' AS database_name, '"' || schema_of || '"' AS schema_name,
+            '"' || table_name || '"' AS table_name, '"' || full_table_name || '"' AS full_table_name,
+            CASE WHEN is_fact_table THEN '"FACT"' ELSE '"DIM"' END AS table_type, '"ANSI"' AS dialect,
+            '"' || table_name || '"' AS business_name, '["' || table_name || '"]' AS aliases,
+            '"' || business_domain || '"' AS business_domain, '"' || table_comment || '"' AS grain_desc,
+            '"' || table_comment || '"' AS table_desc, '[]' AS primary_keys, '[]' AS partition_keys,
+            '[]' AS time_columns, '[]' AS join_hints, '"INTERNAL"' AS security_level, table_no AS payload_no
+          FROM hits JOIN table_catalog USING (doc_id)""",
+    ),
+)
+def d6_default(t):
+    """The fields a table search returns of itself, texts that are JSON as values."""
+    wanted = {"status": "ACTIVE", "business_domain": ["museums", "ferries"]}
+    hits = search(questions(t), Space.of(table_catalog(t, embed), TABLES), 2, wanted, json=True)
+    plain = {f: F.to_json(F.col(f)) for f in TABLES.output if f not in ("doc_id", "payload")}
+    number = F.variant_get("payload", "$.table_no", "long").alias("payload_no")
+    return hits.select("query_id", "rk", "doc_id", *[c.alias(f) for f, c in plain.items()], number)
+
+
 # --------------------------------------------------------------------------- two stages
 
 TWO_STAGE = (
@@ -550,7 +702,7 @@ CATALOG_STAGES = (
     sp.RAW_COLUMNS,
     sp.TABLE_CATALOG,
     sp.COLUMN_CATALOG,
-    sp.hashed("q", Q_KINDS, DIM, "query_id"),
+    sp.hashed("q", Q_ENCODED, DIM, "query_id"),
     sp.counted("p", "SELECT doc_id, search_text AS txt FROM table_catalog"),
     sp.bm25("p", Q_KINDS),
     sp.hashed("e", "SELECT doc_id, search_text AS txt FROM table_catalog", DIM),
@@ -613,12 +765,7 @@ def f2(t):
 @query(
     "f3_render_templates",
     _catalog_sql(
-        """SELECT 'template::' || p_partkey AS doc_id,
-          p_name || ' load ' || p_brand || chr(10) || p_type || chr(10) || 'moves ' || p_name || ' ' || p_type
-          || ' rows' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '["source_table", "target_table"]'
-             ELSE '["source_table", "target_table", "schedule"]' END
-          || chr(10) || '["MYSQL"]' || chr(10) || CASE WHEN p_size % 3 = 0 THEN '["HIVE"]' ELSE '["DORIS"]' END AS txt,
-          p_size % 7 <> 0 AS live FROM part""",
+        TEMPLATE_DOCS,
         (),
         "live",
         "live",
