@@ -231,3 +231,38 @@ def test_checkpoint_paths_with_branches_cycles_and_gaps(spark):
 def test_top_k_is_stable(spark):
     df = spark.createDataFrame([(1, 2.0, 5), (1, 2.0, 3)], "g long, s double, i long")
     assert [r["i"] for r in top_k(df, "g", "s", 1, "i").collect()] == [3]
+
+
+# --- streams --------------------------------------------------------------------------------
+
+
+def test_streams_go_on_from_a_table(spark):
+    from metaquarry.streaming import jobs, state
+
+    rows = [(t, i, "user", f"m{t}.{i}") for t in (1, 2, 3) for i in range(12)]
+    log = spark.createDataFrame(rows, "thread_id long, turn long, role string, content string")
+    base = new_run_dir(spark, "from-table")
+    for part in ("turn between 4 and 7", "turn >= 8 and thread_id < 3"):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    start = state.thread_snapshot(log.where("turn < 4"), keep=5)
+    jobs.run_to_batches(state.stream_thread_state(stream, keep=5, start=start), f"{base}/out", f"{base}/cp", "update")
+    assert jobs.read_batches(spark, f"{base}/out").select("batch").distinct().count() == 2
+    got = {r["thread_id"]: (r["n_messages"], r["turns"]) for r in jobs.read_current(spark, f"{base}/out", "thread_id").collect()}
+    assert got == {1: (12, [7, 8, 9, 10, 11]), 2: (12, [7, 8, 9, 10, 11]), 3: (8, [3, 4, 5, 6, 7])}
+
+
+def test_expired_and_living_threads(spark):
+    from metaquarry.streaming import jobs, state
+
+    log = spark.createDataFrame([(1, 0), (1, 5), (2, 8), (3, 100), (2, 101), (4, 300)], "thread_id long, s long")
+    log = log.withColumn("at", F.timestamp_seconds(F.col("s") + 1_000))
+    base = new_run_dir(spark, "expiry-test")
+    for part in ("s < 10", "s between 10 and 200", "s > 200"):
+        log.where(part).drop("s").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(log.drop("s").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.run_to_batches(state.stream_expired(stream, ttl_seconds=50), f"{base}/out", f"{base}/cp")
+    gone = jobs.read_batches(spark, f"{base}/out").collect()
+    assert sorted((r["thread_id"], r["n_messages"], r["last_us"]) for r in gone) == [(1, 2, 1_005_000_000)]
+    living = state.living_threads(spark, f"{base}/cp").collect()
+    assert sorted((r["thread_id"], r["n_messages"]) for r in living) == [(2, 2), (3, 1), (4, 1)]
