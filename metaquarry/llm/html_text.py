@@ -61,6 +61,11 @@ _STATE_NAME = re.compile(
     r"|(?<![\w-])[\w-]+-(?:open|closed|enabled|disabled|hidden|visible|results)(?![\w-])"
 )
 #: Names of what is never a wrapper of main text, however long it is.
+#: Elements that a class or id can name; a paragraph, heading or item of an article cannot be.
+_NAMEABLE = frozenset(
+    "article body center details div dl figure fieldset form frameset header footer html nav aside ol section "
+    "table tbody td th tr ul".split()
+)
 _PROSE_NAME = re.compile(
     r"comment|respond|responses|repl(?:y|ies)|disqus|discussion|consent|cookie|gdpr|modal|popup|newsletter|"
     r"subscri|notice|disclaimer|copyright|paywall|foot|related|recommend|teaser|promo|sponsor|advert"
@@ -70,14 +75,11 @@ _BAD_ROLE = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>"
-    # a quote that is never closed ends with its tag
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(/?)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A tag up to its end. A quote opens a value only right after ``=``, as in browsers; any other
+#: quote is a character like the rest. Nothing is tried twice, so a tag is read in one go.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -111,7 +113,7 @@ class Node:
 
 def _name_kind(tag: str, value: str) -> int:
     """0 for a class or id that says nothing, else STATE, PART or PROSE."""
-    if tag in ("html", "body", "main") or tag == "article" and "comment" not in value or not _BAD_NAME.search(value):
+    if tag not in _NAMEABLE or tag in ("html", "body") or tag == "article" and "comment" not in value or not _BAD_NAME.search(value):
         return 0
     rest = _STATE_NAME.sub(" ", value)
     if not _BAD_NAME.search(rest):
@@ -119,62 +121,117 @@ def _name_kind(tag: str, value: str) -> int:
     return PROSE if tag == "article" or _PROSE_NAME.search(rest) else PART
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that no end tag searches them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, names, barriers=()) -> None:
+        """Close the innermost element of ``names`` unless one of ``barriers`` is inside it."""
+        place = self.last(names)
+        if place and place > self.last(barriers):
+            self.cut(place)
+
+    def end(self, tag: str) -> None:
+        """An end tag; inline ones do not close blocks, and one without a start is ignored."""
+        place = self.last((tag,))
+        if place and (tag in BLOCK or place > self.blocks[-1]):
+            self.cut(place)
+
+
+_P_BARRIERS = ("article", "main", "section", "div", "td", "th", "li", "body", "table", "blockquote", "aside")
+#: What starts like a tag but is none, and what ends it.
+_MARKUP = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
+
+
 def parse(page: str) -> Node:
-    """The element tree of a page; unclosed and misnested tags are repaired as browsers do."""
+    """The element tree of a page; unclosed and misnested tags are repaired as browsers do.
+
+    One pass from front to back. A tag without an end makes the rest of the page text. Where a
+    quoted value never ends before the page does, tags from there on end at the next ``>``.
+    """
     root = Node("html")
-    stack, at = [root], 0
-    n = len(page)
-
-    def text(upto: int) -> None:
-        if upto > at:
-            stack[-1].parts.append(html.unescape(page[at:upto]))
-
-    def close(names, barriers) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in barriers:
-                return
-
-    while m := _TAG.search(page, at):
-        text(m.start())
+    stack, at, n, pattern = _Open(root), 0, len(page), _TAG
+
+    def text(value: str) -> None:
+        if value:
+            stack.nodes[-1].parts.append(value)
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0 or start == n - 1:
+            text(html.unescape(page[at:]))
+            break
+        text(html.unescape(page[at:start]))
+        at = start
+        opened = next((x for x in _MARKUP if page.startswith(x, start)), None)
+        if opened:
+            stop = page.find(_MARKUP[opened], start + len(opened))
+            at = n if stop < 0 else stop + len(_MARKUP[opened])
+            if opened == "<![CDATA[":
+                text(page[start + len(opened) : n if stop < 0 else stop])
+            continue
+        if not (page[start + 1].isascii() and page[start + 1].isalpha() or page[start + 1] == "/"):
+            text("<")
+            at = start + 1
+            continue
+        m = pattern.match(page, start)
+        if not m and page[start + 1] == "/" and not page[start + 2 : start + 3].isalpha():
+            text("<")
+            at = start + 1
+            continue
+        if not m and pattern is _TAG:
+            pattern = _PLAIN_TAG
+            m = pattern.match(page, start)
+        if not m:
+            text(html.unescape(page[start:]))
+            break
         at = m.end()
-        closing, name, attributes, empty = m.groups()[:4] if m[2] else m.groups()[4:]
-        tag = (name or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
-        elif closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                # inline tags do not close blocks
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
+        empty = attributes.endswith("/")
+        if closing:
+            stack.end(tag)
         elif tag == "br":
-            stack[-1].parts.append("\n")
-        elif tag not in ("html", "body"):
+            text("\n")
+        elif tag in ("html", "body"):
+            if tag == "body":
+                stack.close(("head",))
+                root.bad = False
+        else:
             if tag in BLOCK:
-                close({"p"}, {"article", "main", "section", "div", "td", "th", "li", "body", "table", "blockquote", "aside"})
-            if tag == "body" or stack[-1].tag == "head" and tag in BLOCK:
-                close({"head"}, ())
+                stack.close(("p",), _P_BARRIERS)
+            if stack.nodes[-1].tag == "head" and tag in BLOCK:
+                stack.close(("head",))
             if tag in _CLOSES:
-                close(*_CLOSES[tag])
+                stack.close(*_CLOSES[tag])
             node = Node(tag, attributes)
-            stack[-1].parts.append(node)
+            stack.nodes[-1].parts.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 if tag in ("textarea", "title"):
                     node.parts.append(html.unescape(page[at : end.start() if end else n]))
                 at = end.end() if end else n
             elif tag not in VOID and not empty:
-                stack.append(node)
-        elif tag == "body":
-            close({"head"}, ())
-            root.bad = False
-    text(n)
+                stack.push(node)
     _measure(root)
     return root
 
@@ -358,8 +415,9 @@ def extract_text(
 
     Null and empty pages have an empty text; pages whose url has no host are one host. Pages of
     a host with the same main text (before any template goes) are counted as one, so an article
-    that many pages copy is not taken for a template. Repeated rows come back each, null ids
-    too; other columns are ignored.
+    that many pages copy is not taken for a template. Pages of any length are read in one pass,
+    whatever is left open in them. Repeated rows come back each, null ids too; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     ship_package(pages.sparkSession)
     own = pages.select(

@@ -1,6 +1,7 @@
 """Language labels, page texts and neighbours against brute force and fixed cases."""
 
 import html
+import time
 import re
 
 import numpy as np
@@ -86,6 +87,47 @@ def test_page_structure(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=it's>One</p><p title=it's>Two</p>", "One\n\nTwo"),
+        ("<p title='a>b'>One</p><p title=\"it's > 'x'\">Two</p>", "One\n\nTwo"),
+        ("<p title=\"One</p><p>Two</p>", "Two"),
+        ("<article><p class='tags'>A</p><h2 id='search-engines'>B</h2><p class=social>C</p><p class='teaser'>D</p></article>", "A\n\nB\n\nC\n\nD"),
+        ("<div><div class='social'>gone</div><p>stays</p></div>", "stays"),
+        ("<p>a < b and <3 hearts </ p> x</p><p>c", "a < b and <3 hearts </ p> x\n\nc"),
+        ("<p>one</i></b> two</p><p>three <b>bold<p>four</b></p>", "one two\n\nthree bold\n\nfour"),
+        ("<p>x<!-- <p>no</p> --><![CDATA[ y ]]></p>", "x y"),
+        ("<p>x<a href=/b/>y</a></p>", "xy"),
+        ("<!DOCTYPE html><p>x</p><!-- open", "x"),
+    ],
+)
+def test_stray_quotes_and_names(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 100_000,
+        "<b>" * 100_000 + "</i>" * 100_000 + "text",
+        "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+        '<a x=">"' * 100_000,
+        "<p title='" * 100_000,
+        "<div>" * 100_000 + "</span>" * 50_000,
+        "<" * 200_000,
+        "<![CDATA[" * 50_000,
+        "&" * 200_000,
+        "<li>" * 100_000,
+        "</p>" * 100_000,
+    ],
+)
+def test_no_page_takes_long(page):
+    start = time.time()
+    html_text.page_hashes(page)
+    assert time.time() - start < 5
+
+
 def test_site_template_goes(spark):
     rows = [
         (i, f"http://h.org/{i}", f"<article><h1>T{i}</h1><p>text {i}</p><div>Read our <b>other</b> news</div></article>")
