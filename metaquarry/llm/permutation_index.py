@@ -4,8 +4,8 @@ Pivots are a bounded sample of the vectors. A vector is represented by the order
 nearest pivots, and posted in the inverted file of each of them together with the place the
 pivot has in its order. A query reads the files of its own nearest pivots, which gives the
 footrule distance of the two orders to every vector posted there; the vectors of smallest
-distance are reranked by the exact inner product. The index is split into slices by vector
-id, queries go through them in blocks, and each slice keeps its best few.
+distance are reranked by the exact inner product. The index is split into slices by row,
+queries go through them in blocks, and each slice keeps its best few.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, order: int) -> np.nd
 class InvertedFiles:
     """Postings of one slice: for each pivot the vectors near it, and their places."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
-        first = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.pivots = ids[first], vectors[first], pivots
+    def __init__(self, ids: np.ndarray, lines: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
+        first = np.lexsort((lines, ids))
+        self.ids, self.lines, self.vectors, self.pivots = ids[first], lines[first], vectors[first], pivots
         orders = nearest_pivots(self.vectors, pivots, ORDER)
         self.order = orders.shape[1]
         flat = orders.ravel()
@@ -70,8 +70,8 @@ class InvertedFiles:
         self.longest = np.argsort(-norms, kind="stable")[:LONGEST]
         self.rerank = max(RERANK_LEAST, int(RERANK_SHARE * len(ids)))
 
-    def search(self, query_id: int, vector: np.ndarray, order: np.ndarray, k: int):
-        """(ids, scores) of the best k of the slice."""
+    def search(self, line: int, vector: np.ndarray, order: np.ndarray, k: int):
+        """(ids, scores) of the best k of the slice; ``line`` is the query's own row."""
         # footrule: a pivot missing in one of the orders counts as standing behind all others
         gain = np.zeros(len(self.ids), np.int32)
         for place, pivot in enumerate(order):
@@ -86,7 +86,7 @@ class InvertedFiles:
             near = np.unique(near)
         else:
             near = np.arange(len(gain))
-        near = near[self.ids[near] != query_id]
+        near = near[self.lines[near] != line]
         scores = (self.vectors[near] * vector).sum(axis=1)
         best = np.lexsort((self.ids[near], -scores))[:k]
         return self.ids[near][best], scores[best]
@@ -101,15 +101,17 @@ def _search(k: int, shared):
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "query_line": [], "vec_id": [], "score": []})
         pivots = shared.value[key[0]]
-        index = InvertedFiles(left["vec_id"].to_numpy(), _matrix(left["vector"]), pivots)
+        index = InvertedFiles(left["vec_id"].to_numpy(), left["line"].to_numpy(), _matrix(left["vector"]), pivots)
         vectors = _matrix(right["query_vector"])
         orders = nearest_pivots(vectors, pivots, ORDER)
-        found = [index.search(q, v, o, k) for q, v, o in zip(right["query_vec_id"], vectors, orders, strict=True)]
+        found = [index.search(q, v, o, k) for q, v, o in zip(right["query_line"], vectors, orders, strict=True)]
+        sizes = [len(f[0]) for f in found]
         return pd.DataFrame(
             {
-                "query_id": np.repeat(right["query_vec_id"].to_numpy(), [len(f[0]) for f in found]),
+                "query_id": np.repeat(right["query_vec_id"].to_numpy(), sizes),
+                "query_line": np.repeat(right["query_line"].to_numpy(), sizes),
                 "vec_id": np.concatenate([f[0] for f in found]),
                 "score": np.concatenate([f[1] for f in found]),
             }
@@ -131,17 +133,20 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query, k: int =
 
     Nearness is the inner product in double precision; ties go to the smaller id. Vectors
     that are null, empty, zero or hold null or non-finite components take no part. A query
-    meets vectors of its own dimension only, and never rows with its own id; rows that repeat
-    an id count once. Other columns are ignored; an empty table gives no rows.
+    meets vectors of its own dimension only, and every row of it but its own. Rows that repeat
+    an id are rows of their own: each is found, and each that is a query has its own k rows.
+    Rows without an id take no part. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     own = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    own = stored(own.dropDuplicates(["vec_id"]).withColumn("dim", F.size("vector")), "vectors")
+    own = own.withColumns({"dim": F.size("vector"), "line": F.monotonically_increasing_id()})
+    own = stored(own, "vectors")
     # a bounded sample: at most PIVOTS rows of each dimension reach the driver
-    hashed = Window.partitionBy("dim").orderBy(F.md5(F.col("vec_id").cast("string")))
+    hashed = Window.partitionBy("dim").orderBy(F.md5(F.col("vec_id").cast("string")), "line")
     sample = own.withColumn("n", F.row_number().over(hashed)).filter(F.col("n") <= PIVOTS).collect()
     shared = spark.sparkContext.broadcast(_pivots(sample))
     queries = own.filter(is_query(F.col("vec_id")))
@@ -158,8 +163,9 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query, k: int =
         return df.join(cuts, "dim").select(
             "dim",
             "vec_id",
+            "line",
             "vector",
-            F.pmod(F.xxhash64("vec_id"), F.col(own_count)).cast("int").alias(own_part),
+            F.pmod(F.xxhash64("line"), F.col(own_count)).cast("int").alias(own_part),
             F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other_part),
         )
 
@@ -169,9 +175,9 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query, k: int =
         dealt(own, "slice", "slices", "block", "blocks")
         .groupBy("dim", "slice", "block")
         .cogroup(asked.groupBy("query_dim", "query_slice", "query_block"))
-        .applyInPandas(_search(k, shared), "query_id long, vec_id long, score double")
+        .applyInPandas(_search(k, shared), "query_id long, query_line long, vec_id long, score double")
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id", "query_line").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)

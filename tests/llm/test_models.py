@@ -162,23 +162,23 @@ def test_pages_against_their_articles(spark):
 
 
 def brute_nearest(rows, k, every):
-    """Query to its k nearest by inner product, ties to the smaller id."""
-    good = {}
-    for i, v in rows:
-        if i is None or v is None or i in good or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-            continue
-        good[i] = np.array(v, np.float64)
+    """Query to its k nearest by inner product, ties to the smaller id; every row is one."""
+    good = [
+        (i, np.array(v, np.float64))
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    ]
     out = {}
-    for q in good:
+    for own, (q, vector) in enumerate(good):
         if q % every == 0:
-            near = [(-float((good[q] * v).sum()), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
-            out[q] = [(i, -s) for s, i in sorted(near)[:k]]
-    return out
+            near = [(-float((vector * v).sum()), i) for at, (i, v) in enumerate(good) if at != own and len(v) == len(vector)]
+            out.setdefault(q, []).extend((rank, i, -s) for rank, (s, i) in enumerate(sorted(near)[:k]))
+    return {q: [(i, s) for _, i, s in sorted(found)] for q, found in out.items()}
 
 
 def found(df):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"], r["vec_id"], r["score"])):
         out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     return out
 
@@ -191,7 +191,7 @@ def test_neighbours_of_awkward_rows(spark):
         (200, None), (220, [0.0] * 5), (240, [1.0, None, 1.0, 1.0, 1.0]), (260, [float("nan")] * 5), (280, []),
         (300, [float("inf")] + [1.0] * 4), (320, [100.0] * 5), (340, [1.0, 2.0]), (360, [2.0, 1.0]), (None, [1.0] * 5),
     ]
-    rows += [rows[0], rows[20]]
+    rows += [rows[0], rows[20], (40, rows[7][1]), (1, rows[8][1])]  # repeated ids, with other vectors too
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(
         {c: F.lit(1) for c in edge.CLASHES}
     )
