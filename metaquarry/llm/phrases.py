@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +36,11 @@ ABSORB = 80
 #: bitmaps let more through to the exact counts and never less.
 WORD_BITS, GRAM_BITS = 24, 27
 #: Texts are read in pieces of about this many bytes.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Counters that a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Phrases that a task counts before it hands them on.
+HELD_PHRASES = 1_000_000
 #: Counters in a row of a summary.
 ROW_COUNTERS = 16_384
 #: Hash partitions: at least so many, and one for so much mass.
@@ -142,15 +144,16 @@ def bits_at(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def gram_bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return mix(keys, 11) >> U(64 - bits)
+def gram_bits_of(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each n-gram."""
+    return [mix(keys, salt) >> U(64 - bits) for salt in (11, 12)]
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
 
 
 class Summary:
@@ -188,7 +191,7 @@ def _summaries(words, parts: int, longest: int):
         part = (keys >> U(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-            p, low, n = int(part[a]), keys[a:b].astype(np.uint32), counts[a:b]
+            p, low, n = int(part[a]), keys[a:b].astype(np.uint32), counts[a:b].astype(np.int32)
             rows.append((p, 0, int(n.sum()), None, None))
             one, many = low[n == 1], low[n > 1]
             rows += [(p, 1, 0, one[i : i + ROW_COUNTERS].tobytes(), None) for i in range(0, len(one), ROW_COUNTERS)]
@@ -199,10 +202,10 @@ def _summaries(words, parts: int, longest: int):
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = np.frombuffer(words.value, np.uint8)
-        keys, counts, waiting, size = np.zeros(0, U), np.zeros(0, np.int64), [], 0
+        keys, counts, waiting, size = np.zeros(0, U), np.zeros(0, np.int32), [], 0
         for lang, tokens, new in chunks(batches):
             for _, _, found in _Grams(lang, tokens, new, frequent, parts).sizes(longest):
-                waiting.append(add_up(found, np.ones(len(found), np.int64)))
+                waiting.append(add_up(found, np.ones(len(found), np.int32)))
                 size += len(waiting[-1][0])
             if size > HELD:
                 keys, counts = add_up(*map(np.concatenate, zip((keys, counts), *waiting, strict=True)))
@@ -234,7 +237,7 @@ def _survivors(threshold: int, bits: int):
         def result() -> pd.DataFrame:
             merge()
             keys = summary.survivors(threshold) | U(part) << U(32)
-            return pd.DataFrame({"bit": gram_bit(keys, bits).astype(np.int64)})
+            return pd.DataFrame({"bit": np.concatenate(gram_bits_of(keys, bits)).astype(np.int64)})
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -246,7 +249,7 @@ def _survivors(threshold: int, bits: int):
                     mass += row.mass
                     continue
                 keys = np.frombuffer(row.keys, np.uint32).astype(U)
-                counts = np.ones(len(keys), np.int64) if row.counts is None else np.frombuffer(row.counts, np.int64)
+                counts = np.ones(len(keys), np.int64) if row.counts is None else np.frombuffer(row.counts, np.int32)
                 waiting.append((keys, counts))
                 size += len(keys)
                 if size > HELD // 4:
@@ -257,38 +260,80 @@ def _survivors(threshold: int, bits: int):
     return survive
 
 
+_PHRASES = "part int, lang string, phrases binary, counts binary"
+
+
+def _packed(lang: str, counts: dict[bytes, int], parts: int) -> pd.DataFrame:
+    """Phrases and counts in one row for each hash partition; no phrase has a line break."""
+    start, phrases = lang.encode() + b"\0", np.array(list(counts), object)
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    part = np.fromiter((xxhash.xxh32_intdigest(start + p) % parts for p in counts), np.int64, len(counts))
+    order = np.argsort(part, kind="stable")
+    phrases, n, part = phrases[order], n[order], part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    pieces = list(zip(first, [*first[1:], len(part)], strict=True))
+    return pd.DataFrame(
+        {
+            "part": part[first].astype(np.int32),
+            "lang": lang,
+            "phrases": [b"\n".join(phrases[a:b]) for a, b in pieces],
+            "counts": [n[a:b].tobytes() for a, b in pieces],
+        }
+    )
+
+
 def _count_grams(words, grams, parts: int, longest: int):
-    """Exact counts of the n-grams whose bit is set, added up per task."""
+    """Exact counts of the n-grams whose bits are set, added up per task."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, wanted = np.frombuffer(words.value, np.uint8), np.frombuffer(grams.value, np.uint8)
         bits = (8 * len(wanted)).bit_length() - 1
-        counts: dict[tuple[str, int, bytes], int] = {}
-
-        def rows() -> pd.DataFrame:
-            flat = [(*key, n) for key, n in counts.items()]
-            return pd.DataFrame(flat, columns=["lang", "size", "phrase", "a"])
-
+        counts: defaultdict[str, dict[bytes, int]] = defaultdict(dict)
         for lang, tokens, new in chunks(batches):
-            chunk = _Grams(lang, tokens, new, frequent, parts)
+            chunk, own = _Grams(lang, tokens, new, frequent, parts), counts[lang]
             for size, places, keys in chunk.sizes(longest):
-                places = places[bits_at(wanted, gram_bit(keys, bits))]
+                first, second = gram_bits_of(keys, bits)
+                places = places[bits_at(wanted, first) & bits_at(wanted, second)]
                 same = chunk.ids[places]
                 for i in range(1, size):  # equal numbers for equal words, one word after the other
                     same = np.unique(same << 32 | chunk.ids[places + i], return_inverse=True)[1]
                 _, first, n = np.unique(same, return_index=True, return_counts=True)
                 columns = [chunk.ids[places[first] + i].tolist() for i in range(size)]
                 for ids, m in zip(zip(*columns, strict=True), n.tolist(), strict=True):
-                    key = (lang, size, b" ".join([chunk.distinct[j] for j in ids]))
-                    counts[key] = counts.get(key, 0) + m
-            if len(counts) > HELD // 6:
-                yield rows()
+                    phrase = b" ".join([chunk.distinct[j] for j in ids])
+                    own[phrase] = own.get(phrase, 0) + m
+            if sum(map(len, counts.values())) > HELD_PHRASES:
+                yield from (_packed(x, c, parts) for x, c in counts.items() if c)
                 counts.clear()
-        yield rows()
+        yield from (_packed(x, c, parts) for x, c in counts.items() if c)
 
     return count
 
 
+def _add_phrases(threshold: int):
+    """Frequent phrases of each partition; rows come by partition and language."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, counts = None, {}
+
+        def rows() -> pd.DataFrame:
+            held = [(p, n) for p, n in counts.items() if n >= threshold]
+            return pd.DataFrame({"lang": key and key[1], "phrase": [p for p, _ in held], "a": [n for _, n in held]})
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if key != (row.part, row.lang):
+                    if counts:
+                        yield rows()
+                    key, counts = (row.part, row.lang), {}
+                for phrase, n in zip(row.phrases.split(b"\n"), np.frombuffer(row.counts, np.int64).tolist(), strict=True):
+                    counts[phrase] = counts.get(phrase, 0) + n
+        if counts:
+            yield rows()
+
+    return add
+
+
 def bitmap(rows: DataFrame, bit: Column, bits: int) -> bytes:
     """A bitmap of 2**bits bits, those of ``rows`` set; at most 4 KB for each 32,768 bits."""
     at = bit.cast("long") + 1
@@ -384,11 +429,11 @@ def collocations(
     rows = rows.repartition("part").sortWithinPartitions("part", "kind")
     bits = rows.mapInPandas(_survivors(min_count, GRAM_BITS), "bit long")
     gram_bits = sc.broadcast(bitmap(bits, F.col("bit"), GRAM_BITS))
-    exact = docs.mapInPandas(
-        _count_grams(word_bits, gram_bits, parts, longest), "lang string, size int, phrase binary, a long"
-    )
-    exact = exact.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
-    grams = stored(exact.filter(F.col("a") >= min_count), "grams")
+    counted = docs.mapInPandas(_count_grams(word_bits, gram_bits, parts, longest), _PHRASES)
+    counted = counted.repartition("part").sortWithinPartitions("part", "lang")
+    exact = counted.mapInPandas(_add_phrases(min_count), "lang string, phrase binary, a long")
+    exact = exact.withColumn("phrase", F.col("phrase").cast("string")).withColumn("size", F.size(F.split("phrase", " ")))
+    grams = stored(exact, "grams")
     found = _scored(grams, frequent).join(_absorbed(grams, absorb, longest), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     found = found.withColumn("rank", F.row_number().over(order).cast("long"))
