@@ -21,6 +21,8 @@ from metaquarry.plans.registry import query
 from metaquarry.schemas import COLUMNS, TABLES, conformance
 from metaquarry.sources.metadata import catalog_counts
 from metaquarry.session import new_run_dir
+from metaquarry.sources.buckets import BucketTable
+from metaquarry.sources.json_arrays import read_array
 from metaquarry.sources.records import lookup, publish, read_records, resolve, upsert, write_records
 
 # --------------------------------------------------------------------------- sources and sinks
@@ -72,6 +74,22 @@ def a1(t):
     return read_records(t.spark, path, rows.schema, lines=True).unionByName(absent)
 
 
+@query(
+    "a1_array_files",
+    """SELECT doc_id, text, lang, n_chars FROM documents""",
+)
+def a1_arrays(t):
+    """Documents as JSON arrays with braces and quotes in their texts, read in splits."""
+    rows = t.documents.select("doc_id", "text", "lang", "n_chars")
+    path = new_run_dir(t.spark, "arrays")
+    record = F.struct("doc_id", F.struct(F.concat(F.lit('}"{\\'), "text").alias("text"), F.lit("}").alias("x")).alias("body"), "lang", "n_chars")
+    arrays = rows.groupBy(F.pmod("doc_id", F.lit(16))).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.text(path)
+    schema = "doc_id long, body struct<text: string, x: string>, lang string, n_chars long"
+    back = read_array(t.spark, path, schema)
+    return back.select("doc_id", F.substring("body.text", 5, 10**9).alias("text"), "lang", "n_chars")
+
+
 @query(
     "a2_write_records",
     """SELECT o_orderstatus, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last
@@ -120,6 +138,22 @@ def a3_repeated(t):
     return upsert(current, incoming, "c_custkey", order_col="o_orderkey").drop("o_orderkey")
 
 
+@query(
+    "a3_upsert_buckets",
+    """SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+    UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
+)
+def a3_buckets(t):
+    """Two upserts into a table of buckets, each rewriting the buckets of its customers only."""
+    table = BucketTable.create(t.customer.select("c_custkey", "c_acctbal"), new_run_dir(t.spark, "buckets"), "c_custkey", buckets=32)
+    price = t.orders.where("o_orderstatus = 'P'").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey"
+    )
+    for part in ("c_custkey % 100 < 2", "c_custkey % 100 >= 2"):
+        table.upsert(price.where(part), order_col="o_orderkey")
+    return table.read()
+
+
 @query(
     "a6_lookup",
     """SELECT doc_id, source, n_chars FROM documents WHERE lang IN ('en', 'de')

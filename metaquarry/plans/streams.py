@@ -11,6 +11,7 @@ from metaquarry.plans import statements as st
 from metaquarry.plans import tasks as tk
 from metaquarry.plans.registry import Tables, query
 from metaquarry.session import cut_lineage, new_run_dir
+from metaquarry.sources.buckets import BucketTable, stream_into
 from metaquarry.streaming.jobs import read_batches, read_current, run_to_batches, stream_guard, stream_upsert
 from metaquarry.streaming.state import (
     living_threads,
@@ -179,6 +180,22 @@ def k4(t):
     return read_current(t.spark, f"{base}/out", "user_id", "event_id")
 
 
+@query(
+    "k4_stream_buckets",
+    """SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type
+      FROM events GROUP BY 1""",
+)
+def k4_buckets(t):
+    """Early events are a table of buckets, later ones are upserted batch by batch."""
+    base = new_run_dir(t.spark, "stream-buckets")
+    events = t.events.select("user_id", "event_id", "event_type")
+    newest = F.max_by(F.struct("event_id", "event_type"), "event_id").alias("e")
+    early = events.where("event_id % 10 < 3").groupBy("user_id").agg(newest).select("user_id", "e.*")
+    table = BucketTable.create(early, f"{base}/table", "user_id", "event_id", buckets=16)
+    stream_into(_files(events.where("event_id % 10 >= 3"), t, "updates", 3), table, f"{base}/checkpoint")
+    return table.read()
+
+
 @query(
     "k5_stream_guard",
     st._guard_sql(f"array_to_string({st.REASONS}, ',') AS reasons, {st.SAFE} AS safe_sql"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaquarry.operators.filters import build_filter
+from metaquarry.sources.json_arrays import read_array
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -19,10 +20,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_records(
     spark: SparkSession, path: str, schema: T.StructType, lines: bool = False
 ) -> DataFrame:
-    """Rows of a JSON array file (or JSON lines); a path that does not exist has no rows."""
+    """Rows of JSON array files, read in splits, or of JSON lines; a path that does not exist
+    has no rows."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    return spark.read.schema(schema).json(path) if lines else read_array(spark, path, schema)
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "json") -> None:
