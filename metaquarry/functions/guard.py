@@ -71,6 +71,65 @@ def is_safe_sql(sql: Column) -> Column:
     )
 
 
+#: The strict lexer's tokens: what opens or closes something, and runs of anything else.
+_TOKEN = r"""(?s)--|/\*|\*/|''|""|``|['"`\n]|[^-/*'"`\n]+|."""
+#: Mode that an opening token starts, and what ends it and stands for it afterwards. A quote
+#: written twice inside is one of its characters.
+_OPENS = {"--": "line", "/*": "block", "'": "text", '"': "name", "`": "tick"}
+_CLOSES = {"line": ("\n", " "), "block": ("*/", " "), "text": ("'", "''"), "name": ('"', " x "), "tick": ("`", " x ")}
+
+
+def lexed(sql: Column) -> Column:
+    """struct(code, open): the text with comments as blanks, literals as ``''`` and quoted names
+    as a word, and what is still open at its end: empty, or the mode of an unclosed token.
+
+    A finite automaton folded over the tokens; its counter makes block comments nest.
+    """
+
+    def step(state: Column, token: Column) -> Column:
+        mode = state["mode"]
+        next_mode, added = F.lit("code"), token
+        for opening, name in _OPENS.items():
+            next_mode = F.when(token == opening, name).otherwise(next_mode)
+            added = F.when(token == opening, "").otherwise(added)
+        for name, (closing, stands) in _CLOSES.items():
+            ends = token == closing
+            if name == "block":
+                ends = ends & (state["depth"] == 1)
+            next_mode = F.when(mode == name, F.when(ends, "code").otherwise(name)).otherwise(next_mode)
+            added = F.when(mode == name, F.when(ends, stands).otherwise("")).otherwise(added)
+        change = F.when(token == "/*", 1).when((mode == "block") & (token == "*/"), -1).otherwise(0)
+        depth = F.when(next_mode == "block", state["depth"] + change).otherwise(0)
+        kept = F.when(added == "", state["kept"]).otherwise(F.array_append(state["kept"], added))
+        return F.struct(next_mode.alias("mode"), depth.cast("int").alias("depth"), kept.alias("kept"))
+
+    start = F.struct(
+        F.lit("code").alias("mode"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept")
+    )
+    # a line comment ends with the text at the latest
+    unclosed = lambda mode: F.when(mode.isin("code", "line"), "").otherwise(mode)
+    return F.aggregate(
+        F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0)),
+        start,
+        step,
+        lambda s: F.struct(F.array_join(s["kept"], "").alias("code"), unclosed(s["mode"]).alias("open")),
+    )
+
+
+def is_safe_code(code: Column) -> Column:
+    """One statement that starts with a whole word of READ_STARTS, without denied keywords."""
+    first = first_statement(code)
+    starts = first.rlike("^(" + "|".join(READ_STARTS) + ")" + WORD_EDGE_RIGHT)
+    return single_statement(code) & starts & ~has_denied_keyword(first)
+
+
+def is_safe_sql_strict(sql: Column) -> Column:
+    """Like ``is_safe_sql``, but semicolons and keywords inside literals, quoted names and
+    comments do not count, block comments nest, and nothing may be left open. Null is unsafe."""
+    whole = F.transform(F.array(lexed(sql)), lambda s: (s["open"] == "") & is_safe_code(s["code"]))
+    return F.coalesce(F.element_at(whole, 1), F.lit(False))
+
+
 def block_reasons(model_flag: Column, count: Column, statement: Column, keywords: Column) -> Column:
     """Why a statement is blocked, as an array of reason names; empty when it may pass.
 

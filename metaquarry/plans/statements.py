@@ -8,11 +8,12 @@ from metaquarry.functions import guard as g
 from metaquarry.functions.text import tokens
 from metaquarry.operators import context as cx
 from metaquarry.operators import parsing as ps
-from metaquarry.operators.audit import audit_report, gate
+from metaquarry.operators.audit import SKETCH_ERROR, audit_report, audit_sketches, gate, united_report
 from metaquarry.operators.bm25 import bm25_search
 from metaquarry.plans import sqlparts as sp
 from metaquarry.plans.registry import query
 from metaquarry.plans.search import DIM, embed, text_queries
+from metaquarry.session import new_run_dir
 
 # --------------------------------------------------------------------------- statement log
 
@@ -166,6 +167,53 @@ def g7(t):
     return audit_report(gate(statements(t)))
 
 
+@query(
+    "g7_audit_sketches",
+    sp.with_(
+        LOG,
+        f"""hits AS (SELECT sql, unnest({REASONS}) AS reason, {FOUND} AS found FROM first),
+        cells AS (SELECT sql, reason, unnest(CASE WHEN reason = 'denied_keyword' THEN found ELSE [NULL] END) AS keyword
+          FROM hits)""",
+        select="""SELECT reason, keyword, count(*) AS n, count(DISTINCT sql) AS exact, true AS within_bounds
+          FROM cells GROUP BY 1, 2""",
+    ),
+)
+def g7_sketches(t):
+    """Counts of different statements from stored sketches of each turn number, united; are they
+    within three standard errors of the exact ones?"""
+    gated = gate(statements(t))
+    path = new_run_dir(t.spark, "sketches")
+    audit_sketches(gated, "turn").write.partitionBy("turn").parquet(path)
+    about = united_report(t.spark.read.parquet(path))
+    exact = audit_report(gated).withColumnsRenamed({"n": "n_all", "n_distinct": "exact"})
+    same = about["reason"].eqNullSafe(exact["reason"]) & about["keyword"].eqNullSafe(exact["keyword"])
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 3 * SKETCH_ERROR * F.col("exact")
+    return about.join(exact, same).select(
+        about["reason"], about["keyword"], "n", "exact", near.alias("within_bounds")
+    )
+
+
+# What the strict lexer leaves out: literals, quoted names and comments.
+OUTSIDE = r"""regexp_replace(sql,
+  '(''(''''|[^''])*'')|("(""|[^"])*")|(`(``|[^`])*`)|(--[^\n]*(\n|$))|(/\*(.|\n)*?\*/)', ' ', 'g')"""
+
+
+@query(
+    "g5_is_safe_sql_strict",
+    sp.with_(
+        LOG,
+        f"bare AS (SELECT conv_id, turn, {OUTSIDE} AS code FROM log)",
+        f"""pieces AS (SELECT *, list_filter(list_transform(string_split(code, ';'), lambda s: {sp.strip("s")}),
+          lambda s: s <> '') AS stmts FROM bare)""",
+        "heads AS (SELECT *, len(stmts) AS n_stmts, upper(coalesce(stmts[1], '')) AS head FROM pieces)",
+        select=f"""SELECT conv_id, turn, n_stmts = 1 AND regexp_matches(head, '^(SELECT|WITH){_RIGHT}') AND NOT {DENIED}
+          AND NOT regexp_matches(code, '[''"`]|/[*]') AS safe FROM heads""",
+    ),
+)
+def g5_strict(t):
+    return statements(t).select("conv_id", "turn", g.is_safe_sql_strict(F.col("sql")).alias("safe"))
+
+
 # --------------------------------------------------------------------------- response log
 
 
