@@ -41,10 +41,13 @@ PART_ROWS = 256
 class Encoder:
     """Token ids of texts as bytes, from a file of byte-level BPE ranks.
 
-    Names of special tokens in a text are plain text. Equal to the JSON form of the same
-    vocabulary, and several times as fast on texts with many rare words.
+    Equal to the JSON form of the same vocabulary, with the ids of its added tokens where their
+    names stand in a text, and several times as fast on texts with many rare words.
     """
 
+    #: The vocabulary's added tokens. Fixed value.
+    ADDED = {"<|endoftext|>": 50256}
+
     #: Texts are cut into pre-tokens by this pattern. Fixed value of the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,12 +56,16 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.ADDED)
+        self.kind = np.dtype("<u2" if max(*ranks.values(), *self.ADDED.values()) < 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            yield np.array([*self.encoding.encode_ordinary(text), END_OF_TEXT], self.kind).tobytes()
+            if any(name in text for name in self.ADDED):
+                ids = self.encoding.encode(text, allowed_special="all")
+            else:
+                ids = self.encoding.encode_ordinary(text)
+            yield np.array([*ids, END_OF_TEXT], self.kind).tobytes()
 
 
 def _encode(path: str):
@@ -196,8 +203,9 @@ def pack(
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids) per piece.
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit numbers, on request. Null and empty texts
-    are the end id alone. Null sources form one queue, null ids are kept, repeated rows are
-    packed each. Other columns are ignored. An empty table gives no pieces.
+    are the end id alone; texts of any length are encoded whole. Null sources form one queue,
+    null ids are kept, repeated rows are packed each. Other columns are ignored, whatever their
+    names. An empty table gives no pieces.
     """
     spark = docs.sparkSession
     ship_package(spark)

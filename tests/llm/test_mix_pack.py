@@ -158,13 +158,14 @@ def test_pack_awkward_rows(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    docs = edge.documents(spark)
+    table = edge.ROWS + [(70, "hello <|endoftext|> world", "en", "a", 1), (71, "<|endoftext|><|endoftext|>x <|endoftext", "en", "a", 1)]
+    assert tokenizer.encode(table[-2][1], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    docs = edge.documents(spark, table)
     rows = packing.pack(docs, "doc_id", "text", "source", packing.tokenizer_path(), 256, 4).collect()
     # copies under one id have one text here, so an id and a length name a document
     want = [
         (r[0], tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1])
-        for r in edge.ROWS
+        for r in table
     ]
     fills = check_pieces(rows, want, 256)
     assert sum(fills) == sum(len(d[1]) for d in want)
@@ -176,7 +177,6 @@ def test_ids_of_parts_are_the_ids_of_the_whole():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [
         "it's  we'll   don't", " lead", "trail  ", "a\n b", "x. y, z! 1 2 a1 b2", "<|endoftext|> a <|endoftext|>",
         "é è ü   x", "tab\t x\r\n y", "𝒳 a 𝒳", "", " ", "ab's 's s", "1 'll", "a 'b", "ÿ ÿ × ÷ a",

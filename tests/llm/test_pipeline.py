@@ -3,8 +3,10 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from metaquarry.llm import mixing, secrets
+from metaquarry.llm import mixing, packing, secrets
 from metaquarry.llm.common import stored
 from tests.llm import edge
 from tests.llm.test_join import brute
@@ -70,3 +72,17 @@ def test_run(spark):
     got, kept = out.collect(), docs.collect()
     assert Counter(r["doc_id"] for r in kept) == Counter(r["doc_id"] for r in got if r["start"] == 0)
     assert all(re.fullmatch(r"src\d+", r["source"]) for r in got)
+    # the sequences' ids, cut at the ends of text, are the texts again; a document that is taken
+    # several times has pieces of each time
+    pieces = {(r["doc_id"], r["doc_tokens"], r["start"]): np.frombuffer(r["ids"], "<u4") for r in got}
+    encoding = packing.Encoder(packing.tokenizer_path()).encoding
+    text = {}
+    for doc, n in {(r["doc_id"], r["doc_tokens"]) for r in got}:
+        parts, at = [], 0
+        while at < n:
+            parts.append(pieces[doc, n, at])
+            at += len(parts[-1])
+        ids = np.concatenate(parts)
+        assert len(ids) == n and ids[-1] == packing.END_OF_TEXT
+        text[doc] = encoding.decode(ids[:-1].tolist())
+    assert text == {r["doc_id"]: r["text"] for r in kept}
