@@ -67,7 +67,12 @@ def _first_rows(docs: DataFrame) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the values of their secrets replaced."""
+    """All documents, with the values of their secrets replaced.
+
+    Null and empty texts stay as they are, and so does everything around a secret in texts of
+    any length. Repeated rows stay, columns besides those of documents are ignored, and an empty
+    table gives no rows.
+    """
     clean = redact_secrets(docs.select(*COLUMNS), "text")
     return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -75,7 +80,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in whole: 0 to 3 times.
 
-    A document is taken when half of its words or more are; documents without words are not.
+    A document is taken when half of its words or more are; documents without words, null and
+    empty ones among them, are not. Repeated rows are taken each on its own, null ids and sources
+    count, columns besides those of documents are ignored, and an empty table gives no rows.
     """
     rows = stored(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     mixed = mix_sources(rows, "row_id", "text", "source", order_col="doc_id")
@@ -92,8 +99,14 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's tokens in sequences of at most 2048, each window of the sources' mixture."""
-    return pack(docs.select(*COLUMNS), "doc_id", "text", "source", tokenizer_path(), with_ids=False)
+    """Every row's tokens in sequences of at most 2048, each window of the sources' mixture, with
+    the ids of every piece: ``ids`` in the order of sequence_id and offset is what to train on.
+
+    Null and empty texts are an end of text alone, of whatever length texts are; repeated rows
+    are packed each, and columns besides those of documents are ignored. Without rows there are
+    no pieces.
+    """
+    return pack(docs.select(*COLUMNS), "doc_id", "text", "source", tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
