@@ -26,7 +26,7 @@ from metaquarry.functions.text import token_count, tokens
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
-from metaquarry.session import spread
+from metaquarry.session import ship_package, spread
 
 SPARSE_DIGITS = 4
 TERM_PARTS = 256
@@ -334,6 +334,7 @@ def bm25_search(
     ``where`` (over ``carried`` columns) and ``allowed`` (query_id, parent) only limit
     which documents score.
     """
+    ship_package(queries.sparkSession)
     qterms = query_terms(queries, query_id, query_text)
     asked = _bounded(qterms, small_rows)
     limits = None if allowed is None else allowed.select(query_id, parent).distinct()

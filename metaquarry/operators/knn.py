@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import top_k
+from metaquarry.session import ship_package
 
 DENSE_DIGITS = 6
 # What may be shipped to every task: rows, and values (rows x dimension; 8 bytes each).
@@ -85,6 +86,7 @@ def knn_exact(
     ship: bool = True,
 ) -> DataFrame:
     """The k vectors with the highest cosine per query: query_id, id, cosine, rk."""
+    ship_package(queries.sparkSession)
     schema = _result_schema(queries, query_id, vectors, id_col)
     # null vectors are dropped where batches are read: a filter here would make Spark
     # compute an encoder's output twice
@@ -180,6 +182,7 @@ def knn_within(
     A key with more than ``block_rows`` rows on a side is split into blocks, and small
     blocks are packed together, so tasks stay of even size whatever the key sizes are.
     """
+    ship_package(queries.sparkSession)
     qs = queries.select(query_id, query_vector, key)
     vs = vectors.select(id_col, vector_col, key)
     n_v = vs.groupBy(key).agg(F.count(F.lit(1)).alias("_nv"))
@@ -320,6 +323,7 @@ def knn_approx(
     Few queries are shipped, and nothing but the best rows is shuffled. Otherwise ids and
     vectors are dealt to buckets, in blocks of bounded size.
     """
+    ship_package(queries.sparkSession)
     planes = hyperplanes(dim, tables * bits)
     schema = _result_schema(queries, query_id, vectors, id_col)
     qs, vs = queries.select(query_id, query_vector), vectors.select(id_col, vector_col)
