@@ -54,6 +54,17 @@ SENTENCES = [
     ("BSD_ASIS", "This software is provided by X as is and any express or implied warranties"),
     ("PUBLIC_DOMAIN", "This is in the public domain"),
     ("ALL_RIGHTS", "All rights reserved"),
+    ("APACHE1", "Apache Software License, Version 1.1"),
+    ("MIT_TITLE", "The MIT License"),
+    ("ISC_NAMED", "Under the ISC License"),
+    ("ZLIB", "Under the zlib License"),
+    ("ZLIB", "Altered source versions must be plainly marked as such"),
+    ("UNLICENSE", "This is free and unencumbered software released into the public domain"),
+    ("BOOST", "Boost Software License"),
+    ("OFL", "SIL Open Font License"),
+    ("ARTISTIC", "The Artistic License"),
+    ("EUPL", "Released under EUPL"),
+    ("EUPL", "European Union Public Licence"),
 ]
 
 
