@@ -110,8 +110,9 @@ class CellIndex:
                 return pd.Series(nearest_cells(on_grid(vector), shared.value, 1)[:, 0].astype(np.int32))
 
             placed = known.withColumn("cell", cell_of(F.col(vector_col)))
-        frame = pd.DataFrame({"cell": range(len(centres)), "centre": list(centres)})
-        spark.createDataFrame(frame, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+        # plain lists of floats: a frame of arrays is accepted only where Arrow conversion is on
+        numbered = list(enumerate(centres.tolist()))
+        spark.createDataFrame(numbered, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
         (
             placed.withColumn("slice", F.pmod(F.xxhash64(id_col), F.lit(slices)))
             .repartition("cell", "slice")

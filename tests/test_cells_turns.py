@@ -73,6 +73,20 @@ def test_empty_index(spark, vectors, asked):
     assert cells.CellIndex.load(vectors, path).rows.count() == 0
 
 
+def test_index_is_saved_without_arrow_conversion(spark, vectors, asked, index):
+    """Arrow conversion is off in a session that does not ask for it."""
+    path, name = new_run_dir(spark, "cells-plain"), "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        cells.CellIndex.save(vectors, path, cells=12)
+        plain = cells.CellIndex.load(vectors, path)
+        assert (plain.centres == index.centres).all()
+        assert found(cells.knn_cells(asked, plain, 5, probes=2)) == found(cells.knn_cells(asked, index, 5, probes=2))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_space_with_vectors_of_its_own(vectors, asked, index):
     """Filters and approximate search agree with the exact search where all cells are read."""
     texts = vectors.select("doc_id", F.lit("x y").alias("search_text"), "lang")
