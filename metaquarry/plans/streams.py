@@ -24,14 +24,14 @@ from metaquarry.streaming.state import (
 
 
 class Streams(Tables):
-    """``s.events`` is the events table as a stream."""
+    """``s.events`` is the events table as a stream; the table is one file or a folder of files."""
 
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.sf_dir)
+        # a stream takes a single file only where its path is a pattern
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
 
 def streams(t) -> Streams:

@@ -1,3 +1,5 @@
+import glob
+import shutil
 import tempfile
 import time
 
@@ -171,3 +173,19 @@ def test_model_summary_keeps_the_previous_one_on_failure(spark):
         model=lambda text: F.when(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))) != "", F.upper(text)),
     )
     assert {r.thread: r.summary for r in made.collect()} == {1: "M2\nM3", 2: "old", 3: "old"}
+
+
+def test_tables_are_streamed_from_a_file_or_a_folder(spark, log):
+    """A table of several files is a folder; one file may carry the table's name itself."""
+    from metaquarry.plans.registry import Tables
+    from metaquarry.plans.streams import streams
+
+    path = tempfile.mkdtemp()
+    log.repartition(3).write.parquet(path + "/folder.parquet")
+    log.coalesce(1).write.parquet(path + "/one")
+    (part,) = glob.glob(path + "/one/*.parquet")
+    shutil.copy(part, path + "/file.parquet")
+    for name in ("folder", "file"):
+        rows = getattr(streams(Tables(spark, path)), name)
+        jobs.run_to_batches(rows, f"{path}/out-{name}", f"{path}/cp-{name}")
+        assert jobs.read_batches(spark, f"{path}/out-{name}").count() == sum(SIZES.values())
