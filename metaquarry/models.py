@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,48 @@ def md5_bucket(term: Column, dim: int) -> Column:
     return F.pmod(head, F.lit(dim)).cast("int")
 
 
+#: Words whose bucket a task remembers.
+KNOWN_WORDS = 200_000
+
+
+def md5_slots(words: pa.Array, dim: int, known: dict[str, int]) -> np.ndarray:
+    """``md5_bucket`` of every word; each different word of the array is hashed once."""
+    coded = words.dictionary_encode()
+    found = np.empty(len(coded.dictionary), np.int64)
+    for i, word in enumerate(coded.dictionary.to_pylist()):
+        slot = known.get(word)
+        if slot is None:
+            slot = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
+            if len(known) < KNOWN_WORDS:
+                known[word] = slot
+        found[i] = slot
+    return found[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def word_buckets(words: Column, dim: int, bucket: Callable[[Column, int], Column]) -> Column:
+    """The bucket of every word of a list."""
+    if bucket is not md5_bucket:
+        return F.transform(words, lambda t: bucket(t, dim))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def slots(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+        for lists in batches:
+            ends = np.append(0, np.cumsum(_sizes(lists))).astype(np.int32)
+            found = md5_slots(lists.flatten(), dim, known).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found))
+
+    return slots(words)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: Texts whose words are counted at once.
+STEP_TEXTS = 1_000
+
+
 def hash_embedding(
     text: Column,
     dim: int = EMBEDDING_DIM,
@@ -35,10 +79,28 @@ def hash_embedding(
     """Default encoder: counts of hashed tokens, scaled to unit length. A text without any
     token has no direction and becomes the zero vector.
 
-    Tokens are hashed by Spark; only small integers reach Python, one batch at a time, and
-    no shuffle takes place.
+    Tokens are hashed by Spark and only small integers reach Python, but for md5, of which
+    Python hashes each different word of a batch once. No shuffle takes place.
     """
     full = F.concat(F.lit(instruction), F.coalesce(text, F.lit("")))
+    if bucket is md5_bucket:
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known: dict[str, int] = {}
+            for lists in batches:
+                out = np.empty((len(lists), dim), np.float32)
+                for at in range(0, len(lists), STEP_TEXTS):
+                    part = lists[at : at + STEP_TEXTS]
+                    slot = np.repeat(np.arange(len(part)) * dim, _sizes(part))
+                    slot += md5_slots(part.flatten(), dim, known)
+                    counts = np.bincount(slot, minlength=len(part) * dim).reshape(-1, dim).astype(np.float64)
+                    norms = np.linalg.norm(counts, axis=1, keepdims=True)
+                    out[at : at + STEP_TEXTS] = counts / np.where(norms == 0, 1.0, norms)
+                ends = np.arange(len(lists) + 1, dtype=np.int32) * dim
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+        return counted(tokens(full))
     buckets = F.transform(tokens(full), lambda t: bucket(t, dim))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -107,7 +169,7 @@ def group_hash_embedding(
 ) -> DataFrame:
     """Hash embedding of every group's texts taken together, from summed bucket counts."""
     words = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    buckets = F.transform(words, lambda t: bucket(t, dim))
+    buckets = word_buckets(words, dim, bucket)
     # every group keeps a row even when its texts have no token
     counts = (
         spread(docs.select(group_col, text_col))

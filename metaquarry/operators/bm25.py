@@ -26,7 +26,7 @@ from metaquarry.functions.text import token_count, tokens
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
-from metaquarry.session import ship_package, spread
+from metaquarry.session import cut_lineage, ship_package, spread
 
 SPARSE_DIGITS = 4
 TERM_PARTS = 256
@@ -35,6 +35,8 @@ SLICE_ROWS = 1_000_000
 # One numpy block: postings gathered per step, and documents x queries scored at once.
 STEP_POSTINGS, BLOCK_CELLS = 100_000, 2_000_000
 SHARED_TERMS = 64
+# Up to this many terms of a vocabulary are looked up inside the row, before words are counted.
+LISTED_TERMS = 20_000
 
 
 def _term_part() -> Column:
@@ -119,22 +121,37 @@ def bm25_index(
     vocabulary: DataFrame | None = None,
     small_vocabulary: bool = False,
     han_pairs: bool = False,
+    listed: list[str] | None = None,
 ) -> Bm25Index:
     """Count postings inside each row; ``id_col`` names a row. With a ``vocabulary`` only its
-    terms are kept.
+    terms are kept; where it is known to be ``listed``, other words are dropped uncounted.
 
     Every document adds one posting of LENGTH_TERM, which carries its length. Frequencies
     are counted in a second pass over the texts, which moves counts only.
     """
-    words = tokens(F.coalesce(F.col(text_col), F.lit("")), han_pairs)
-    rows = spread(docs.select(id_col, *carried, text_col)).select(
-        id_col, *carried, F.array_sort(words).alias("_words")
-    )
-    sizes = rows.select(F.size("_words").cast("long").alias("doc_len"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = spread(docs.select(id_col, *carried, text_col)).withColumn("_all", tokens(text, han_pairs))
+    kept = F.col("_all") if listed is None else F.filter("_all", lambda word: word.isin(listed))
+    # lengths alone need no list of words
+    length = F.size("_all") if han_pairs else token_count(text)
+    sizes = rows.select(length.cast("long").alias("doc_len"))
     stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    postings = rows.select(
-        id_col, *carried, F.size("_words").alias("doc_len"), F.explode(_counts(F.col("_words"))).alias("_p")
+    counted = rows.select(id_col, *carried, F.size("_all").alias("doc_len"), F.sort_array(kept).alias("_words"))
+    postings = counted.select(
+        id_col, *carried, "doc_len", F.explode(_counts(F.col("_words"))).alias("_p")
     ).select(id_col, *carried, "doc_len", "_p.term", "_p.tf")
+    if listed is not None:
+        # a word counts once for a document: no order is needed for that. One row for a listed
+        # word is kept, and with it the lengths, so the texts are not read again for them
+        names = F.concat(F.array(F.lit(LENGTH_TERM)), F.array_distinct(kept))
+        met = rows.select(F.size("_all").cast("long").alias("_n"), F.explode(names).alias("term"))
+        own = F.sum(F.when(F.col("term") == LENGTH_TERM, F.col("_n")))
+        found = cut_lineage(met.groupBy("term").agg(F.count(F.lit(1)).alias("df"), own.alias("_n")))
+        sums = F.max(F.when(F.col("term") == LENGTH_TERM, F.struct("df", "_n"))).alias("_s")
+        stats = found.agg(sums).select(
+            F.coalesce("_s.df", F.lit(0).cast("long")).alias("n_docs"), (F.col("_s._n") / F.col("_s.df")).alias("avg_len")
+        )
+        return Bm25Index(postings, found.select("term", "df"), stats, id_col, carried, local=True)
     if vocabulary is not None:
         length_term = docs.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))
         wanted = vocabulary.unionByName(length_term)
@@ -341,21 +358,26 @@ def bm25_search(
     limited = None if limits is None else _bounded(limits, small_rows)
     small = asked is not None and (limits is None or limited is not None)
     vocabulary = qterms.select("term").distinct()
-    if isinstance(source, Bm25Index):
-        index = source
-    else:
-        if parent is not None and parent not in carried:
-            carried = (*carried, parent)
-        index = bm25_index(source, id_col, text_col, carried, vocabulary, small)
+    rows = source.postings if isinstance(source, Bm25Index) else source
+    id_col = source.id_col if isinstance(source, Bm25Index) else id_col
     schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(index.id_col, index.postings.schema[index.id_col].dataType),
+            T.StructField(id_col, rows.schema[id_col].dataType),
             T.StructField("sparse", T.DoubleType()),
         ]
     )
     if small and (asked.empty or (limited is not None and limited.empty)):
         return queries.sparkSession.createDataFrame([], schema).withColumn("rk", F.lit(1))
+    if isinstance(source, Bm25Index):
+        index = source
+    else:
+        if parent is not None and parent not in carried:
+            carried = (*carried, parent)
+        listed = sorted(set(asked["term"])) if small else None
+        if listed is not None and len(listed) > LISTED_TERMS:
+            listed = None
+        index = bm25_index(source, id_col, text_col, carried, vocabulary, small, listed=listed)
     if small:
         index = index.pruned(vocabulary)
     weighted = _weighted(index, vocabulary, small, where)
@@ -387,10 +409,20 @@ def group_index(
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = spread(docs.select(group_col, text_col))
     lengths = docs.groupBy(group_col).agg(F.sum(token_count(text)).alias("doc_len"))
-    rows = docs.select(group_col, F.explode(tokens(text)).alias("term"))
-    if vocabulary is not None:
+    listed = _listed(vocabulary) if vocabulary is not None and small_vocabulary else None
+    words = tokens(text) if listed is None else F.filter(tokens(text), lambda word: word.isin(listed))
+    rows = docs.select(group_col, F.explode(words).alias("term"))
+    if vocabulary is not None and listed is None:
         rows = rows.join(maybe_broadcast(vocabulary, small_vocabulary), "term", "left_semi")
     counts = rows.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # both are read twice; counts of groups are far smaller than the texts
+    counts, lengths = cut_lineage(counts), cut_lineage(lengths)
     postings = counts.join(lengths, group_col)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     return Bm25Index(postings, _document_frequencies(counts), stats, group_col, grouped=True)
+
+
+def _listed(vocabulary: DataFrame) -> list[str] | None:
+    """The terms, if they are few enough to be looked up inside a row."""
+    head = vocabulary.limit(LISTED_TERMS + 1).collect()
+    return sorted(r["term"] for r in head) if len(head) <= LISTED_TERMS else None

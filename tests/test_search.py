@@ -230,3 +230,49 @@ def test_score_blocks_are_bounded(monkeypatch):
     assert max(s.size for s in sizes) <= 10_000
     names = (np.arange(300), "q", "v", "s")
     assert stepped.frame(*names).equals(plain.frame(*names))
+
+
+def test_texts_are_read_twice_for_a_search(spark, docs, queries, monkeypatch):
+    """Frequencies and lengths come from one pass, so only the scored words are read again; words
+    no query asks for are dropped in their row, with the same hits as by a join."""
+    seen = []
+    index = bm.bm25_index
+    monkeypatch.setattr(bm, "bm25_index", lambda *a, **k: seen.append(index(*a, **k)) or seen[-1])
+    listed = ranked(bm.bm25_search(queries, docs, 5))
+    assert listed == brute_bm25(DOCS, QUERIES, 5)
+    for small in (seen[0].terms, seen[0].stats):
+        assert "text" not in small._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(bm, "LISTED_TERMS", 1)
+    assert ranked(bm.bm25_search(queries, docs, 5)) == listed
+
+
+def test_md5_vectors_equal_their_buckets(spark):
+    from metaquarry.models import hash_embedding, md5_bucket, word_buckets
+    from metaquarry.functions.text import tokens
+
+    texts = spark.createDataFrame([("a b a Ü_1 ,b",), ("",), (None,), ("--",), ("東京 a",)], "text string").coalesce(1)
+    by_column = lambda term, dim: md5_bucket(term, dim)  # noqa: E731 - another function: the general way
+    one, two = (texts.select(hash_embedding(F.col("text"), 16, "q: ", b).alias("v")).collect() for b in (md5_bucket, by_column))
+    assert [r.v for r in one] == [r.v for r in two]
+    words = tokens(F.coalesce(F.col("text"), F.lit("")))
+    one, two = (texts.select(word_buckets(words, 16, b).alias("v")).collect() for b in (md5_bucket, by_column))
+    assert [r.v for r in one] == [r.v for r in two]
+
+
+def test_scores_of_bucket_pairs_are_bounded(monkeypatch):
+    """No copy of both vectors of every pair: the peak stays near the size of the scores."""
+    import tracemalloc
+
+    from metaquarry.operators import knn
+
+    rng = np.random.default_rng(2)
+    q, v = rng.standard_normal((100, 64)), rng.standard_normal((4000, 64))
+    monkeypatch.setattr(knn, "STEP_CELLS", 64_000)
+    for share in (0.5, 0.01):
+        met = rng.random((100, 4000)) < share
+        tracemalloc.start()
+        got = knn._met_scores(met, q, v)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * got.nbytes
+        assert np.allclose(got[met], np.round(q @ v.T, knn.DENSE_DIGITS)[met]) and np.isneginf(got[~met]).all()
