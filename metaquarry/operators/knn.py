@@ -30,6 +30,8 @@ SHIP_RESULTS = 1_000_000
 BLOCK_ROWS = 20_000
 # Scores held at once in a task (32 MB).
 STEP_CELLS = 4_000_000
+# From one pair in so many on, all pairs are multiplied at once.
+DENSE_SHARE = 64
 
 
 def _unit(column) -> np.ndarray:
@@ -263,6 +265,23 @@ def probe_keys(column, planes: np.ndarray, tables: int, probes: int) -> np.ndarr
     return np.concatenate((own[:, :, None], own[:, :, None] ^ (1 << near)), axis=2)
 
 
+def _met_scores(met: np.ndarray, q_unit: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Cosines where ``met`` (queries x vectors) is set, else -inf.
+
+    Copying both vectors of every pair that met would take many times the memory of the
+    scores. So pairs are taken a few at a time, and where many met all are multiplied.
+    """
+    if np.count_nonzero(met) * DENSE_SHARE > met.size:
+        return np.where(met, np.round(q_unit @ unit.T, DENSE_DIGITS), -np.inf)
+    scores = np.full(met.shape, -np.inf)
+    q, v = np.nonzero(met)
+    step = max(1, STEP_CELLS // max(1, q_unit.shape[1]))
+    for at in range(0, len(q), step):
+        a, b = q[at : at + step], v[at : at + step]
+        scores[a, b] = np.round(np.einsum("ij,ij->i", q_unit[a], unit[b]), DENSE_DIGITS)
+    return scores
+
+
 def _scan_buckets(vs, head, k, query_id, id_col, schema, exclude_same, planes, tables, probes) -> DataFrame:
     """Vectors meet the queries of their buckets where they are read."""
     q_ids, q_unit = _ids(head.iloc[:, 0]), _unit(head.iloc[:, 1])
@@ -285,10 +304,7 @@ def _scan_buckets(vs, head, k, query_id, id_col, schema, exclude_same, planes, t
                 found, unit = _ids(part.iloc[:, 0]), _unit(part.iloc[:, 1])
                 if exclude_same:
                     met &= q_ids[:, None] != found[None, :]
-                q, v = np.nonzero(met)
-                scores = np.full(met.shape, -np.inf)
-                scores[q, v] = np.round(np.einsum("ij,ij->i", q_unit[q], unit[v]), DENSE_DIGITS)
-                best.add(scores, found)
+                best.add(_met_scores(met, q_unit, unit), found)
         out = best.frame(q_ids, query_id, id_col, "cosine")
         if out is not None:
             yield out
