@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RING_SCHEMA = "turn bigint, role string, content string"
 THREAD_OUTPUT = "thread_id bigint, n_messages bigint, turns array<bigint>, roles array<string>, contents array<string>"
+SLOT_STATE = "slots array<string>, vals array<string>, ats array<bigint>, seqs array<bigint>"
 SLOT_OUTPUT = "thread_id bigint, slots array<string>, vals array<string>"
 
 
@@ -68,28 +69,35 @@ class ThreadRing(StatefulProcessor):
 
 
 class SlotValues(StatefulProcessor):
-    """The last value of every slot of a thread, by (at, seq) whatever the arrival order."""
+    """The last value of every slot of a thread, by (at, seq) whatever the arrival order.
+
+    All slots are one value of the state: they are read and written at once, not one by one, and
+    writing renews the time to live of all.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "slot string", "value string, at bigint, seq bigint", self.ttl_ms)
+        self.values = handle.getValueState("values", SLOT_STATE, self.ttl_ms)
+
+    def _write(self, current: dict) -> None:
+        rows = [(slot, *current[slot]) for slot in sorted(current)]
+        self.values.update(tuple([r[i] for r in rows] for i in range(4)))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        for slot, value, at, seq in zip(row["slots"], row["vals"], row["ats"], row["seqs"], strict=True):
-            self.values.updateValue((slot,), (value, int(at), int(seq)))
+        held = zip(row["slots"], row["vals"], row["ats"], row["seqs"], strict=True)
+        self._write({slot: (value, int(at), int(seq)) for slot, value, at, seq in held})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = {k[0]: tuple(v) for k, v in self.values.iterator()}
+        held = self.values.get()
+        current = {slot: (value, at, seq) for slot, value, at, seq in zip(*held)} if held else {}
         for pdf in rows:
-            last = pdf.sort_values(["at", "seq"]).groupby("slot", sort=False).tail(1)
-            for slot, value, at, seq in last[["slot", "value", "at", "seq"]].itertuples(index=False, name=None):
+            for slot, value, at, seq in zip(pdf["slot"], pdf["value"], pdf["at"], pdf["seq"]):
                 if slot not in current or (at, seq) >= current[slot][1:]:
                     current[slot] = (value, int(at), int(seq))
-        for slot, value in current.items():  # writing renews the time to live of all slots
-            self.values.updateValue((slot,), value)
+        self._write(current)
         slots = sorted(current)
         yield pd.DataFrame(
             {"thread_id": [key[0]], "slots": [slots], "vals": [[current[s][0] for s in slots]]}
@@ -114,14 +122,16 @@ class ThreadExpiry(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n bigint, last_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self.seen.get() if self.seen.exists() else (0, 0)
+        n, before = self.seen.get() or (0, None)
+        last = before or 0
         for pdf in rows:
             n += len(pdf)
             last = max(last, int(pdf["at"].max().value // 1_000))
         self.seen.update((n, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1_000 + self.ttl_ms)
+        if last != before:  # the only timer there can be is the one of the time held before
+            if before is not None:
+                self.handle.deleteTimer(before // 1_000 + self.ttl_ms)
+            self.handle.registerTimer(last // 1_000 + self.ttl_ms)
         yield pd.DataFrame({"thread_id": [], "n_messages": [], "last_us": []})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

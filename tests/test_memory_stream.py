@@ -115,6 +115,33 @@ def test_slot_stream_equals_batch(spark, log):
     assert got == want
 
 
+def test_slots_are_one_value_of_the_state():
+    """A batch reads and writes a thread's state once, however many slots it has."""
+    import pandas as pd
+
+    from metaquarry.streaming.state import SlotValues
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    slots = SlotValues(1000)
+    held = slots.values = Held()
+    rows = [(f"s{i % 9}", f"v{i}", i // 2, i) for i in range(40)]
+    for part in (rows[20:], rows[:20]):
+        held.calls = 0
+        got = list(slots.handleInputRows((7,), iter([pd.DataFrame(part, columns=["slot", "value", "at", "seq"])]), None))
+        assert held.calls == 2
+    want = {s: v for s, v, _, _ in rows}  # the last of every slot
+    assert dict(zip(got[0]["slots"][0], got[0]["vals"][0])) == want
+
+
 def test_state_expires(spark, log):
     """With a very short time to live, a later batch starts from nothing."""
     path = tempfile.mkdtemp()
