@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN_PATTERN, TOKEN_GAPS = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+TOKEN_PATTERN, TOKEN_GAPS = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]++"
 HAN_PAIR_PATTERN = r"(?=(\p{IsHan}\p{IsHan}))"
 
 
@@ -31,9 +31,21 @@ BLANKS = (
 )
 
 
+#: The same characters one by one.
+BLANK_CHARS = "".join(
+    chr(c)
+    for low, high in ((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                      (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+    for c in range(low, high + 1)
+)
+
+
 def strip(text: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, rf"^{BLANKS}+|{BLANKS}+$", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes blanks only).
+
+    A pattern would be tried at every character of the text; this looks at the ends.
+    """
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def filled(c: Column) -> Column:

@@ -6,31 +6,40 @@ import numpy as np
 import pandas as pd
 
 
+# Digits that cosines are rounded to before they are ranked.
+DENSE_DIGITS = 6
+
+
 class RunningTopK:
     """The k best (score, id) per query over any number of score blocks; ties by lower id.
 
-    Keeps at most a few times k entries per query, whatever the number of blocks.
+    Scores count rounded to ``digits``; only those that can be among the best are rounded, as
+    rounding all would be much of the work. Keeps at most a few times k entries per query,
+    whatever the number of blocks.
     """
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, digits: int = DENSE_DIGITS):
+        self.k, self.digits = k, digits
         self.floor = np.full(queries, -np.inf)  # a score below this cannot be among the best
         self._parts: list[tuple] = []
         self._pending = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` is queries x ids; entries of -inf are no hits."""
-        if scores.shape[1] > self.k:
-            keep = scores >= self.floor[:, None]
-            if np.count_nonzero(keep) > 4 * self.k * len(self.floor):
-                kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-                np.maximum(self.floor, kth, out=self.floor)
-                keep = scores >= self.floor[:, None]
-        else:
-            keep = scores >= self.floor[:, None]
-        rows, cols = np.nonzero(keep & (scores > -np.inf))
-        self._parts.append((rows, ids[cols], scores[rows, cols]))
-        self._pending += len(rows)
+        slack = 10.0**-self.digits  # more than rounding can add
+        keep = scores >= (self.floor - slack)[:, None]
+        if scores.shape[1] > self.k and np.count_nonzero(keep) > 4 * self.k * len(self.floor):
+            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            # the k-th best of rounded scores is the k-th best score, rounded
+            np.maximum(self.floor, np.round(kth, self.digits), out=self.floor)
+            keep = scores >= (self.floor - slack)[:, None]
+        if np.isneginf(self.floor).any():
+            keep &= scores > -np.inf
+        rows, cols = np.nonzero(keep)
+        found = np.round(scores[rows, cols], self.digits)
+        best = found >= self.floor[rows]
+        self._parts.append((rows[best], ids[cols[best]], found[best]))
+        self._pending += int(np.count_nonzero(best))
         if self._pending > 16 * self.k * len(self.floor):
             self._compress()
 

@@ -26,7 +26,7 @@ from metaquarry.functions.text import token_count, tokens
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
-from metaquarry.session import cut_lineage, ship_package, spread
+from metaquarry.session import cut_lineage, ship_package, spread, store
 
 SPARSE_DIGITS = 4
 TERM_PARTS = 256
@@ -141,17 +141,20 @@ def bm25_index(
         id_col, *carried, "doc_len", F.explode(_counts(F.col("_words"))).alias("_p")
     ).select(id_col, *carried, "doc_len", "_p.term", "_p.tf")
     if listed is not None:
-        # a word counts once for a document: no order is needed for that. One row for a listed
-        # word is kept, and with it the lengths, so the texts are not read again for them
-        names = F.concat(F.array(F.lit(LENGTH_TERM)), F.array_distinct(kept))
-        met = rows.select(F.size("_all").cast("long").alias("_n"), F.explode(names).alias("term"))
-        own = F.sum(F.when(F.col("term") == LENGTH_TERM, F.col("_n")))
-        found = cut_lineage(met.groupBy("term").agg(F.count(F.lit(1)).alias("df"), own.alias("_n")))
+        # the counts of listed words are far smaller than the texts, which are read once for them
+        found = counted.select(id_col, *carried, "doc_len", _counts(F.col("_words")).alias("_found"))
+        found = store(found, "counts")
+        met = found.select("doc_len", F.explode("_found.term").alias("term"))
+        own = F.sum(F.when(F.col("term") == LENGTH_TERM, F.col("doc_len")))
+        terms = cut_lineage(met.groupBy("term").agg(F.count(F.lit(1)).alias("df"), own.alias("_n")))
         sums = F.max(F.when(F.col("term") == LENGTH_TERM, F.struct("df", "_n"))).alias("_s")
-        stats = found.agg(sums).select(
+        stats = terms.agg(sums).select(
             F.coalesce("_s.df", F.lit(0).cast("long")).alias("n_docs"), (F.col("_s._n") / F.col("_s.df")).alias("avg_len")
         )
-        return Bm25Index(postings, found.select("term", "df"), stats, id_col, carried, local=True)
+        postings = found.select(id_col, *carried, "doc_len", F.explode("_found").alias("_p")).select(
+            id_col, *carried, "doc_len", "_p.term", "_p.tf"
+        )
+        return Bm25Index(postings, terms.select("term", "df"), stats, id_col, carried, local=True)
     if vocabulary is not None:
         length_term = docs.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))
         wanted = vocabulary.unionByName(length_term)
@@ -298,12 +301,12 @@ def _block_scores(weighted, index, qterms: pd.DataFrame, query_id, schema, allow
             hit = block > 0
             if mask is not None:
                 hit &= mask[parent_no[low : low + n]]
-            block = np.where(hit, np.round(block, SPARSE_DIGITS), -np.inf)
+            block[~hit] = -np.inf
             best.add(block.T, ids[low : low + n])
 
     def scan(batches):
         q_ids = shipped.value[0]
-        best = RunningTopK(len(q_ids), k)
+        best = RunningTopK(len(q_ids), k, SPARSE_DIGITS)
         held, size = [], 0
         for pdf in chain(batches, [None]):
             if pdf is not None and not pdf.empty:

@@ -14,15 +14,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from metaquarry.operators.blocks import RunningTopK
+from metaquarry.operators.blocks import DENSE_DIGITS, RunningTopK
 from metaquarry.operators.topk import top_k
 from metaquarry.session import ship_package
 
-DENSE_DIGITS = 6
 # What may be shipped to every task: rows, and values (rows x dimension; 8 bytes each).
 SHIP_ROWS, SHIP_VALUES = 20_000, 8_000_000
 # Results one task of the vector scan may hand on: queries x k.
@@ -44,8 +45,19 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.tolist())
 
 
+def _unit_lists(column: pa.ListArray) -> np.ndarray:
+    """The same of an Arrow column without nulls."""
+    n = len(column)
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    if (column.value_lengths().to_numpy(zero_copy_only=False) != m.shape[1]).any():
+        raise ValueError("vectors of different lengths")
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
+
+
 def _scores(q_ids, q_unit, v_ids, v_unit, exclude_same: bool) -> np.ndarray:
-    scores = np.round(q_unit @ v_unit.T, DENSE_DIGITS)
+    """Cosines; RunningTopK rounds those it keeps."""
+    scores = q_unit @ v_unit.T
     if exclude_same:
         scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
     return scores
@@ -135,15 +147,17 @@ def _scan_vectors(vs, head, k, query_id, id_col, schema, exclude_same) -> DataFr
     def scan(batches):
         ids, unit = shipped.value
         best = RunningTopK(len(ids), k)
-        for pdf in map(_known, batches):
-            if not pdf.empty:
-                found, rows = _ids(pdf.iloc[:, 0]), _unit(pdf.iloc[:, 1])
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if batch.num_rows:
+                found, rows = np.asarray(batch.column(0).to_pylist()), _unit_lists(batch.column(1))
                 _add_steps(best, ids, unit, found, rows, exclude_same)
         out = best.frame(ids, query_id, id_col, "cosine")
         if out is not None:
-            yield out
+            yield pa.RecordBatch.from_pandas(out, schema=to_arrow_schema(schema), preserve_index=False)
 
-    return vs.mapInPandas(scan, schema)
+    # lists of numbers come as one block, not as an object for each row
+    return vs.mapInArrow(scan, schema)
 
 
 def _scan_queries(qs, head, k, query_id, id_col, schema, exclude_same) -> DataFrame:

@@ -55,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and read them back: for many narrow rows that are used
+    several times, compressed where a checkpoint is not."""
+    path = new_run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Inputs below this size per core (and in all) may sit in fewer file splits than cores.
 SPREAD_BYTES_PER_CORE, SPREAD_BYTES = 32 << 20, 1 << 30
 
@@ -63,10 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a small input as many partitions as there are cores before costly work per row.
 
     A small file is one split, so one task would do all the work. Large inputs come in
-    enough splits and are returned as they are, without a shuffle.
+    enough splits and are returned as they are, without a shuffle. So are rows whose inputs
+    were all spread before: what was made of them may be far larger than the input.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.toString().count("Repartition ") >= plan.collectLeaves().size():
+        return df
+    size = int(plan.stats().sizeInBytes())
     return df.repartition(cores) if size < min(cores * SPREAD_BYTES_PER_CORE, SPREAD_BYTES) else df
 
 

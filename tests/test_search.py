@@ -276,3 +276,50 @@ def test_scores_of_bucket_pairs_are_bounded(monkeypatch):
         tracemalloc.stop()
         assert peak < 8 * got.nbytes
         assert np.allclose(got[met], np.round(q @ v.T, knn.DENSE_DIGITS)[met]) and np.isneginf(got[~met]).all()
+
+
+def test_listed_words_are_counted_in_one_pass_over_the_texts(spark, docs, queries, monkeypatch):
+    seen = []
+    index = bm.bm25_index
+    monkeypatch.setattr(bm, "bm25_index", lambda *a, **k: seen.append(index(*a, **k)) or seen[-1])
+    hits = bm.bm25_search(queries, docs, 5)
+    assert "text" not in seen[0].postings._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked(hits) == brute_bm25(DOCS, QUERIES, 5)
+
+
+def test_only_scores_among_the_best_are_rounded(monkeypatch):
+    from metaquarry.operators import blocks
+
+    rng = np.random.default_rng(2)
+    scores = np.round(rng.random((4, 5000)), 3) + rng.choice([0, 4e-7, -4e-7], (4, 5000))  # ties once rounded
+    scores[0, 7:] = -np.inf
+    sizes, rounds = [], np.round
+    monkeypatch.setattr(blocks.np, "round", lambda x, *a: sizes.append(np.size(x)) or rounds(x, *a))
+    best = blocks.RunningTopK(4, 9)
+    for at in range(0, 5000, 250):
+        best.add(scores[:, at : at + 250], np.arange(at, at + 250))
+    got = best.frame(np.arange(4), "q", "v", "s")
+    monkeypatch.undo()
+    assert sum(sizes) < scores.size / 4
+    for q in range(4):
+        want = sorted((-s, i) for i, s in enumerate(np.round(scores[q], 6)) if s > -np.inf)[:9]
+        assert [(-r.s, r.v) for r in got[got.q == q].itertuples()] == want
+
+
+def test_vectors_are_read_in_blocks_whatever_is_null(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "doc_id string, dense_vector array<float>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0])], "query_id int, query_vector array<float>")
+    found = knn_exact(asked, vectors, 5)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.cosine) for r in found.orderBy("rk").collect()] == [("a", 1.0), ("d", 0.707107), ("c", 0.0)]
+
+
+def test_rows_are_spread_once(spark):
+    from metaquarry.session import spread
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Repartition ")
+    once = spread(spark.range(10).select("id", F.lit(3).alias("n")))
+    many = once.select("id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    assert plan(once) == plan(spread(many)) == 1
+    assert plan(spread(many.join(spark.range(3).withColumnRenamed("id", "i"), "i"))) == 2

@@ -91,3 +91,18 @@ def test_active_columns_by_id_table(spark):
     assert active_columns(df, ids).count() == 1
     assert active_columns(df, ["a"]).count() == 1
     assert active_columns(df).count() == active_columns(df, []).count() == 2
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    from metaquarry.functions.text import BLANKS, strip
+
+    texts = ["", " ", " a b\t", "　a  b  \u0085\r\n", "a\n", "\x1c\x1f​ a", None, "  ", "名 前 "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_pattern = F.regexp_replace("t", rf"^{BLANKS}+|{BLANKS}+$", "")
+    out = rows.select(strip(F.col("t")).alias("a"), by_pattern.alias("b"))
+    assert "regexp" not in rows.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.a == r.b for r in out.collect())
+    every = spark.range(0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("t"))
+    text = F.concat("t", F.lit("x"), "t")
+    differ = every.where(strip(text) != F.regexp_replace(text, rf"^{BLANKS}+|{BLANKS}+$", ""))
+    assert differ.count() == 0
