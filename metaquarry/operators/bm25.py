@@ -383,6 +383,12 @@ def bm25_search(
         index = bm25_index(source, id_col, text_col, carried, vocabulary, small, listed=listed)
     if small:
         index = index.pruned(vocabulary)
+    if limited is not None:
+        known = limited[parent].dropna().unique().tolist()
+        if len(known) <= LISTED_TERMS:
+            # other parents' rows are dropped where counts are read, before they are joined
+            own = F.col(parent).isin(known)
+            where = own if where is None else where & own
     weighted = _weighted(index, vocabulary, small, where)
     if small:
         scores = _block_scores(weighted, index, asked, query_id, schema, limited, parent, k)

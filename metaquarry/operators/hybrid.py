@@ -19,6 +19,8 @@ from metaquarry.schemas import CANDIDATE_MULT, DENSE_WEIGHT, SPARSE_WEIGHT, Cata
 
 # one digit more than 0.3 x a six-digit cosine has, so no score lies on a rounding border
 SCORE_DIGITS = 8
+#: Up to this many parents are looked up inside the row.
+LISTED_PARENTS = 20_000
 #: Cells that an approximate search reads for each query.
 PROBES = 16
 
@@ -86,9 +88,16 @@ def _dense(queries, space: Space, k, filters, allowed, probes) -> DataFrame:
     keyed = queries.select("query_id", "query_vector").join(
         allowed.select("query_id", space.parent_col), "query_id"
     )
+    parents = allowed.select(space.parent_col).distinct()
+    known = parents.limit(LISTED_PARENTS + 1).collect()
+    if len(known) <= LISTED_PARENTS:
+        # a filter, unlike a join, is applied before the rows are encoded
+        rows = rows.where(F.col(space.parent_col).isin([r[0] for r in known if r[0] is not None]))
+    else:
+        rows = rows.join(parents, space.parent_col, "left_semi")
     partial = knn_within(
         keyed,
-        rows.join(allowed.select(space.parent_col).distinct(), space.parent_col, "left_semi"),
+        rows,
         k,
         space.parent_col,
         id_col=space.id_col,

@@ -323,3 +323,28 @@ def test_rows_are_spread_once(spark):
     many = once.select("id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
     assert plan(once) == plan(spread(many)) == 1
     assert plan(spread(many.join(spark.range(3).withColumnRenamed("id", "i"), "i"))) == 2
+
+
+def test_only_rows_of_the_allowed_parents_are_encoded(spark, docs, queries, monkeypatch):
+    from metaquarry.models import hash_embedding
+    from metaquarry.operators import hybrid
+
+    encode = lambda text: hash_embedding(text, 16)
+    # as in a column catalog: the parent's name is known after a join only
+    names = spark.createDataFrame([(f"p{i}", f"n{i}") for i in range(3)], "parent string, name string")
+    named = docs.selectExpr("doc_id", "text AS search_text", "parent AS own").join(
+        names, F.col("own") == F.col("parent"), "left"
+    )
+    rows = named.select("doc_id", "search_text", F.concat_ws("::", "name", "own").alias("of"))
+    space = Space(rows.withColumn("dense_vector", encode(F.col("search_text"))), parent_col="of")
+    asked = queries.withColumn("query_vector", encode(F.col("query_text")))
+    allowed = asked.select("query_id", F.lit("n1::p1").alias("of"))
+    seen, within = [], hybrid.knn_within
+    monkeypatch.setattr(hybrid, "knn_within", lambda q, v, *a, **k: seen.append(v) or within(q, v, *a, **k))
+    found = sorted(map(tuple, hybrid_search(asked, space, 3, allowed=allowed).collect()), key=str)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" in plan and plan.index("EvalPython") < plan.index("Filter") < plan.index("Join")
+    assert found and {r[1] % 3 for r in found} == {1}
+    monkeypatch.setattr(hybrid, "LISTED_PARENTS", 0)
+    monkeypatch.setattr(bm, "LISTED_TERMS", 0)
+    assert sorted(map(tuple, hybrid_search(asked, space, 3, allowed=allowed).collect()), key=str) == found
