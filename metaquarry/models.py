@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaquarry.functions.text import tokens
+from metaquarry.functions.words import unpacked, word_chars, word_steps
 from metaquarry.schemas import EMBEDDING_DIM
 from metaquarry.session import spread
 
@@ -66,10 +67,6 @@ def _sizes(lists: pa.Array) -> np.ndarray:
     return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-#: Texts whose words are counted at once.
-STEP_TEXTS = 1_000
-
-
 def hash_embedding(
     text: Column,
     dim: int = EMBEDDING_DIM,
@@ -79,28 +76,28 @@ def hash_embedding(
     """Default encoder: counts of hashed tokens, scaled to unit length. A text without any
     token has no direction and becomes the zero vector.
 
-    Tokens are hashed by Spark and only small integers reach Python, but for md5, of which
-    Python hashes each different word of a batch once. No shuffle takes place.
+    Tokens are hashed by Spark and only small integers reach Python, but for md5, for which
+    texts reach Python, where each different word of a step is hashed once. No shuffle takes place.
     """
     full = F.concat(F.lit(instruction), F.coalesce(text, F.lit("")))
     if bucket is md5_bucket:
 
+        chars = word_chars(SparkSession.active())
+
         @F.arrow_udf(T.ArrayType(T.FloatType()))
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known: dict[str, int] = {}
-            for lists in batches:
-                out = np.empty((len(lists), dim), np.float32)
-                for at in range(0, len(lists), STEP_TEXTS):
-                    part = lists[at : at + STEP_TEXTS]
-                    slot = np.repeat(np.arange(len(part)) * dim, _sizes(part))
-                    slot += md5_slots(part.flatten(), dim, known)
-                    counts = np.bincount(slot, minlength=len(part) * dim).reshape(-1, dim).astype(np.float64)
+            known, in_words = {}, unpacked(chars)
+            for texts in batches:
+                out = np.empty((len(texts), dim), np.float32)
+                for at, n, rows, is_word, pieces in word_steps(texts, in_words):
+                    slot = rows[is_word] * dim + md5_slots(pieces.filter(pa.array(is_word)), dim, known)
+                    counts = np.bincount(slot, minlength=n * dim).reshape(-1, dim).astype(np.float64)
                     norms = np.linalg.norm(counts, axis=1, keepdims=True)
-                    out[at : at + STEP_TEXTS] = counts / np.where(norms == 0, 1.0, norms)
-                ends = np.arange(len(lists) + 1, dtype=np.int32) * dim
+                    out[at : at + n] = counts / np.where(norms == 0, 1.0, norms)
+                ends = np.arange(len(texts) + 1, dtype=np.int32) * dim
                 yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
-        return counted(tokens(full))
+        return counted(F.lower(full))
     buckets = F.transform(tokens(full), lambda t: bucket(t, dim))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -13,16 +13,19 @@ sliced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaquarry.functions.text import token_count, tokens
+from metaquarry.functions.words import COUNTED, count_listed, unpacked, word_chars
 from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.topk import SMALL_ROWS, maybe_broadcast, top_k
 from metaquarry.schemas import BM25_B, BM25_K1
@@ -130,19 +133,11 @@ def bm25_index(
     are counted in a second pass over the texts, which moves counts only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = spread(docs.select(id_col, *carried, text_col)).withColumn("_all", tokens(text, han_pairs))
-    kept = F.col("_all") if listed is None else F.filter("_all", lambda word: word.isin(listed))
-    # lengths alone need no list of words
-    length = F.size("_all") if han_pairs else token_count(text)
-    sizes = rows.select(length.cast("long").alias("doc_len"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    counted = rows.select(id_col, *carried, F.size("_all").alias("doc_len"), F.sort_array(kept).alias("_words"))
-    postings = counted.select(
-        id_col, *carried, "doc_len", F.explode(_counts(F.col("_words"))).alias("_p")
-    ).select(id_col, *carried, "doc_len", "_p.term", "_p.tf")
-    if listed is not None:
+    rows = spread(docs.select(id_col, *carried, text_col))
+    if listed is not None and not han_pairs:
         # the counts of listed words are far smaller than the texts, which are read once for them
-        found = counted.select(id_col, *carried, "doc_len", _counts(F.col("_words")).alias("_found"))
+        counted = rows.select(id_col, *carried, _listed_counts(docs.sparkSession, text, listed).alias("_c"))
+        found = counted.select(id_col, *carried, "_c.doc_len", F.col("_c.found").alias("_found"))
         found = store(found, "counts")
         met = found.select("doc_len", F.explode("_found.term").alias("term"))
         own = F.sum(F.when(F.col("term") == LENGTH_TERM, F.col("doc_len")))
@@ -155,6 +150,16 @@ def bm25_index(
             id_col, *carried, "doc_len", "_p.term", "_p.tf"
         )
         return Bm25Index(postings, terms.select("term", "df"), stats, id_col, carried, local=True)
+    rows = rows.withColumn("_all", tokens(text, han_pairs))
+    kept = F.col("_all") if listed is None else F.filter("_all", lambda word: word.isin(listed))
+    # lengths alone need no list of words
+    length = F.size("_all") if han_pairs else token_count(text)
+    sizes = rows.select(length.cast("long").alias("doc_len"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    counted = rows.select(id_col, *carried, F.size("_all").alias("doc_len"), F.sort_array(kept).alias("_words"))
+    postings = counted.select(
+        id_col, *carried, "doc_len", F.explode(_counts(F.col("_words"))).alias("_p")
+    ).select(id_col, *carried, "doc_len", "_p.term", "_p.tf")
     if vocabulary is not None:
         length_term = docs.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))
         wanted = vocabulary.unionByName(length_term)
@@ -164,6 +169,20 @@ def bm25_index(
     return Bm25Index(postings, _document_frequencies(postings), stats, id_col, carried, local=local)
 
 
+def _listed_counts(spark, text: Column, listed: list[str]) -> Column:
+    """The number of a text's words and its array<struct<term, tf>> of listed ones, in their
+    order, the length term first."""
+    chars, terms = word_chars(spark), [LENGTH_TERM, *listed]
+
+    @F.arrow_udf(COUNTED)
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = unpacked(chars)
+        for texts in batches:
+            yield count_listed(texts, known, terms)
+
+    return counts(F.lower(text))
+
+
 def _counts(words: Column) -> Column:
     """Sorted words as array<struct<term, tf>>, the length term first: runs of equal words."""
 

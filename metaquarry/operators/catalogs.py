@@ -106,8 +106,9 @@ def build_column_catalog(
             F.col(order),
         ).alias("_owner")
     )
+    # many columns have long texts: they should neither be sorted nor, if they come by table, be moved
     df = raw.withColumn("_payload", F.to_json(F.struct(*raw.columns))).join(
-        owner, "table_name", "left"
+        owner.hint("shuffle_hash"), "table_name", "left"
     )
     schema = first_filled(
         _optional(raw, "schema_name"),

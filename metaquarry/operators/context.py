@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metaquarry.operators.filters import column_filter, table_filter, template_filter
 from metaquarry.operators.hybrid import Space, hybrid_search, with_fields
-from metaquarry.operators.topk import fits, maybe_broadcast
+from metaquarry.operators.topk import SMALL_ROWS, fits, maybe_broadcast
 from metaquarry.schemas import QUERY_INSTRUCTION
 from metaquarry.session import cut_lineage
 
@@ -69,7 +69,9 @@ def search_sql_context(
     unmet = queries.join(within.select("query_id").distinct(), "query_id", "left_anti")
     everywhere = hybrid_search(unmet, children, child_k, filters=child_filters)
     hits = with_fields(within, children, [key])
-    return first, hits.unionByName(with_fields(everywhere, children, [key]))
+    hits = hits.unionByName(with_fields(everywhere, children, [key]))
+    # a union forgets that its parts are few
+    return first, maybe_broadcast(hits, fits(queries.select("query_id"), SMALL_ROWS // child_k))
 
 
 def search_schemas(queries, parents: Space, children: Space, k: int = 5, **filters) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from metaquarry.operators.blocks import DENSE_DIGITS, RunningTopK
 from metaquarry.operators.topk import top_k
-from metaquarry.session import ship_package
+from metaquarry.session import cut_lineage, ship_package
 
 # What may be shipped to every task: rows, and values (rows x dimension; 8 bytes each).
 SHIP_ROWS, SHIP_VALUES = 20_000, 8_000_000
@@ -209,6 +209,8 @@ def knn_within(
         F.ceil(F.col("_nq") / block_rows).cast("int").alias("_cq"),
         (F.col("_nv") + F.col("_nq")).alias("_rows"),
     )
+    # a row per key, used three times: both sides are read once for it
+    cuts = cut_lineage(cuts)
     # rows after replication, to choose how many packs of about block_rows rows to make
     total = cuts.agg(F.sum(F.col("_rows") * F.greatest("_cv", "_cq"))).first()[0] or 0
     partitions = int(qs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

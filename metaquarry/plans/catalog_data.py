@@ -22,7 +22,10 @@ def raw_tables(t):
 
 
 def raw_columns(t):
-    return generate_columns(raw_tables(t))
+    """Columns by table name: tables are dealt before they become many columns with texts."""
+    spark = t.spark
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return generate_columns(raw_tables(t).repartition(tasks, "table_name"))
 
 
 def raw_templates(t):
