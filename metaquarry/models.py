@@ -174,7 +174,9 @@ def group_hash_embedding(
         .groupBy(group_col, "_b")
         .agg(F.count("_b").alias("_c"))
         .groupBy(group_col)
-        .agg(F.collect_list(F.struct("_b", "_c")).alias("_counts"))  # at most dim entries
+        # at most dim entries; a text without words has no bucket, and one null among the
+        # numbers would make floats of them all
+        .agg(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_c"))).alias("_counts"))
     )
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -183,8 +185,7 @@ def group_hash_embedding(
         for pairs in rows:
             v = np.zeros(dim)
             for p in pairs:
-                if p["_b"] is not None:
-                    v[p["_b"]] = p["_c"]
+                v[p["_b"]] = p["_c"]
             norm = np.linalg.norm(v)
             out.append((v / norm if norm else v).astype(np.float32))
         return pd.Series(out)

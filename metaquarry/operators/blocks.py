@@ -10,8 +10,19 @@ import pandas as pd
 DENSE_DIGITS = 6
 
 
+def _ordered(ids: np.ndarray) -> np.ndarray:
+    """Values that sort as the ids do, missing ones last."""
+    if ids.dtype != object:
+        return ids
+    known = ~pd.isna(ids)
+    places = np.full(len(ids), len(ids))
+    places[known] = np.unique(ids[known], return_inverse=True)[1]
+    return places
+
+
 class RunningTopK:
-    """The k best (score, id) per query over any number of score blocks; ties by lower id.
+    """The k best (score, id) per query over any number of score blocks; ties by lower id,
+    a missing id last.
 
     Scores count rounded to ``digits``; only those that can be among the best are rounded, as
     rounding all would be much of the work. Keeps at most a few times k entries per query,
@@ -45,7 +56,7 @@ class RunningTopK:
 
     def _compress(self) -> None:
         rows, ids, scores = (np.concatenate(x) for x in zip(*self._parts))
-        order = np.lexsort((ids, -scores, rows))
+        order = np.lexsort((_ordered(ids), -scores, rows))
         rows, ids, scores = rows[order], ids[order], scores[order]
         first = np.searchsorted(rows, rows, side="left")
         place = np.arange(len(rows)) - first

@@ -376,7 +376,8 @@ def bm25_search(
     ship_package(queries.sparkSession)
     qterms = query_terms(queries, query_id, query_text)
     asked = _bounded(qterms, small_rows)
-    limits = None if allowed is None else allowed.select(query_id, parent).distinct()
+    # rows without a parent are no parent's rows
+    limits = None if allowed is None else allowed.where(F.col(parent).isNotNull()).select(query_id, parent).distinct()
     limited = None if limits is None else _bounded(limits, small_rows)
     small = asked is not None and (limits is None or limited is not None)
     vocabulary = qterms.select("term").distinct()

@@ -16,7 +16,7 @@ def top_k(df: DataFrame, by: list[str] | str, score: str, k: int, tie: str) -> D
     shuffle, so a group holding most of the rows costs no more than any other.
     """
     by = [by] if isinstance(by, str) else list(by)
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie).asc())
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie).asc_nulls_last())
     return df.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 

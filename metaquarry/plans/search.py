@@ -95,7 +95,10 @@ def parent_space(t, queries):
     vocabulary = query_terms(queries, "query_id", "query_text").select("term").distinct()
     index = group_index(docs, "source", "text", vocabulary, fits(vocabulary))
     rows = group_hash_embedding(docs, "source", "text", DIM, md5_bucket)
-    return Space(rows, id_col="source", index=index)
+    # documents without a source are a group without a name, which has no direction (as in the SQL)
+    none = F.array_repeat(F.lit(0.0).cast("float"), DIM)
+    vector = F.when(F.col("source").isNull(), none).otherwise(F.col("dense_vector"))
+    return Space(rows.withColumn("dense_vector", vector), id_col="source", index=index)
 
 
 def questions(t):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaquarry.operators import bm25 as bm
+from metaquarry.operators.blocks import RunningTopK
 from metaquarry.operators.context import search_schemas, search_sql_context
 from metaquarry.operators.hybrid import Space, hybrid_search, without_text
 from metaquarry.operators.knn import knn_approx, knn_exact, knn_within, recall
@@ -348,3 +349,47 @@ def test_only_rows_of_the_allowed_parents_are_encoded(spark, docs, queries, monk
     monkeypatch.setattr(hybrid, "LISTED_PARENTS", 0)
     monkeypatch.setattr(bm, "LISTED_TERMS", 0)
     assert sorted(map(tuple, hybrid_search(asked, space, 3, allowed=allowed).collect()), key=str) == found
+
+
+def test_groups_with_texts_without_words_are_encoded(spark):
+    from metaquarry.models import group_hash_embedding, hash_embedding, md5_bucket
+
+    # a text without words beside others, groups of such texts only, a group without a name
+    texts = [("A", "a b a"), ("A", "--"), ("A", None), ("B", ""), ("C", None), (None, "c"), (None, "?!")]
+    docs = spark.createDataFrame(texts, "source string, text string").coalesce(1)
+    joined = docs.groupBy("source").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    for bucket in (md5_bucket, lambda term, dim: md5_bucket(term, dim)):
+        got = group_hash_embedding(docs, "source", "text", 16, bucket).collect()
+        want = joined.select("source", hash_embedding(F.col("text"), 16, "", bucket).alias("dense_vector")).collect()
+        assert len(got) == 4 and {r.source: r.dense_vector for r in got} == {r.source: r.dense_vector for r in want}
+
+
+def test_parents_without_an_id_are_ranked_last(spark):
+    parents = spark.createDataFrame(
+        [("A", "apple", [1.0, 0.0]), (None, "apple", [1.0, 0.0]), ("B", "boat", [0.0, 1.0])],
+        "doc_id string, search_text string, dense_vector array<float>",
+    ).coalesce(1)
+    children = spark.createDataFrame(
+        [(1, "A", "apple red", [1.0, 0.1]), (2, None, "apple", [1.0, 0.0])],
+        "doc_id long, table_id string, search_text string, dense_vector array<float>",
+    )
+    queries = spark.createDataFrame(
+        [(1, "apple", [1.0, 0.0])], "query_id long, query_text string, query_vector array<float>"
+    )
+    found = knn_exact(queries, parents.select("doc_id", "dense_vector"), 3)
+    assert [r.doc_id for r in found.orderBy("rk").collect()] == ["A", None, "B"]
+    first, second = search_sql_context(queries, Space(parents), Space(children, parent_col="table_id"), 3, 2)
+    assert {r.doc_id for r in first.collect()} == {"A", None, "B"}
+    assert [r.doc_id for r in second.collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    "ids, want",
+    [([3, None, 1, 2], [1, 2, 3, None]), (["b", None, "a", None], ["a", "b", None, None]), ([None, None], [None, None])],
+)
+def test_missing_ids_come_after_equal_scores(ids, want):
+    best = RunningTopK(1, 4)
+    for i in ids:
+        best.add(np.ones((1, 1)), np.asarray([i]))
+    got = best.frame(np.array([7]), "q", "id", "score")["id"].tolist()
+    assert [None if x != x else x for x in got] == want
